@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hrefmill.operators.listing import links_by_ids, links_by_status
 from hrefmill.plans.skew import attach_by_key
 from hrefmill.sources.formats import MAX_DOCUMENT_CHARS, detect_formats, documents, extract_links
+from hrefmill.storage import cut_lineage
 
 # Exported columns and their headings.
 CSV_COLUMNS = {
@@ -98,8 +99,8 @@ def needs_conversion(classified: DataFrame) -> DataFrame:
 
 def preview_sources(lines: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """Per file: format, link count, first raw lines and first links."""
-    profile = detect_formats(lines, types)
-    links = extract_links(lines, profile)
+    profile = cut_lineage(detect_formats(lines, types))
+    links = cut_lineage(extract_links(lines, profile))
     counts = links.groupBy("filename").agg(F.count(F.lit(1)).alias("link_count"))
     nth = F.row_number().over(W.partitionBy("filename").orderBy("pos"))
     first = (
@@ -134,11 +135,11 @@ def export_sources(lines: DataFrame, types: DataFrame | None = None, existing: D
 
     Write it with ``write_exports``; the rows of one file may be spread over many tasks.
     """
-    profile = detect_formats(lines, types)
+    profile = cut_lineage(detect_formats(lines, types))
     names = export_names(lines, profile)
     if existing is not None:
         names = names.join(existing.select("export_name"), "export_name", "left_anti")
-    links = extract_links(lines, profile)
+    links = cut_lineage(extract_links(lines, profile))
     sized = names.join(links.groupBy("filename").agg(F.count(F.lit(1)).alias("n")), "filename")
     return attach_by_key(links.select("filename", "pos", "url", "title"), sized, "filename", F.col("pos")).filter(
         F.col("export_name").isNotNull()

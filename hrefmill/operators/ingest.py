@@ -11,6 +11,7 @@ from hrefmill.functions.urls import PARTS, PRESETS, import_preset, normalized, w
 from hrefmill.plans.ordering import with_rank_in_group
 from hrefmill.plans.skew import anti_by_key, attach_by_key, semi_by_key
 from hrefmill.sources.formats import EXTRACTORS, Extractor, detect_formats, extract_links
+from hrefmill.storage import cut_lineage
 
 FILENAME_SHOWN = 100
 
@@ -77,11 +78,11 @@ def parse_sources(
 
     ``jobs`` gives ``job_seq filename type strategy``. Rows carry ``is_valid``; ``source_order``
     counts valid links only and is NULL for the others. Feed the result to ``new_links`` and
-    ``job_counts``.
+    ``job_counts``. Each URL is parsed once: the checked links are kept before they are numbered.
     """
     profile = detect_formats(lines, jobs.select("filename", "type"), extractors)
     found = extract_links(lines, profile, extractors)
-    checked = with_validity(found)
+    checked = cut_lineage(with_validity(found))
     ranked = with_rank_in_group(checked, "filename", "pos", "source_order", F.col("is_valid"))
     per_job = ranked.groupBy("filename").agg(F.count(F.lit(1)).alias("n"))
     facts = jobs.select("filename", "job_seq", "strategy").join(per_job, "filename")
@@ -138,9 +139,16 @@ def only_new(candidates: DataFrame, stored: DataFrame) -> DataFrame:
 def reparse_changed(
     parsed: DataFrame, stored: DataFrame, stale: DataFrame, created_at: Column | None = None
 ) -> DataFrame:
-    """Rows to append when changed files are parsed again; links gone from a file stay stored."""
+    """Rows to append when changed files are parsed again; links gone from a file stay stored.
+
+    ``parsed`` must come from jobs with a fresh ``job_seq``. New rows are numbered from 0 again.
+    """
     changed = semi_by_key(parsed, stale.select("filename"), "filename", F.col("pos"))
-    return only_new(new_links(changed, created_at), stored)
+    fresh = cut_lineage(only_new(cut_lineage(new_links(changed, created_at)), stored))
+    ranked = with_rank_in_group(fresh, "source_file", "source_order", "__order")
+    run = F.shiftleft(F.shiftright("seq", 32), 32)
+    renumbered = ranked.withColumns({"source_order": F.col("__order"), "seq": run + F.col("__order")})
+    return renumbered.withColumn("id", F.md5(F.col("seq").cast("string"))).select(*fresh.columns)
 
 
 def register_sources(files: DataFrame, jobs: DataFrame, first_seq: int = 0, strategy: str = "normalized") -> DataFrame:
@@ -207,8 +215,8 @@ def first_per_url(links: DataFrame) -> DataFrame:
 def extract_directory(lines: DataFrame, types: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(per-file format, line and link counts, links that are the first of their URL)``."""
     visible = lines.filter(~F.col("filename").rlike(r"(^|/)\."))
-    profile = detect_formats(visible, types)
-    links = extract_links(visible, profile)
+    profile = cut_lineage(detect_formats(visible, types))
+    links = cut_lineage(extract_links(visible, profile))
     counts = links.groupBy("filename").agg(F.count(F.lit(1)).alias("links"))
     per_file = profile.join(counts, "filename", "left").select(
         "filename", "format", F.col("n").alias("lines"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links")

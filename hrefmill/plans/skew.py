@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hrefmill.storage import cut_lineage
+
 MAX_HOT_KEYS = 1000
 HOT_ROWS = 100_000
 
@@ -19,27 +21,27 @@ def attach_by_key(
 ) -> DataFrame:
     """Left join ``per_key`` (unique on ``key``, row count in ``size``) to ``rows``.
 
-    The biggest keys, at most ``MAX_HOT_KEYS`` of them, are broadcast, so their rows find their
-    match without a shuffle by key. In the shuffle that serves every other key, rows of a hot key
-    are sent to a slot drawn from ``spread`` instead of all to one task. NULL keys match nothing
-    and are spread the same way.
+    ``per_key`` is computed once and kept, so its hot keys are known when the join is planned. If
+    there are any, the biggest, at most ``MAX_HOT_KEYS``, are broadcast: their rows find their match
+    without a shuffle by key, and in the shuffle that serves all other keys they go to a slot drawn
+    from ``spread`` instead of all to one task. NULL keys match nothing and are spread the same way.
     """
     values = [c for c in per_key.columns if c != key]
-    hot = (
-        per_key.filter(F.col(size) >= hot_rows)
-        .orderBy(F.desc(size), F.asc(key))
-        .limit(MAX_HOT_KEYS)
-        .select(F.col(key), F.lit(True).alias("__hot"), *[F.col(v).alias(f"__hot_{v}") for v in values])
-    )
-    slot = F.when(F.col("__hot") | F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(0)
-    tagged = rows.join(F.broadcast(hot), key, "left").withColumn("__slot", slot)
+    per_key = cut_lineage(per_key)
+    hot = per_key.filter(F.col(size) >= hot_rows)
+    tagged, is_hot = rows, F.lit(False)
+    if not hot.isEmpty():
+        biggest = hot.orderBy(F.desc(size), F.asc(key)).limit(MAX_HOT_KEYS)
+        renamed = biggest.select(key, F.lit(True).alias("__hot"), *[F.col(v).alias(f"__hot_{v}") for v in values])
+        tagged = rows.join(F.broadcast(renamed), key, "left")
+        is_hot = F.coalesce("__hot", F.lit(False))
+    anywhere = F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1
+    slot = F.when(is_hot | F.col(key).isNull(), anywhere).otherwise(F.lit(0).cast("bigint"))
     cold = per_key.withColumn("__slot", F.lit(0).cast("bigint"))
-    joined = tagged.withColumn("__slot", F.coalesce("__slot", F.lit(0).cast("bigint"))).join(
-        cold, [key, "__slot"], "left"
-    )
-    picked = [
-        F.when(F.col("__hot"), F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values
-    ]
+    joined = tagged.withColumn("__slot", slot).join(cold, [key, "__slot"], "left")
+    if tagged is rows:
+        return joined.select(*rows.columns, *values)
+    picked = [F.when(is_hot, F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values]
     return joined.select(*rows.columns, *picked)
 
 

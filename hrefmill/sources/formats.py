@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hrefmill.functions.text import JS_SPACE, csv_fields, decode_entities, is_blank, js_trim
 from hrefmill.plans.skew import attach_by_key
+from hrefmill.storage import cut_lineage
 
 SNIFF_LINES = 10
 SNIFF_HEAD = 64
@@ -268,14 +269,15 @@ def extract_links(lines: DataFrame, profile: DataFrame, extractors: list[Extract
     """``filename, type, format, pos, url, title``, order-preserving through ``pos``."""
     header = csv_fields(F.col("header"))
     is_csv = F.col("format") == "csv"
-    facts = profile.select(
+    facts = cut_lineage(profile.select(
         "filename",
         "type",
         "format",
         "n",
+        "chars",
         F.when(is_csv, F.array_position(header, "NavigatedToUrl")).alias("url_at"),
         F.when(is_csv, F.array_position(header, "PageTitle")).alias("title_at"),
-    )
+    ))
     by_line = [e for e in extractors if e.parse_line]
     whole = [e for e in extractors if e.parse_document]
 
@@ -283,7 +285,7 @@ def extract_links(lines: DataFrame, profile: DataFrame, extractors: list[Extract
     for e in by_line:
         link = F.when(F.col("format") == e.format, e.parse_line(F.col("line"))).otherwise(link)
     from_lines = (
-        attach_by_key(lines, facts, "filename", F.col("pos"))
+        attach_by_key(lines, facts.drop("chars"), "filename", F.col("pos"))
         .filter(F.col("format").isin([e.format for e in by_line]))
         .withColumn("link", link)
         .filter(F.col("link").isNotNull())
@@ -292,7 +294,7 @@ def extract_links(lines: DataFrame, profile: DataFrame, extractors: list[Extract
     found = F.lit(None).cast("array<struct<pos:bigint,url:string,title:string>>")
     for e in whole:
         found = F.when(F.col("format") == e.format, e.parse_document(F.col("content"))).otherwise(found)
-    doc_facts = facts.filter(F.col("format").isin([e.format for e in whole])).select("filename", "type", "format")
-    docs = documents(lines, profile.join(doc_facts.select("filename"), "filename", "left_semi"))
+    doc_facts = facts.filter(F.col("format").isin([e.format for e in whole]))
+    docs = documents(lines, doc_facts)
     from_docs = docs.join(doc_facts, "filename").select("filename", "type", "format", F.inline(found))
     return from_lines.unionByName(from_docs)
