@@ -174,7 +174,7 @@ def test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(failed & (F.col("user_id") % 3 == 1), "connection refused")
         .alias("error"),
         F.floor(F.col("value") * 10).cast("bigint").alias("response_time"),
-        F.col("ts").alias("completed_at"),
+        F.col("ts").cast("timestamp").alias("completed_at"),
     )
 
 
@@ -191,7 +191,7 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5(F.concat(F.lit("op"), F.col("event_id"))).alias("id"),
         kind.alias("type"),
         F.when(kind == "import", F.concat(F.lit("job"), F.col("user_id"))).alias("job_id"),
-        F.col("ts").alias("timestamp"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
         (F.col("user_id") * 10).alias("stats_input_count"),
         (F.col("user_id") * 9).alias("stats_output_count"),
     )
@@ -216,7 +216,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return events(spark, sf_dir).filter(e % 50 == 7).select(
         F.concat(F.lit("snap"), e).alias("id"),
-        F.col("ts").alias("created_at"),
+        F.col("ts").cast("timestamp").alias("created_at"),
         F.concat(F.lit('["a","b"'), F.when(e % 100 == 7, ',"c"').otherwise(""), F.lit("]")).alias("link_ids"),
     )
 

@@ -241,7 +241,7 @@ def with_dedup_key(links: DataFrame, preset: str, out: str = "dedup_key") -> Dat
     """
     config = PRESETS[preset]
     if config is None:
-        return links.withColumn(out, F.col("original_url"))
+        return links.withColumn(out, F.coalesce("original_url", F.lit("")))
     p = "__k_"
     work = _split_special(links, "original_url", p)
     m = F.col(f"{p}m")
@@ -265,7 +265,7 @@ def with_dedup_key(links: DataFrame, preset: str, out: str = "dedup_key") -> Dat
         }
     )
     return work.withColumn(out, normalized(p, config, F.col(f"{p}c"))).withColumn(
-        out, F.when(usable, F.col(out)).otherwise(F.col("original_url"))
+        out, F.coalesce(F.when(usable, F.col(out)), F.col("original_url"), F.lit(""))
     ).drop(*[c for c in work.columns if c.startswith(p)])
 
 

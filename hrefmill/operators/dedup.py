@@ -20,15 +20,11 @@ def keep_order(sort: str) -> Column:
     raise ValueError(f"unknown sort: {sort}")
 
 
-def _groups(links: DataFrame, strategy: str, sort: str) -> tuple[DataFrame, DataFrame]:
-    """All links with ``dedup_key`` (NULL unless active), and one row per key with its keeper."""
-    keyed = with_dedup_key(links, dedup_preset(strategy)).withColumn(
-        "dedup_key", F.when(is_active(F.col("status")), F.col("dedup_key"))
-    )
+def _keepers(active: DataFrame, sort: str) -> DataFrame:
+    """One row per ``dedup_key`` that occurs more than once, with the row that is kept."""
     keeper = F.min_by(F.struct("id", "original_url", "seq"), keep_order(sort))
-    per_key = (
-        keyed.filter(F.col("dedup_key").isNotNull())
-        .groupBy("dedup_key")
+    return (
+        active.groupBy("dedup_key")
         .agg(F.count(F.lit(1)).alias("n"), keeper.alias("keep"))
         .filter("n > 1")
         .select(
@@ -39,7 +35,12 @@ def _groups(links: DataFrame, strategy: str, sort: str) -> tuple[DataFrame, Data
             F.col("keep.seq").alias("keep_seq"),
         )
     )
-    return keyed, per_key
+
+
+def _active(links: DataFrame) -> DataFrame:
+    # Filter on the stored status, never on the computed key: Catalyst would push such a filter
+    # below the projections that build the key and compute it twice.
+    return links.filter(is_active(F.col("status")))
 
 
 def duplicate_groups(links: DataFrame, strategy: str = "normalized", sort: str = "original") -> DataFrame:
@@ -48,9 +49,9 @@ def duplicate_groups(links: DataFrame, strategy: str = "normalized", sort: str =
     Groups stay in long form because a group may be as large as the table. ``keep_seq`` orders the
     groups by first appearance and ``duplicate_seq`` the members.
     """
-    keyed, per_key = _groups(links, strategy, sort)
-    active = keyed.filter(F.col("dedup_key").isNotNull()).select("dedup_key", "id", "original_url", "seq")
-    members = attach_by_key(active, per_key, "dedup_key", F.col("seq"))
+    keyed = with_dedup_key(_active(links), dedup_preset(strategy))
+    rows = keyed.select("dedup_key", "id", "original_url", "seq")
+    members = attach_by_key(rows, _keepers(keyed, sort), "dedup_key", F.col("seq"))
     return members.filter("n > 1 AND id != keep_id").select(
         F.col("dedup_key").alias("normalized_url"),
         "keep_id",
@@ -65,7 +66,7 @@ def duplicate_groups(links: DataFrame, strategy: str = "normalized", sort: str =
 
 def dedup_preview(links: DataFrame, strategy: str = "normalized") -> DataFrame:
     """One row of counts, from the grouped keys alone."""
-    keyed = with_dedup_key(links.filter(is_active(F.col("status"))), dedup_preset(strategy))
+    keyed = with_dedup_key(_active(links), dedup_preset(strategy))
     sizes = keyed.groupBy("dedup_key").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(
         F.count_if(F.col("n") > 1).alias("group_count"),
@@ -76,8 +77,12 @@ def dedup_preview(links: DataFrame, strategy: str = "normalized") -> DataFrame:
 
 def dedup_execute(links: DataFrame, strategy: str = "normalized", sort: str = "original") -> DataFrame:
     """All links; the ones not kept become ``duplicate_removed`` and point to the kept row."""
-    keyed, per_key = _groups(links, strategy, sort)
-    marked = attach_by_key(keyed, per_key.select("dedup_key", "n", "keep_id"), "dedup_key", F.col("seq"))
+    preset = dedup_preset(strategy)
+    keepers = _keepers(with_dedup_key(_active(links), preset), sort).select("dedup_key", "n", "keep_id")
+    keyed = with_dedup_key(links, preset).withColumn(
+        "dedup_key", F.when(is_active(F.col("status")), F.col("dedup_key"))
+    )
+    marked = attach_by_key(keyed, keepers, "dedup_key", F.col("seq"))
     drop = F.coalesce((F.col("n") > 1) & (F.col("id") != F.col("keep_id")), F.lit(False))
     return marked.withColumns(
         {

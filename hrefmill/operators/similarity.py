@@ -66,9 +66,10 @@ def similar_enough(a: Column, b: Column, threshold: float) -> Column:
 
 def _grouped_by(links: DataFrame, key: str, method: str) -> DataFrame:
     """Members of every key with at least two links; rows with a NULL key stay ungrouped."""
+    # NULL keys form a group of their own that no row can join; a filter on the key would be pushed
+    # below the projections that compute it.
     per_key = (
-        links.filter(F.col(key).isNotNull())
-        .groupBy(key)
+        links.groupBy(key)
         .agg(F.count(F.lit(1)).alias("__n"), F.min_by("id", "seq").alias("__keep"), F.min("seq").alias("__keep_seq"))
         .filter("__n > 1")
     )
@@ -93,12 +94,14 @@ def with_path_key(links: DataFrame, depth: int = 2, out: str = "path_key", resol
 
 
 def group_by_domain(links: DataFrame) -> DataFrame:
-    keyed = links.withColumn("__key", F.col("domain"))
+    keyed = links.withColumn("__key", F.coalesce("domain", F.lit("")))
     return _grouped_by(keyed, "__key", "domain").filter("method IS NOT NULL").select(*GROUP_COLUMNS)
 
 
 def group_by_path_prefix(links: DataFrame, depth: int = 2, resolve: bool = False) -> DataFrame:
-    keyed = with_path_key(links, depth, "__key", resolve)
+    # A malformed URL gets a key of its own: it groups with nothing and needs no NULL test.
+    alone = F.coalesce("__key", F.concat(F.lit("\u0001"), F.col("id")), F.lit(""))
+    keyed = with_path_key(links, depth, "__key", resolve).withColumn("__key", alone)
     return _grouped_by(keyed, "__key", "path_prefix").filter("method IS NOT NULL").select(*GROUP_COLUMNS)
 
 

@@ -287,9 +287,7 @@ def extract_links(lines: DataFrame, profile: DataFrame, extractors: list[Extract
     from_lines = (
         attach_by_key(lines, facts.drop("chars"), "filename", F.col("pos"))
         .filter(F.col("format").isin([e.format for e in by_line]))
-        .withColumn("link", link)
-        .filter(F.col("link").isNotNull())
-        .select("filename", "type", "format", "pos", "link.url", "link.title")
+        .select("filename", "type", "format", "pos", F.inline(F.array_compact(F.array(link))))
     )
     found = F.lit(None).cast("array<struct<pos:bigint,url:string,title:string>>")
     for e in whole:
