@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-MODULES = ["link_queries", "source_queries", "group_queries", "audit_queries"]
+MODULES = ["link_queries", "source_queries", "group_queries", "audit_queries", "stream_queries"]
 
 
 def load() -> ModuleType:

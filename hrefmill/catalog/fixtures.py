@@ -23,15 +23,19 @@ from hrefmill.storage import shared_dir
 _saved: dict[tuple[str, str, str], str] = {}
 
 
-def saved(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """Write a derived table on first use in this session, then read it back."""
+def saved_path(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> str:
+    """Folder of a derived table, written on first use in this session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _saved:
         slug = sf_dir.strip("/").replace("/", "_")
         path = f"{shared_dir(spark)}/hrefmill/{key[0]}/{slug}/{name}"
         build(spark, sf_dir).write.mode("overwrite").parquet(path)
         _saved[key] = path
-    return spark.read.parquet(_saved[key])
+    return _saved[key]
+
+
+def saved(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    return spark.read.parquet(saved_path(spark, sf_dir, name, build))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hrefmill import schemas
 from hrefmill.functions.text import is_blank
 from hrefmill.functions.urls import PARTS, PRESETS, import_preset, normalized, with_url_parts
-from hrefmill.plans.ordering import with_rank_in_group
+from hrefmill.plans.ordering import with_rank_in_group, with_running_total
 from hrefmill.plans.skew import anti_by_key, attach_by_key, semi_by_key
 from hrefmill.sources.formats import EXTRACTORS, Extractor, detect_formats, extract_links
 from hrefmill.storage import cut_lineage
@@ -84,19 +84,27 @@ def parse_sources(
     found = extract_links(lines, profile, extractors)
     checked = cut_lineage(with_validity(found))
     ranked = with_rank_in_group(checked, "filename", "pos", "source_order", F.col("is_valid"))
-    per_job = ranked.groupBy("filename").agg(F.count(F.lit(1)).alias("n"))
+    per_job = checked.groupBy("filename").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("valid"))
     facts = jobs.select("filename", "job_seq", "strategy").join(per_job, "filename")
-    return attach_by_key(ranked, facts, "filename", F.col("pos")).drop("n")
+    placed = with_running_total(facts, ["job_seq", "filename"], "valid", "start_seq")
+    return attach_by_key(ranked, placed, "filename", F.col("pos")).drop("n", "valid")
 
 
-def new_links(parsed: DataFrame, created_at: Column | None = None) -> DataFrame:
-    """Link rows of the valid links; ``seq`` orders by job, then by place in the file."""
+def new_links(parsed: DataFrame, created_at: Column | None = None, first_seq: int = 0) -> DataFrame:
+    """Link rows of the valid links; ``seq`` orders by job, then by place in the file.
+
+    ``first_seq`` is the first number not used by earlier runs (see ``next_seq``).
+    """
     valid = parsed.filter("is_valid").withColumns(
-        {"source_file": F.col("filename"), "seq": F.shiftleft("job_seq", 32) + F.col("source_order")}
+        {"source_file": F.col("filename"), "seq": F.col("start_seq") + F.col("source_order") + first_seq}
     )
     return build_link_rows(valid, F.current_timestamp() if created_at is None else created_at)
 
 
+def next_seq(links: DataFrame) -> int:
+    return links.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+
+
 def job_counts(parsed: DataFrame) -> DataFrame:
     """Imported and error counts per file, from the data and not by adding to stored counters."""
     return parsed.groupBy("filename").agg(
@@ -136,19 +144,22 @@ def only_new(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     return anti_by_key(keyed, stored.select(key), "__key", F.col("seq")).drop("__key")
 
 
+def renumbered(links: DataFrame) -> DataFrame:
+    """Number ``source_order`` from 0 again in each file, after some links were filtered out."""
+    kept = cut_lineage(links)
+    ranked = with_rank_in_group(kept, "source_file", "source_order", "__order")
+    return ranked.withColumn("source_order", F.col("__order")).select(*links.columns)
+
+
 def reparse_changed(
-    parsed: DataFrame, stored: DataFrame, stale: DataFrame, created_at: Column | None = None
+    parsed: DataFrame, stored: DataFrame, stale: DataFrame, created_at: Column | None = None, first_seq: int = 0
 ) -> DataFrame:
     """Rows to append when changed files are parsed again; links gone from a file stay stored.
 
-    ``parsed`` must come from jobs with a fresh ``job_seq``. New rows are numbered from 0 again.
+    Pass ``next_seq`` of the stored links as ``first_seq``.
     """
     changed = semi_by_key(parsed, stale.select("filename"), "filename", F.col("pos"))
-    fresh = cut_lineage(only_new(cut_lineage(new_links(changed, created_at)), stored))
-    ranked = with_rank_in_group(fresh, "source_file", "source_order", "__order")
-    run = F.shiftleft(F.shiftright("seq", 32), 32)
-    renumbered = ranked.withColumns({"source_order": F.col("__order"), "seq": run + F.col("__order")})
-    return renumbered.withColumn("id", F.md5(F.col("seq").cast("string"))).select(*fresh.columns)
+    return renumbered(only_new(cut_lineage(new_links(changed, created_at, first_seq)), stored))
 
 
 def register_sources(files: DataFrame, jobs: DataFrame, first_seq: int = 0, strategy: str = "normalized") -> DataFrame:

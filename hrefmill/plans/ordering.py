@@ -84,3 +84,20 @@ def last_value_before(df: DataFrame, order: list[str], value: str, out: str) ->
         .withColumn(out, F.coalesce("__in", "__carry"))
         .drop("__block", "__idx", "__in", "__carry")
     )
+
+
+def with_running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over all rows before each row in a total order."""
+    blocks = sorted_blocks(df, order)
+    inside = W.partitionBy("__block").orderBy("__idx").rowsBetween(W.unboundedPreceding, -1)
+    sums = blocks.groupBy("__block").agg(F.sum(value).alias("__sum"))
+    carried = sums.select(
+        "__block", F.sum("__sum").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)).alias("__carry")
+    )
+    zero = F.lit(0).cast("bigint")
+    return (
+        blocks.withColumn("__in", F.sum(value).over(inside))
+        .join(carried, "__block")
+        .withColumn(out, F.coalesce("__in", zero) + F.coalesce("__carry", zero))
+        .drop("__block", "__idx", "__in", "__carry")
+    )
