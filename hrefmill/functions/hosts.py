@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import sys
 import unicodedata
 from urllib.parse import unquote
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Executors need not have this package installed: its task code travels with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _FORBIDDEN = re.compile("[\x00-\x20\x7f#/:<>?@\\[\\\\\\]^|%\ufffd]")
 _NUMBER = re.compile(r"^(?:[0-9]+|0[xX][0-9a-fA-F]*)$")
 
@@ -23,12 +28,10 @@ def _ipv6(text: str) -> str | None:
     if "%" in text:
         return None
     try:
-        words = ipaddress.IPv6Address(text).exploded
+        digits = format(int(ipaddress.IPv6Address(text)), "032x")
     except ValueError:
         return None
-    if "." in words:
-        return None
-    groups = [format(int(w, 16), "x") for w in words.split(":")]
+    groups = [format(int(digits[i : i + 4], 16), "x") for i in range(0, 32, 4)]
     runs = [m.span() for m in re.finditer(r"(?:\b0(?::|$)){2,}", ":".join(groups))]
     joined = ":".join(groups)
     if runs:

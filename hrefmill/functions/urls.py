@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hrefmill.functions.hosts import resolve_hosts
-from hrefmill.functions.text import ascii_lower
 
+# A control character that a cleaned URL cannot contain.
 SEP = "\u0001"
 
 # Fixed values of the URL standard: characters that stay as they are in each component.
@@ -65,44 +65,58 @@ def dedup_preset(strategy: str) -> str:
     return "dedup_normalized" if strategy == "normalized" else strategy
 
 
-def _escape(c: Column, safe: str) -> Column:
+# The stages below are SQL text: a stage is then one call into the JVM however long its expression.
+
+
+def _escape(c: str, safe: str) -> str:
     """Percent-encode whatever lies outside the safe class; the common clean value is untouched."""
-    unsafe = f"[^{safe}]"
-    runs = F.regexp_extract_all(c, F.lit(f"([{safe}]+|{unsafe}+)"), F.lit(1))
-    escaped = F.transform(
-        runs, lambda t: F.when(t.rlike(unsafe), F.replace(F.url_encode(t), F.lit("+"), F.lit("%20"))).otherwise(t)
-    )
-    return F.when(c.rlike(unsafe), F.array_join(escaped, "")).otherwise(c)
+    runs = f"regexp_extract_all({c}, r'([{safe}]+|[^{safe}]+)', 1)"
+    fix = f"CASE WHEN t RLIKE r'[^{safe}]' THEN replace(url_encode(t), '+', '%20') ELSE t END"
+    return f"CASE WHEN {c} RLIKE r'[^{safe}]' THEN array_join(transform({runs}, t -> {fix}), '') ELSE {c} END"
 
 
-def _fold_dots(path: Column) -> Column:
+def _fold_dots(path: str) -> str:
     """Resolve ``.`` and ``..`` segments, plain or percent-encoded."""
-    dot, dots = r"(?i)^(?:\.|%2e)$", r"(?i)^(?:\.|%2e){2}$"
-    segments = F.split(F.substring(path, 2, 1 << 30), "/")
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s.rlike(dots), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s.rlike(dot), acc)
-        .otherwise(F.array_append(acc, s)),
-    )
-    ends_in_dot = path.rlike(r"(?i)/(?:\.|%2e){1,2}$")
-    joined = F.array_join(F.when(ends_in_dot, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
-    return F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"), F.concat(F.lit("/"), joined)).otherwise(path)
+    dot, dots = r"r'(?i)^(?:\.|%2e)$'", r"r'(?i)^(?:\.|%2e){2}$'"
+    kept = f"""aggregate(split(substr({path}, 2), '/'), CAST(array() AS array<string>), (kept, s) ->
+        CASE WHEN s RLIKE {dots} THEN slice(kept, 1, greatest(size(kept) - 1, 0))
+             WHEN s RLIKE {dot} THEN kept ELSE array_append(kept, s) END)"""
+    tail = rf"CASE WHEN {path} RLIKE r'(?i)/(?:\.|%2e){{1,2}}$' THEN array('') ELSE CAST(array() AS array<string>) END"
+    joined = f"'/' || array_join(concat({kept}, {tail}), '/')"
+    return rf"CASE WHEN {path} RLIKE r'(?i)/(?:\.|%2e){{1,2}}(?:/|$)' THEN {joined} ELSE {path} END"
 
 
-def _default_port(scheme: Column) -> Column:
-    return (
-        F.when(scheme.isin("http", "ws"), "80").when(scheme.isin("https", "wss"), "443").when(scheme == "ftp", "21")
-    )
+def _default_port(scheme: str) -> str:
+    return f"CASE WHEN {scheme} IN ('http', 'ws') THEN '80' WHEN {scheme} IN ('https', 'wss') THEN '443' WHEN {scheme} = 'ftp' THEN '21' ELSE '' END"
+
+
+def _lower(c: str) -> str:
+    return f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _pieces(text: str, pattern: str) -> str:
+    """The five groups of a pattern as an array; the whole text as one entry where it does not match."""
+    groups = SEP.join(["$1", "$2", "$3", "$4", "$5"])
+    return f"split(regexp_replace({text}, r'{pattern}', '{groups}'), '{SEP}')"
+
+
+def _stage(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({name: F.expr(sql) for name, sql in columns.items()})
 
 
 def _split_special(df: DataFrame, url: str, p: str) -> DataFrame:
     """Add ``{p}m``: scheme, authority, path, ?query and #hash of an http-like URL (5 entries)."""
-    clean = F.regexp_replace(F.col(url), r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
-    return df.withColumn(f"{p}c", F.replace(clean, F.lit(SEP), F.lit("%01"))).withColumn(
-        f"{p}m", F.split(F.regexp_replace(f"{p}c", _SPECIAL, SEP.join(["$1", "$2", "$3", "$4", "$5"])), SEP)
-    )
+    clean = rf"regexp_replace(`{url}`, r'^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]', '')"
+    cleaned = _stage(df, {f"{p}c": f"replace({clean}, '{SEP}', '%01')"})
+    return _stage(cleaned, {f"{p}m": _pieces(f"{p}c", _SPECIAL)})
+
+
+def _userinfo(text: str) -> dict[str, str]:
+    """User and password of an authority, encoded, as two expressions over its text before ``@``."""
+    return {
+        "user": _escape(f"regexp_extract({text}, r'(?s)^([^:]*)', 1)", USER_SAFE),
+        "secret": _escape(f"regexp_extract({text}, r'(?s)^[^:]*:(.+)$', 1)", USER_SAFE),
+    }
 
 
 def with_url_parts(df: DataFrame, url: str, prefix: str = "u_", resolve: bool = True) -> DataFrame:
@@ -113,115 +127,90 @@ def with_url_parts(df: DataFrame, url: str, prefix: str = "u_", resolve: bool =
     no Python stage is planned.
     """
     p = f"__{prefix}"
+    m, g, h, at = f"{p}m", f"{p}g", f"{p}h", f"{p}at"
     work = _split_special(df, url, p)
-    m = F.col(f"{p}m")
-    special = F.size(m) == 5
-    work = work.withColumn(
-        f"{p}g",
-        F.when(special, m).when(
-            ~F.col(f"{p}c").rlike(r"(?i)^(?:https?|ftp|wss?):"),
-            F.split(F.regexp_replace(f"{p}c", _GENERIC, SEP.join(["$1", "$2", "$3", "$4", "$5"])), SEP),
-        ),
-    ).withColumn(f"{p}s", special)
-    g = F.col(f"{p}g")
-    part = lambda i: F.get(g, F.lit(i))
-    work = work.withColumns(
+    generic = f"CASE WHEN NOT {p}c RLIKE r'(?i)^(?:https?|ftp|wss?):' THEN {_pieces(f'{p}c', _GENERIC)} END"
+    work = _stage(work, {g: f"CASE WHEN size({m}) = 5 THEN {m} ELSE {generic} END", f"{p}s": f"size({m}) = 5"})
+    work = _stage(
+        work,
         {
-            f"{p}scheme": F.when(F.size(g) == 5, ascii_lower(part(0))),
-            f"{p}hp": F.regexp_extract(part(1), r"(?s)([^@]*)$", 1),
-            f"{p}at": F.when(part(1).contains("@"), F.regexp_extract(part(1), r"(?s)^(.*)@", 1)).otherwise(""),
-        }
+            f"{p}scheme": f"CASE WHEN size({g}) = 5 THEN {_lower(f'get({g}, 0)')} END",
+            f"{p}hp": f"regexp_extract(get({g}, 1), r'(?s)([^@]*)$', 1)",
+            at: f"CASE WHEN contains(get({g}, 1), '@') THEN regexp_extract(get({g}, 1), r'(?s)^(.*)@', 1) ELSE '' END",
+        },
     )
-    hp = F.col(f"{p}hp")
-    port_text = F.regexp_extract(hp, r"^(?:\[[^\]]*\]|[^:\[]*):([0-9]+)$", 1)
-    work = work.withColumns(
+    work = _stage(
+        work,
         {
-            f"{p}h": ascii_lower(F.regexp_extract(hp, r"(?s)^(\[[^\]]*\]|[^:\[]*)(?::[0-9]*)?$", 1)),
-            f"{p}port": F.when(port_text == "", F.lit(-1)).otherwise(port_text.try_cast("int")),
-        }
+            h: _lower(rf"regexp_extract({p}hp, r'(?s)^(\[[^\]]*\]|[^:\[]*)(?::[0-9]*)?$', 1)"),
+            f"{p}digits": rf"regexp_extract({p}hp, r'^(?:\[[^\]]*\]|[^:\[]*):([0-9]+)$', 1)",
+        },
     )
-    h = F.col(f"{p}h")
-    plain = h.rlike(_PLAIN_HOST) & (~h.rlike(_NUMERIC_TAIL) | h.rlike(_DOTTED_QUAD))
-    if resolve:
-        odd = F.when(F.col(f"{p}s") & ~plain & (h != ""), h)
-        host = F.coalesce(F.when(plain, h), resolve_hosts(odd))
-    else:
-        host = F.when(plain | h.rlike(r"^\[[0-9a-f:]+\]$"), h)
-    work = work.withColumn(f"{p}host", F.when(F.col(f"{p}s"), host).when(F.col(f"{p}scheme").isNotNull(), h))
-    valid = (
-        F.col(f"{p}scheme").isNotNull() & F.col(f"{p}host").isNotNull() & (F.col(f"{p}port").between(-1, 65535))
+    plain = f"({h} RLIKE r'{_PLAIN_HOST}' AND (NOT {h} RLIKE r'{_NUMERIC_TAIL}' OR {h} RLIKE r'{_DOTTED_QUAD}'))"
+    work = _stage(
+        work,
+        {
+            f"{p}plain": plain if resolve else rf"{plain} OR {h} RLIKE r'^\[[0-9a-f:]+\]$'",
+            f"{p}port": f"CASE WHEN {p}digits = '' THEN -1 ELSE TRY_CAST({p}digits AS INT) END",
+        },
     )
-    scheme, s = F.col(f"{p}scheme"), F.col(f"{p}s")
-    raw_path = F.when(part(2) == "", "/").otherwise(F.replace(part(2), F.lit("\\"), F.lit("/")))
-    raw_path = F.when(s, raw_path).otherwise(part(2))
-    port = F.when(F.col(f"{p}port") >= 0, F.col(f"{p}port").cast("string"))
-    user = F.regexp_extract(f"{p}at", r"(?s)^([^:]*)", 1)
-    secret = F.regexp_extract(f"{p}at", r"(?s)^[^:]*:(.+)$", 1)
+    known = f"CASE WHEN NOT {p}s THEN CASE WHEN {p}scheme IS NOT NULL THEN {h} END WHEN {p}plain THEN {h} END"
+    work = _stage(work, {f"{p}host": known})
     if resolve:
-        path = F.when(s, _fold_dots(_escape(raw_path, PATH_SAFE))).otherwise(raw_path)
-        search, frag = _escape(part(3), QUERY_SAFE), _escape(part(4), HASH_SAFE)
-        user, secret = _escape(user, USER_SAFE), _escape(secret, USER_SAFE)
-    else:
-        path, search, frag = raw_path, part(3), part(4)
-    userinfo = F.when(
-        (user != "") | (secret != ""),
-        F.concat(user, F.when(secret != "", F.concat(F.lit(":"), secret)).otherwise(""), F.lit("@")),
-    ).otherwise("")
+        odd = F.expr(f"CASE WHEN {p}s AND NOT {p}plain AND {h} != '' THEN {h} END")
+        work = work.withColumn(f"{p}host", F.coalesce(F.col(f"{p}host"), resolve_hosts(odd)))
+    raw_path = f"CASE WHEN NOT {p}s THEN get({g}, 2) WHEN get({g}, 2) = '' THEN '/' ELSE replace(get({g}, 2), r'\\', '/') END"
+    info = _userinfo(at) if resolve else {
+        "user": f"regexp_extract({at}, r'(?s)^([^:]*)', 1)",
+        "secret": f"regexp_extract({at}, r'(?s)^[^:]*:(.+)$', 1)",
+    }
+    work = _stage(work, {f"{p}raw": raw_path, f"{p}user": info["user"], f"{p}secret": info["secret"]})
+    if resolve:
+        work = _stage(work, {f"{p}raw": f"CASE WHEN {p}s THEN {_escape(f'{p}raw', PATH_SAFE)} ELSE {p}raw END"})
+    valid = f"{p}scheme IS NOT NULL AND {p}host IS NOT NULL AND {p}port BETWEEN -1 AND 65535"
+    port = f"CASE WHEN {p}port >= 0 AND CAST({p}port AS STRING) != {_default_port(f'{p}scheme')} THEN CAST({p}port AS STRING) END"
+    secret = f"CASE WHEN {p}secret != '' THEN ':' || {p}secret ELSE '' END"
     out = {
-        "scheme": scheme,
-        "userinfo": F.when(F.col(f"{p}at") == "", "").otherwise(userinfo),
-        "host": F.col(f"{p}host"),
-        "port": F.when(port != F.coalesce(_default_port(scheme), F.lit("")), port),
-        "path": path,
-        "search": search,
-        "hash": frag,
+        "scheme": f"{p}scheme",
+        "userinfo": f"CASE WHEN {p}user = '' AND {p}secret = '' THEN '' ELSE {p}user || {secret} || '@' END",
+        "host": f"{p}host",
+        "port": port,
+        "path": f"CASE WHEN {p}s THEN {_fold_dots(f'{p}raw')} ELSE {p}raw END" if resolve else f"{p}raw",
+        "search": _escape(f"get({g}, 3)", QUERY_SAFE) if resolve else f"get({g}, 3)",
+        "hash": _escape(f"get({g}, 4)", HASH_SAFE) if resolve else f"get({g}, 4)",
     }
-    work = work.withColumns({f"{prefix}{k}": F.when(valid, v) for k, v in out.items()})
+    work = _stage(work, {f"{prefix}{k}": f"CASE WHEN {valid} THEN {v} END" for k, v in out.items()})
     return work.drop(*[c for c in work.columns if c.startswith(p)])
 
 
-def sort_query(search: Column) -> Column:
+def _sort_query(search: str) -> str:
     """Stable sort of query parameters by decoded key in locale order, re-encoded as a form."""
-    decode = lambda x: F.coalesce(F.try_url_decode(x), x)
-    pairs = F.transform(
-        F.filter(F.split(F.substring(search, 2, 1 << 30), "&"), lambda x: x != ""),
-        lambda x, i: F.struct(
-            F.collate(decode(F.substring_index(x, "=", 1)), "UNICODE").alias("rank"),
-            i.alias("i"),
-            decode(F.substring_index(x, "=", 1)).alias("k"),
-            decode(F.when(x.contains("="), F.regexp_extract(x, r"(?s)=(.*)$", 1)).otherwise("")).alias("v"),
-        ),
-    )
-    texts = F.transform(F.array_sort(pairs), lambda t: F.concat(F.url_encode(t["k"]), F.lit("="), F.url_encode(t["v"])))
-    joined = F.array_join(texts, "&")
-    return F.when((search == "") | (joined == ""), "").otherwise(F.concat(F.lit("?"), joined))
+    key, value = "substring_index(x, '=', 1)", "CASE WHEN contains(x, '=') THEN regexp_extract(x, r'(?s)=(.*)$', 1) ELSE '' END"
+    pairs = f"""transform(filter(split(substr({search}, 2), '&'), x -> x != ''), (x, i) -> named_struct(
+        'rank', collate(coalesce(try_url_decode({key}), {key}), 'UNICODE'), 'i', i,
+        'k', coalesce(try_url_decode({key}), {key}), 'v', coalesce(try_url_decode({value}), {value})))"""
+    joined = f"array_join(transform(array_sort({pairs}), t -> url_encode(t.k) || '=' || url_encode(t.v)), '&')"
+    # Only separators in the query leave nothing to sort.
+    return f"CASE WHEN {search} RLIKE '[^?&]' THEN '?' || {joined} ELSE '' END"
 
 
 def normalized(prefix: str, config: NormalizeConfig, raw: Column) -> Column:
     """Rewrite the parts added by ``with_url_parts`` under a config; no URL keeps the raw text."""
-    c = {k: F.col(f"{prefix}{k}") for k in PARTS}
-    scheme = F.when(c["scheme"] == "http", "https").otherwise(c["scheme"]) if config.force_https else c["scheme"]
-    # A default port never survives parsing; forcing https can make 443 the default.
-    port = F.when(c["port"] != F.coalesce(_default_port(scheme), F.lit("")), c["port"])
-    host = F.regexp_replace(c["host"], r"^www\.(?=.)", "") if config.remove_www else c["host"]
-    path = c["path"]
+    c = {k: f"`{prefix}{k}`" for k in PARTS}
+    scheme, host, path = c["scheme"], c["host"], c["path"]
+    if config.force_https:
+        scheme = f"CASE WHEN {scheme} = 'http' THEN 'https' ELSE {scheme} END"
+    if config.remove_www:
+        host = rf"regexp_replace({host}, r'^www\.(?=.)', '')"
     if config.remove_trailing_slash:
-        path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/$", ""))
-        path = F.when((path == "") & (c["path"] != ""), "/").otherwise(path)
-    search = sort_query(c["search"]) if config.sort_query_params else c["search"]
-    frag = F.lit("") if config.remove_fragment else c["hash"]
-    slashes = F.when((c["host"] != "") | scheme.isin("http", "https", "ftp", "ws", "wss"), "://").otherwise(":")
-    text = F.concat(
-        scheme,
-        slashes,
-        c["userinfo"],
-        host,
-        F.coalesce(F.concat(F.lit(":"), port), F.lit("")),
-        path,
-        search,
-        frag,
-    )
-    return F.coalesce(text, raw)
+        path = f"CASE WHEN {path} = '/' THEN '/' ELSE regexp_replace({path}, '/$', '') END"
+    search = _sort_query(c["search"]) if config.sort_query_params else c["search"]
+    frag = "''" if config.remove_fragment else c["hash"]
+    slashes = f"CASE WHEN {host} != '' THEN '://' ELSE ':' END"
+    # A default port never survives parsing; forcing https can make 443 the default.
+    port = f"CASE WHEN {c['port']} != {_default_port(scheme)} THEN ':' || {c['port']} ELSE '' END"
+    text = f"concat({scheme}, {slashes}, {c['userinfo']}, {host}, {port}, {path}, {search}, {frag})"
+    return F.coalesce(F.expr(text), raw)
 
 
 def with_normalized(df: DataFrame, url: str, out: str, preset: str, resolve: bool = True) -> DataFrame:
@@ -229,52 +218,48 @@ def with_normalized(df: DataFrame, url: str, out: str, preset: str, resolve: boo
     config = PRESETS[preset]
     if config is None:
         return df.withColumn(out, F.col(url))
-    parsed = with_url_parts(df, url, "__n_", resolve)
-    return parsed.withColumn(out, normalized("__n_", config, F.col(url))).drop(*[f"__n_{k}" for k in PARTS])
+    parsed = with_url_parts(df, url, "n__", resolve)
+    return parsed.withColumn(out, normalized("n__", config, F.col(url))).drop(*[f"n__{k}" for k in PARTS])
 
 
 def with_dedup_key(links: DataFrame, preset: str, out: str = "dedup_key") -> DataFrame:
     """Normalise ``original_url`` of stored links from their stored parts.
 
     Ingest has already resolved host, path, query and hash, so only scheme, user and port are read
-    from the raw text and no Python stage is needed.
+    from the raw text and no Python stage is needed. The key is never NULL, so a join on it adds no
+    NULL test for Catalyst to push below the projections that build it.
     """
     config = PRESETS[preset]
     if config is None:
         return links.withColumn(out, F.coalesce("original_url", F.lit("")))
     p = "__k_"
+    m, at = f"{p}m", f"regexp_extract(get({p}m, 1), r'(?s)^(.*)@', 1)"
     work = _split_special(links, "original_url", p)
-    m = F.col(f"{p}m")
-    at = lambda i: F.get(m, F.lit(i))
-    usable = (F.size(m) == 5) & F.col("url_path").isNotNull()
-    marker = lambda i, stored, sign: F.when(at(i) == "", "").otherwise(
-        F.concat(F.lit(sign), F.coalesce(F.col(stored), F.lit("")))
+    info = _userinfo(at)
+    work = _stage(
+        work,
+        {
+            f"{p}ok": f"size({m}) = 5 AND url_path IS NOT NULL",
+            f"{p}user": f"CASE WHEN contains(get({m}, 1), '@') THEN {info['user']} ELSE '' END",
+            f"{p}secret": f"CASE WHEN contains(get({m}, 1), '@') THEN {info['secret']} ELSE '' END",
+            f"{p}scheme": _lower(f"get({m}, 0)"),
+            f"{p}port": f"nullif(regexp_extract(get({m}, 1), r':0*([0-9]+)$', 1), '')",
+        },
     )
-    plain_user = ~F.coalesce(at(1), F.lit("")).contains("@")
-    work = work.withColumns(
+    secret = f"CASE WHEN {p}secret != '' THEN ':' || {p}secret ELSE '' END"
+    work = _stage(
+        work,
         {
-            f"{p}scheme": F.when(usable, ascii_lower(at(0))),
-            f"{p}userinfo": F.when(plain_user, "").otherwise(_stored_userinfo(at(1))),
-            f"{p}host": F.col("domain"),
-            f"{p}port": F.nullif(
-                F.regexp_extract(at(1), r":0*([0-9]+)$", 1), F.lit("")
-            ),
-            f"{p}path": F.col("url_path"),
-            f"{p}search": marker(3, "url_query", "?"),
-            f"{p}hash": marker(4, "url_hash", "#"),
-        }
+            f"{p}userinfo": f"CASE WHEN {p}user = '' AND {p}secret = '' THEN '' ELSE {p}user || {secret} || '@' END",
+            f"{p}host": "domain",
+            f"{p}path": "url_path",
+            f"{p}search": f"CASE WHEN get({m}, 3) = '' THEN '' ELSE '?' || coalesce(url_query, '') END",
+            f"{p}hash": f"CASE WHEN get({m}, 4) = '' THEN '' ELSE '#' || coalesce(url_hash, '') END",
+        },
     )
-    return work.withColumn(out, normalized(p, config, F.col(f"{p}c"))).withColumn(
-        out, F.coalesce(F.when(usable, F.col(out)), F.col("original_url"), F.lit(""))
-    ).drop(*[c for c in work.columns if c.startswith(p)])
-
-
-def _stored_userinfo(authority: Column) -> Column:
-    info = F.regexp_extract(authority, r"(?s)^(.*)@", 1)
-    user = _escape(F.regexp_extract(info, r"(?s)^([^:]*)", 1), USER_SAFE)
-    secret = _escape(F.regexp_extract(info, r"(?s)^[^:]*:(.+)$", 1), USER_SAFE)
-    tail = F.when(secret == "", "").otherwise(F.concat(F.lit(":"), secret))
-    return F.when((user == "") & (secret == ""), "").otherwise(F.concat(user, tail, F.lit("@")))
+    key = F.when(F.col(f"{p}ok"), normalized(p, config, F.col("original_url"))).otherwise(F.col("original_url"))
+    work = work.withColumn(out, F.coalesce(key, F.lit("")))
+    return work.drop(*[c for c in work.columns if c.startswith(p)])
 
 
 # Host names and prefixes that count as private.

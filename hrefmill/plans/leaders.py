@@ -10,12 +10,18 @@ bounds the rounds; runs of unrelated URLs cut the chains, so few rounds do in pr
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hrefmill.storage import cut_lineage
 
+# Executors need not have this package installed: its task code travels with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK = 16_384
 _SCHEMA = "chunk long, member long, leader long"
 

@@ -13,7 +13,7 @@ COMMITS = "commit bigint, table string, path string"
 
 
 def _commits(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(COMMITS).parquet(f"{root}/_commits_log")
+    return spark.read.schema(COMMITS).parquet(f"{root}/commits")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -23,7 +23,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def latest_commit(spark: SparkSession, root: str) -> int:
     """Number of the newest commit, 0 when there is none."""
-    if not _exists(spark, f"{root}/_commits_log"):
+    if not _exists(spark, f"{root}/commits"):
         return 0
     return _commits(spark, root).agg(F.coalesce(F.max("commit"), F.lit(0))).first()[0]
 
@@ -36,7 +36,7 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int
         path = f"{root}/{name}/v{commit}"
         df.write.mode("overwrite").parquet(path)
         rows.append((commit, name, path))
-    spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("append").parquet(f"{root}/_commits_log")
+    spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("append").parquet(f"{root}/commits")
     return commit
 
 
