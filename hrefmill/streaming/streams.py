@@ -29,10 +29,9 @@ def stream_source_files(spark: SparkSession, root: str, max_files: int = 1000) -
     A rewritten file is not seen again: land each revision under a new name.
     """
     text = (
-        spark.readStream.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.readStream.option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", max_files)
-        .text(root)
+        .text(root, wholetext=True)
     )
     return text.select(
         relative_name(F.col("_metadata.file_path"), root).alias("filename"),
