@@ -123,6 +123,8 @@ def similar_pairs(nodes: DataFrame, threshold: float = 0.8, window: int = WINDOW
     join key carries more than ``window`` by ``2 * window`` candidates, however big the domain.
     """
     bucket = F.floor(F.col("pos") / window)
+    # A little data makes a lot of comparisons here, so the tasks must not be merged by data size.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = nodes.select(F.col("pos").alias("i"), "domain", F.col("normalized_url").alias("a"), bucket.alias("b"))
     right = nodes.select(
         F.col("pos").alias("j"),
@@ -132,7 +134,8 @@ def similar_pairs(nodes: DataFrame, threshold: float = 0.8, window: int = WINDOW
     )
     gap = F.col("j") - F.col("i")
     return (
-        left.join(right, ["domain", "b"])
+        left.repartition(tasks, "domain", "b")
+        .join(right.repartition(tasks, "domain", "b"), ["domain", "b"])
         .filter((gap > 0) & (gap < window) & similar_enough(F.col("a"), F.col("c"), threshold))
         .select("i", "j")
     )

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -28,16 +29,27 @@ _SCHEMA = "chunk long, member long, leader long"
 
 def claim_in_order(edges: pd.DataFrame, incoming: dict[int, int]) -> dict[int, int]:
     """One pass over the edges of a chunk; returns member -> leader, incoming claims included."""
-    claimed = dict(incoming)
-    for i, j in zip(edges["i"].tolist(), edges["j"].tolist()):
-        if i not in claimed and j not in claimed:
-            claimed[j] = i
-    return claimed
+    order = np.argsort(edges["i"].to_numpy(), kind="stable")
+    i, j = edges["i"].to_numpy()[order], edges["j"].to_numpy()[order]
+    taken = np.fromiter(incoming.keys(), dtype="int64", count=len(incoming))
+    everything = np.concatenate([i, j, taken])
+    if not len(everything):
+        return {}
+    base = everything.min()
+    leader = np.full(everything.max() - base + 1, -1, dtype="int64")
+    leader[taken - base] = np.fromiter(incoming.values(), dtype="int64", count=len(incoming))
+    starts = np.flatnonzero(np.diff(i, prepend=i[:1] - 1))
+    for a, b in zip(starts, np.append(starts[1:], len(i))):
+        if leader[i[a] - base] < 0:
+            reached = j[a:b] - base
+            leader[reached[leader[reached] < 0]] = i[a]
+    members = np.flatnonzero(leader >= 0)
+    return dict(zip((members + base).tolist(), leader[members].tolist()))
 
 
 def _run_chunk(key: tuple, edges: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
     incoming = dict(zip(carry["member"].tolist(), carry["leader"].tolist()))
-    claimed = claim_in_order(edges.sort_values(["i", "j"]), incoming)
+    claimed = claim_in_order(edges, incoming)
     rows = [(key[0], member, leader) for member, leader in claimed.items() if member not in incoming]
     return pd.DataFrame(rows, columns=["chunk", "member", "leader"]).astype("int64")
 

@@ -27,7 +27,9 @@ def attach_by_key(
     from ``spread`` instead of all to one task. NULL keys match nothing and are spread the same way.
     """
     values = [c for c in per_key.columns if c != key]
-    per_key = cut_lineage(per_key)
+    # The slot must be data: a literal here would let Catalyst turn the join on (key, slot) into a
+    # join on the key alone.
+    per_key = cut_lineage(per_key.withColumn("__slot", F.lit(0).cast("bigint")))
     hot = per_key.filter(F.col(size) >= hot_rows)
     tagged, is_hot = rows, F.lit(False)
     if not hot.isEmpty():
@@ -37,8 +39,7 @@ def attach_by_key(
         is_hot = F.coalesce("__hot", F.lit(False))
     anywhere = F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1
     slot = F.when(is_hot | F.col(key).isNull(), anywhere).otherwise(F.lit(0).cast("bigint"))
-    cold = per_key.withColumn("__slot", F.lit(0).cast("bigint"))
-    joined = tagged.withColumn("__slot", slot).join(cold, [key, "__slot"], "left")
+    joined = tagged.withColumn("__slot", slot).join(per_key, [key, "__slot"], "left")
     if tagged is rows:
         return joined.select(*rows.columns, *values)
     picked = [F.when(is_hot, F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values]
