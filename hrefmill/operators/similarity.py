@@ -16,6 +16,7 @@ from hrefmill.plans.ordering import with_global_position
 from hrefmill.plans.skew import attach_by_key
 
 WINDOW = 200
+MAX_PAGE = 500
 GROUP_COLUMNS = ["method", "group_key", "group_size", "keep_id", "keep_seq", "id", "seq", "original_url"]
 
 
@@ -229,6 +230,8 @@ def domain_buckets(links: DataFrame) -> DataFrame:
 
 def bucket_page(links: DataFrame, cursor: int = 0, batch: int = 50) -> DataFrame:
     """The domains ``[cursor, cursor + batch)`` in bucket order, with the number of all domains."""
+    if not 1 <= batch <= MAX_PAGE or cursor < 0:
+        raise ValueError(f"batch must be 1..{MAX_PAGE} and cursor not negative")
     buckets = domain_buckets(links)
     total = buckets.agg(F.count(F.lit(1)).alias("total_domains")).withColumn("__one", F.lit(1))
     chosen = buckets.offset(cursor).limit(batch).withColumn("__one", F.lit(1))
@@ -238,7 +241,7 @@ def bucket_page(links: DataFrame, cursor: int = 0, batch: int = 50) -> DataFrame
 
 
 def edit_distance_page(links: DataFrame, cursor: int = 0, batch: int = 50, threshold: float = 0.8) -> DataFrame:
-    """Edit-distance clusters of one page of domains."""
+    """Edit-distance clusters of one page of domains; a page holds at most ``MAX_PAGE`` names."""
     chosen = bucket_page(links, cursor, batch).select("domain")
     return edit_distance_clusters(links.join(F.broadcast(chosen), "domain", "left_semi"), threshold)
 
