@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hrefmill.llm import decontaminate
+from hrefmill.llm import decontaminate, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op9_shards": sharding.op9_shards,
 }
 ORACLE: dict[str, str] = {"op6_decontaminate": decontaminate.OP6_SQL}
