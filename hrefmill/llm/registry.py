@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hrefmill.llm import decontaminate, sharding
+from hrefmill.llm import bpe, decontaminate, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_bpe": bpe.op7_bpe,
     "op9_shards": sharding.op9_shards,
 }
 ORACLE: dict[str, str] = {"op6_decontaminate": decontaminate.OP6_SQL}
