@@ -29,10 +29,11 @@ import regex
 from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from hrefmill.llm import common
-from hrefmill.llm.tables import fresh_folder
+from hrefmill.llm.tables import fresh_folder, keep
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -355,6 +356,16 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def frequent_words(docs: DataFrame, most: int, text_col: str = "text") -> list[bytes]:
+    """The words of all texts with the highest counts, at most ``most``: all above one count, ties left out."""
+    counts = keep(word_counts(docs, text_col))
+    per_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    upto = F.sum("words").over(W.orderBy(F.desc("n")))
+    # One row for each distinct count.
+    least = per_count.select("n", upto.alias("upto")).filter(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    return [] if least is None else [bytes(r[0]) for r in counts.filter(F.col("n") >= least).select("word").collect()]
+
+
 def _publish(spark: SparkSession, block: bytes) -> str:
     """Put the lexicon file on all executors; returns its name there."""
     name = f"lexicon-{uuid.uuid4().hex}"
@@ -378,9 +389,8 @@ def encode(
     names = outputs or {"token_ids": "token_ids"}
     names = {k: names[k] for k in OUTPUTS if k in names}
     tokenizer = Tokenizer(tokenizer_path)
-    frequent = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(lexicon).collect()
     exact = tokenizer.splitter()
-    words = [bytes(r["word"]) for r in frequent]
+    words = frequent_words(docs, lexicon, text_col)
     file = _publish(spark, compile_lexicon(words, [exact(w.decode()) for w in words]))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(v, OUTPUTS[k][1]) for k, v in names.items())])
     task = _encode_task(spark.sparkContext.broadcast(vars(tokenizer)), file, text_col, names)
