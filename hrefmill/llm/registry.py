@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hrefmill.llm import bpe, decontaminate, sharding
+from hrefmill.llm import bpe, decontaminate, sharding, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,5 +14,6 @@ QUERIES: dict[str, Query] = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_bpe": bpe.op7_bpe,
     "op9_shards": sharding.op9_shards,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLE: dict[str, str] = {"op6_decontaminate": decontaminate.OP6_SQL}
