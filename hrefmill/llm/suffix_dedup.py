@@ -148,17 +148,15 @@ def repeated_spans(
         else:  # cheaper made twice than stored
             runs = texts.mapInArrow(_run_task(width, digit, True), f"{brief}, start long, last long")
             rows = texts.mapInArrow(_run_task(width, digit, False), brief)
-        shared = (
-            rows.groupBy("anchor")
-            .agg(
-                F.min("id").alias("first_id"),
-                F.max("id").alias("last_id"),
-                F.min("string").alias("low"),
-                F.max("string").alias("high"),
-            )
-            .filter(F.col("first_id") < F.col("last_id"))
-            .select("anchor", "first_id", (F.col("low") == F.col("high")).alias("settled"))
+        groups = rows.groupBy("anchor").agg(
+            F.min("id").alias("first_id"),
+            F.max("id").alias("last_id"),
+            F.min("string").alias("low"),
+            F.max("string").alias("high"),
         )
+        repeated = groups.filter(F.col("first_id") < F.col("last_id"))
+        # Kept, so that the shuffle files of the groups are gone before those of the join come.
+        shared = keep(repeated.select("anchor", "first_id", (F.col("low") == F.col("high")).alias("settled")))
         met = keep(
             runs.join(shared, "anchor")
             .filter(~F.col("settled") | (F.col("id") > F.col("first_id")))
