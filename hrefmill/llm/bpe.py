@@ -20,7 +20,6 @@ import heapq
 import json
 import sys
 import unicodedata
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from hrefmill.llm import common
-from hrefmill.llm.tables import fresh_folder, keep
+from hrefmill.llm.tables import keep, publish
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -366,17 +365,6 @@ def frequent_words(docs: DataFrame, most: int, text_col: str = "text") -> list[b
     return [] if least is None else [bytes(r[0]) for r in counts.filter(F.col("n") >= least).select("word").collect()]
 
 
-def _publish(spark: SparkSession, block: bytes) -> str:
-    """Put the lexicon file on all executors; returns its name there."""
-    name = f"lexicon-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{fresh_folder(spark)}/{name}")
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-    out.write(block)
-    out.close()
-    spark.sparkContext.addFile(path.toString())
-    return name
-
-
 def encode(
     docs: DataFrame,
     tokenizer_path: str,
@@ -391,7 +379,7 @@ def encode(
     tokenizer = Tokenizer(tokenizer_path)
     exact = tokenizer.splitter()
     words = frequent_words(docs, lexicon, text_col)
-    file = _publish(spark, compile_lexicon(words, [exact(w.decode()) for w in words]))
+    file = publish(spark, "lexicon", compile_lexicon(words, [exact(w.decode()) for w in words]))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(v, OUTPUTS[k][1]) for k, v in names.items())])
     task = _encode_task(spark.sparkContext.broadcast(vars(tokenizer)), file, text_col, names)
     return docs.mapInArrow(task, schema)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hrefmill.llm import bpe, decontaminate, near_dedup, sharding, suffix_dedup
+from hrefmill.llm import bpe, decontaminate, near_dedup, quality, sharding, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_bpe": bpe.op7_bpe,
     "op9_shards": sharding.op9_shards,

@@ -38,6 +38,17 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def publish(spark: SparkSession, kind: str, block: bytes) -> str:
+    """Put a file of bounded size on all executors by Spark's ``addFile``; returns its name for ``SparkFiles.get``."""
+    name = f"{kind}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{fresh_folder(spark)}/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(block)
+    out.close()
+    spark.sparkContext.addFile(path.toString())
+    return name
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, prefixed until no column has it in any case."""
     taken = {c.lower() for c in columns}
