@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hrefmill.llm import bpe, decontaminate, near_dedup, quality, sharding, suffix_dedup
+from hrefmill.llm import bpe, decontaminate, language, near_dedup, quality, sharding, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": quality.op5_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_bpe": bpe.op7_bpe,
+    "op8_language": language.op8_language,
     "op9_shards": sharding.op9_shards,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
