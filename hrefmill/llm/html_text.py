@@ -272,7 +272,8 @@ def main_text(source: str | None) -> str:
         node.score += START.get(node.tag, 0) + (25 if node.words & LIKELY else 0)
         node.score *= 1 - min(1.0, node.links / max(1, node.chars))
     order = {id(n): i for i, n in enumerate(page.nodes)}
-    above = [n for n in touched.values() if id(n) in paid or n.tag not in PARAGRAPH]
+    rows = ("tr", "tbody", "thead", "tfoot")
+    above = [n for n in touched.values() if (id(n) in paid or n.tag not in PARAGRAPH) and n.tag not in rows]
     best = max(above, key=lambda n: (n.score, -order[id(n)]))
     kept = {id(n) for n in _chosen(best, touched)}
     listed = {id(n) for n in touched.values() if _is_link_list(n)} - kept
