@@ -164,7 +164,8 @@ def repeated_spans(
         )
         found.append(met.filter("settled").select("id", "start", "last"))
         left = met.filter(~F.col("settled"))
-        strings = left.groupBy("anchor", "string").agg(F.min("id").alias("first_id"))
+        # Kept, so that the join has plain shuffles on both sides and a hot string's rows can be split.
+        strings = keep(left.groupBy("anchor", "string").agg(F.min("id").alias("first_id")))
         told = keep(left.join(strings, ["anchor", "string"]).select("id", "first_id", "start", "last"))
         found.append(told.filter(F.col("id") > F.col("first_id")).select("id", "start", "last"))
         alive = told.filter(F.col("id") == F.col("first_id"))
@@ -231,7 +232,7 @@ def dedup(
     """``(doc_id, text)`` plus ``outputs``: what is left of each text (``kept``, bytes; or its digest) and counts."""
     spans = repeated_spans(docs, id_col, text_col, width, digits)
     packed = F.shiftleft("start", 32).bitwiseOR(F.col("last") + width)
-    lists = spans.groupBy("id").agg(F.collect_list(packed).alias("__spans"))
+    lists = keep(spans.groupBy("id").agg(F.collect_list(packed).alias("__spans")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     joined = rows.join(lists, rows["doc_id"] == lists["id"], "left").drop("id")
     schema = T.StructType([*rows.schema.fields, *(T.StructField(o, _KINDS[o]) for o in outputs)])
