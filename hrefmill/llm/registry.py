@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hrefmill.llm import bpe, decontaminate, html_text, language, near_dedup, quality, sharding, suffix_dedup
+from hrefmill.llm import bpe, decontaminate, html_text, language, near_dedup, quality, sharding, suffix_dedup, surrogates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op3_surrogates": surrogates.op3_surrogates,
     "op4_html": html_text.op4_html,
     "op5_quality": quality.op5_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
