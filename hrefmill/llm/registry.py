@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hrefmill.llm import bpe, decontaminate, html_text, language, near_dedup, quality, sharding, suffix_dedup, surrogates
+from hrefmill.llm import bpe, decontaminate, html_text, language, near_dedup, quality, sharding, suffix_dedup, surrogates, tool_calls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_tool_calls": tool_calls.op2_tool_calls,
     "op3_surrogates": surrogates.op3_surrogates,
     "op4_html": html_text.op4_html,
     "op5_quality": quality.op5_quality,
@@ -21,4 +22,4 @@ QUERIES: dict[str, Query] = {
     "op9_shards": sharding.op9_shards,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
-ORACLE: dict[str, str] = {"op6_decontaminate": decontaminate.OP6_SQL}
+ORACLE: dict[str, str] = {"op2_tool_calls": tool_calls.OP2_SQL, "op6_decontaminate": decontaminate.OP6_SQL}
