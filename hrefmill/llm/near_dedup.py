@@ -7,11 +7,12 @@ keeps its first arrival, and a shingle stops once its time is past all registers
 register with the probability Jaccard similarity of their weighted sets. ``BANDS`` bands of ``ROWS``
 registers make the buckets: a pair at similarity 0.8 shares none with probability 0.59 ** 20, some 3e-5.
 
-Texts that share a bucket are verified exactly (the probability Jaccard computed from both texts) until every
-pair in every bucket is either verified or already in one class. A round takes a few leaders per bucket, twice
-as many as the round before, and verifies them against the bucket's members of other classes; links join
-classes, and buckets inside one class are done. A group of n copies thus costs n pairs, not n squared, and
-no link that would join two classes is left out. Equal texts are one node from the start.
+Texts that share a bucket are verified exactly: their probability Jaccard is computed from both texts. First
+every member of a bucket is verified against the bucket's first one, and links join classes; most buckets lie
+in one class then and are done. The others go to tasks in blocks of at most two times ``CHUNK`` texts (a larger
+bucket in all pairs of its chunks), where every pair of different classes is verified and a union-find keeps only the
+links that join two classes. So no pair in a bucket is left out, and none but links leaves a task. Equal texts are one
+node from the start.
 
 Defined cases: equal texts (empty ones too) are in one class; a null text is a class of its own; a text
 without words is similar only to equal texts; a class is named by its smallest document id, nulls aside;
@@ -38,6 +39,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
+CHUNK = 1024
 
 _is_word = np.ones(256, bool)
 _is_word[:0x80] = False
@@ -155,7 +157,7 @@ def _verify_task(least: float) -> Callable:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for the nodes of ``edges (a, b)``: the smallest node each one is connected with."""
     both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
         # The smallest label next door, then the label of that label.
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
@@ -171,51 +173,111 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _link_classes(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """``(key, class)`` for all keys of ``members (bucket, key)``."""
-    classes = keep(members.select("key", F.col("key").alias("class")).distinct())
-    active, checked = members, None
-    leaders = 1
-    while True:
-        placed = active.join(classes, "key")
-        mixed = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-        mixed = mixed.filter(F.col("low") < F.col("high")).select("bucket")
-        placed = keep(placed.join(mixed, "bucket", "left_semi"))
-        if placed.isEmpty():
-            return classes
-        rank = F.row_number().over(W.partitionBy("bucket").orderBy("key"))
-        heads = keep(placed.withColumn("rank", rank).filter(F.col("rank") <= leaders).drop("rank"))
-        lead = heads.select("bucket", F.col("key").alias("a"), F.col("class").alias("a_class"))
-        pairs = (
-            placed.join(lead, "bucket")
-            .filter((F.col("a") < F.col("key")) & (F.col("a_class") != F.col("class")))
-            .select("a", F.col("key").alias("b"))
-            .distinct()
-        )
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = keep(pairs)
-        left = texts.select(F.col("key").alias("a"), F.col("text").alias("left"))
-        right = texts.select(F.col("key").alias("b"), F.col("text").alias("right"))
-        links = keep(
-            pairs.join(left, "a")
-            .join(right, "b")
-            .select("a", "b", "left", "right")
-            .mapInArrow(_verify_task(least), "a binary, b binary")
+class _Classes:
+    """Union-find over small class numbers."""
+
+    def __init__(self, n: int):
+        self.above = np.arange(n)
+
+    def top(self, i: int) -> int:
+        while self.above[i] != i:
+            self.above[i] = self.above[self.above[i]]
+            i = self.above[i]
+        return i
+
+    def tops(self) -> np.ndarray:
+        while True:
+            higher = self.above[self.above]
+            if (higher == self.above).all():
+                return higher
+            self.above = higher
+
+
+def block_links(texts: pa.Array, classes_: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of classes to join, from all similar pairs of texts of different classes; at most one per class but one.
+
+    A postings list per shingle sums, for one text against all others, the least shares of the common
+    shingles, which no probability Jaccard exceeds; only pairs whose sum suffices are computed.
+    """
+    row, element, weight = shingles(*common.bytes_of(texts))
+    n = len(texts)
+    share = weight / np.bincount(row, weights=weight, minlength=n)[row]
+    new = np.append(True, element[1:] != element[:-1]) if len(element) else np.zeros(0, bool)
+    term = np.cumsum(new) - 1
+    begin = np.append(np.flatnonzero(new), len(element))  # the postings of each shingle
+    order = np.argsort(row, kind="stable")
+    cuts = np.searchsorted(row[order], np.arange(n + 1))
+    names, number = np.unique(classes_, return_inverse=True)
+    joined, found = _Classes(len(names)), []
+    for x in range(n):
+        mine = order[cuts[x] : cuts[x + 1]]
+        if not len(mine):
+            continue
+        starts, sizes = begin[term[mine]], begin[term[mine] + 1] - begin[term[mine]]
+        total = np.cumsum(sizes)
+        at = np.arange(total[-1]) + np.repeat(starts - (total - sizes), sizes)
+        most = np.bincount(row[at], weights=np.minimum(share[at], np.repeat(share[mine], sizes)), minlength=n)
+        likely = np.flatnonzero(most >= least - 1e-9)
+        likely = likely[likely > x]
+        likely = likely[joined.tops()[number[likely]] != joined.top(number[x])]
+        for y in likely.tolist():
+            p, q = joined.top(number[x]), joined.top(number[y])
+            if p == q:
+                continue
+            other = order[cuts[y] : cuts[y + 1]]
+            if similarity((element[mine], weight[mine]), (element[other], weight[other])) >= least:
+                joined.above[q] = p
+                found.append((int(names[number[x]]), int(names[number[y]])))
+    return found
+
+
+def _block_task(least: float) -> Callable:
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks().sort_by("node")
+        links = block_links(block["text"].combine_chunks(), block["class"].to_numpy(), least)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def _link_classes(members: DataFrame, texts: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
+    """``(node, class)`` for all nodes of ``members (bucket, node)``."""
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Buckets with several classes, their smallest node and their size."""
+        found = rows.groupBy("bucket").agg(
+            F.min("class").alias("low"), F.max("class").alias("high"), F.min("node").alias("a"), F.count(F.lit(1)).alias("n")
         )
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        active = placed.select("bucket", "key").join(heads.select("bucket", "key"), ["bucket", "key"], "left_anti")
-        if not links.isEmpty():
-            ends = links.join(classes.withColumnsRenamed({"key": "a", "class": "ca"}), "a").join(
-                classes.withColumnsRenamed({"key": "b", "class": "cb"}), "b"
-            )
-            merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-            classes = keep(
-                classes.join(merged, classes["class"] == merged["node"], "left").select(
-                    "key", F.coalesce("label", "class").alias("class")
-                )
-            )
-        leaders *= 2
+        return keep(found.filter(F.col("low") < F.col("high")).select("bucket", "a", "n"))
+
+    def merged(links: DataFrame) -> DataFrame:
+        found = components(links)
+        return keep(found.filter(F.col("node") != F.col("label")).withColumnRenamed("node", "class"))
+
+    def moved(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels, "class", "left").withColumn("class", F.coalesce("label", "class")).drop("label")
+
+    active = members.withColumn("class", F.col("node"))
+    # First every member against the first of its bucket.
+    pairs = active.join(mixed(active), "bucket").filter(F.col("a") < F.col("node"))
+    pairs = keep(pairs.select("a", F.col("node").alias("b")).distinct())
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
+    texted = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    labels = merged(keep(texted.mapInArrow(_verify_task(least), "a long, b long")))
+    active = keep(moved(active, labels))
+    # Then all members of the buckets that still hold several classes, in blocks of bounded size.
+    open_ = active.join(mixed(active), "bucket").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    blocks = open_.select(
+        "bucket", "node", "class", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    )
+    rows = blocks.select(
+        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "class"
+    ).join(texts, "node")
+    links = rows.groupBy("bucket", "low", "high").applyInArrow(_block_task(least), "a long, b long")
+    labels = merged(keep(links.distinct()))
+    return moved(active.select("node", "class").distinct(), labels)
 
 
 def classes(
@@ -232,28 +294,30 @@ def classes(
     )
     kind = docs.schema[id_col].dataType.simpleString()
     signed = keep(named.mapInArrow(_signature_task(bands, rows), f"id {kind}, key binary, bands array<long>"))
+    # One node per text; its number is settled by the writing.
     nodes = keep(
         signed.filter(F.col("key").isNotNull())
         .groupBy("key")
-        .agg(F.min("id").alias("id"), F.min("bands").alias("bands"))
+        .agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
-    spread = nodes.select("key", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    spread = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = shared.filter(F.col("low") < F.col("high")).select("bucket")
     members = keep(spread.join(shared, "bucket", "left_semi"))
     # The texts that have a candidate, each once.
-    wanted = nodes.join(members.select("key").distinct(), "key", "left_semi").select("id", "key")
-    # Keys of documents without ids are found by the key alone.
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    wanted = keep(wanted.select(F.col("id").alias("first"), "key", "node"))
     texts = keep(
-        named.join(wanted.withColumnRenamed("id", "first"), "key")
-        .filter(F.col("id").eqNullSafe(F.col("first")))
-        .select("key", "text")
-        .dropDuplicates(["key"])
+        named.join(wanted, (named["key"] == wanted["key"]) & named["id"].eqNullSafe(wanted["first"]))
+        .select("node", "text")
+        .dropDuplicates(["node"])
     )
     linked = _link_classes(members, texts, least)
-    whole = nodes.select("key", "id").join(linked, "key", "left").withColumn("class", F.coalesce("class", "key"))
-    names = whole.groupBy("class").agg(F.min("id").alias("class_id"))
-    by_key = whole.join(names, "class").select("key", "class_id")
+    whole = nodes.select("key", "id", "node").join(linked, "node", "left")
+    whole = keep(whole.select("key", "id", F.coalesce("class", "node").alias("class")))
+    names = keep(whole.groupBy("class").agg(F.min("id").alias("class_id")))
+    by_key = keep(whole.join(names, "class").select("key", "class_id"))
     return signed.select("id", "key").join(by_key, "key", "left").withColumn("class_id", F.coalesce("class_id", "id"))
 
 
