@@ -9,8 +9,8 @@ of its items, from a quarter, an eighth and so on, down to single items, so that
 items left to level what the large ones leave uneven.
 
 Law ``bytes``: shard sizes as near equal as whole groups allow; a group above the mean size has a shard
-almost to itself. Defined cases: a null text has size 8 and CRC 0 and all null texts are one group, apart
-from the empty texts; repeated rows are separate rows of one group; an empty table gives no rows.
+almost to itself. Defined cases: a null text counts as empty, so it has size 8 and CRC 0 and is in the
+group of the empty texts; repeated rows are separate rows of one group; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ def shard(
             F.col(id_col).alias("doc_id"),
             (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.coalesce(F.md5(F.col(text_col)), F.lit("null")).alias("item"),
+            F.md5(text).alias("item"),
         )
     )
     groups = rows.groupBy("item").agg(F.sum("size").alias("size"))
