@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,6 +124,17 @@ def _run_task(width: int, digit: int, spans: bool) -> Callable:
     return run
 
 
+def shares_ids(docs: DataFrame, id_col: str, text_col: str) -> bool:
+    """Whether some id has different texts."""
+    hashes = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).groupBy("id")
+    return not hashes.agg(F.min("hash").alias("low"), F.max("hash").alias("high")).filter("low < high").isEmpty()
+
+
+def identity(plain: bool, id_col: str, text_col: str) -> Column:
+    """What a document is known by: its id, or its id and its text's hash."""
+    return F.col(id_col) if plain else F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+
+
 def repeated_spans(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -133,12 +144,16 @@ def repeated_spans(
 ) -> DataFrame:
     """``(id, start, last)``: runs of windows that also start in a document with a smaller id.
 
-    The last digit must be ``width``. The runs' bytes cover exactly what is to be removed.
+    ``id`` is the ``identity`` of the document. The last digit must be ``width``. The runs' bytes cover exactly what is to be removed.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(
         F.col("id").isNotNull() & (F.octet_length("text") >= width)
     )
-    kind = docs.schema[id_col].dataType.simpleString()
+    # Where an id has several texts, the text's hash goes with the id; only the id is compared.
+    plain = not shares_ids(docs, id_col, text_col)
+    own = (lambda c: F.col(c)) if plain else (lambda c: F.col(c)["id"])
+    texts = texts.withColumn("id", identity(plain, "id", "text"))
+    kind = texts.schema["id"].dataType.simpleString()
     brief = f"id {kind}, anchor long, string long"
     found = []
     for level, digit in enumerate(digits):
@@ -154,12 +169,12 @@ def repeated_spans(
             F.min("string").alias("low"),
             F.max("string").alias("high"),
         )
-        repeated = groups.filter(F.col("first_id") < F.col("last_id"))
+        repeated = groups.filter(own("first_id") < own("last_id"))
         # Kept, so that the shuffle files of the groups are gone before those of the join come.
         shared = keep(repeated.select("anchor", "first_id", (F.col("low") == F.col("high")).alias("settled")))
         met = keep(
             runs.join(shared, "anchor")
-            .filter(~F.col("settled") | (F.col("id") > F.col("first_id")))
+            .filter(~F.col("settled") | (own("id") > own("first_id")))
             .select("id", "anchor", "string", "settled", "start", "last")
         )
         found.append(met.filter("settled").select("id", "start", "last"))
@@ -167,8 +182,8 @@ def repeated_spans(
         # Kept, so that the join has plain shuffles on both sides and a hot string's rows can be split.
         strings = keep(left.groupBy("anchor", "string").agg(F.min("id").alias("first_id")))
         told = keep(left.join(strings, ["anchor", "string"]).select("id", "first_id", "start", "last"))
-        found.append(told.filter(F.col("id") > F.col("first_id")).select("id", "start", "last"))
-        alive = told.filter(F.col("id") == F.col("first_id"))
+        found.append(told.filter(own("id") > own("first_id")).select("id", "start", "last"))
+        alive = told.filter(own("id") == own("first_id"))
         packed = F.shiftleft("start", 32).bitwiseOR(F.col("last") + 1)
         lists = alive.groupBy("id").agg(F.collect_list(packed).alias("alive"))
         texts = texts.select("id", "text").join(lists, "id")
@@ -234,7 +249,8 @@ def dedup(
     packed = F.shiftleft("start", 32).bitwiseOR(F.col("last") + width)
     lists = keep(spans.groupBy("id").agg(F.collect_list(packed).alias("__spans")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(lists, rows["doc_id"] == lists["id"], "left").drop("id")
+    known_by = identity(not shares_ids(docs, id_col, text_col), "doc_id", "text")
+    joined = rows.withColumn("__by", known_by).join(lists.withColumnRenamed("id", "__by"), "__by", "left").drop("__by")
     schema = T.StructType([*rows.schema.fields, *(T.StructField(o, _KINDS[o]) for o in outputs)])
     return joined.mapInArrow(_cut_task({o: o for o in outputs}, "text", "__spans"), schema)
 

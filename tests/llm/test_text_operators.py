@@ -315,7 +315,7 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_language_edge_cases(spark):
-    rows = [(1, "der die das", "de"), (2, None, "de"), (3, "12 %", None), (4, "", None), (5, "le la les des", "fr"), (5, "le la", "fr")]
+    rows = [(1, "der die das und nicht " * 9, "de"), (2, None, "de"), (3, "12 %", None), (4, "", None), (5, "le la les des pour " * 9, "fr"), (5, "le la les des pour", "fr")]
     docs = frame(spark, [(*r, "x") for r in rows], "doc_id long, text string, lang string, score string").drop("score")
     made = language.dictionaries(docs)
     assert set(made) == {"de", "fr"}
