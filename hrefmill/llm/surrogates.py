@@ -116,90 +116,89 @@ def occurrences(texts: DataFrame) -> DataFrame:
     )
 
 
-def _stream(key: str, length: Column) -> Column:
-    """Pseudo-random bytes, as an array of numbers of the given length, from the row's identity and attempt."""
+def _chars(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def _stream(key: str) -> Column:
+    """Pseudo-random bytes, an array of numbers as long as the original (32 at least), from identity and attempt.
+
+    Arrays are arguments of the functions below, never looked up inside a lambda, so each is made once.
+    """
     seed = F.concat_ws("\x1f", F.lit(key), "kind", "gender", "script", "original", F.col("attempt").cast("string"))
     block = lambda i: F.sha2(F.concat(F.lit(key), F.sha2(F.concat(seed, F.lit("\x1f"), i.cast("string")), 512)), 512)
-    hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(length / 64).cast("int")), block), "")
-    byte = lambda i: F.conv(F.substr(hexes, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-    return F.transform(F.sequence(F.lit(0), length), byte)
+    hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length("original") / 64).cast("int")), block), "")
+    return F.transform(F.regexp_extract_all(hexes, F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int"))
 
 
-def _redrawn(text: Column, numbers: Column) -> Column:
+def _redrawn(text: Column) -> Column:
     """Letters and digits of a string replaced by drawn ones of the same class."""
-    digit, small, large = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-    def one(i: Column) -> Column:
-        c, n = F.substr(text, i + 1, F.lit(1)), F.get(numbers, i)
+    def one(c: Column, n: Column) -> Column:
         pick = lambda letters: F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1))
         return (
-            F.when(c.rlike("[0-9]"), pick(digit))
-            .when(c.rlike("[a-z]"), pick(small))
-            .when(c.rlike("[A-Z]"), pick(large))
+            F.when(c.rlike("[0-9]"), pick("0123456789"))
+            .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz"))
+            .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
             .otherwise(c)
         )
 
-    places = F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: i < F.length(text))
-    return F.array_join(F.transform(places, one), "")
+    return F.array_join(F.zip_with(_chars(text), F.slice("numbers", F.lit(1), F.length(text)), one), "")
 
 
-def _hex_redrawn(text: Column, numbers: Column) -> Column:
-    places = F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: i < F.length(text))
-    digits = F.transform(places, lambda i: F.lower(F.hex(F.get(numbers, i) % 16)))
+def _hex_redrawn(text: Column) -> Column:
+    digits = F.transform(F.slice("numbers", F.lit(1), F.length(text)), lambda n: F.lower(F.hex(n % 16)))
     joined = F.array_join(digits, "")
     return F.when(text == F.upper(text), F.upper(joined)).otherwise(joined)
 
 
 def luhn(digits: Column) -> Column:
     """The Luhn sum of a digit string modulo 10."""
-    places = F.filter(F.sequence(F.lit(0), F.length(digits)), lambda i: i < F.length(digits))
 
-    def value(i: Column) -> Column:
-        d = F.substr(digits, F.length(digits) - i, F.lit(1)).cast("int")
+    def value(c: Column, i: Column) -> Column:
+        d = c.cast("int")
         return F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
 
-    return F.aggregate(F.transform(places, value), F.lit(0), lambda a, b: a + b) % 10
+    return F.aggregate(F.transform(F.reverse(_chars(digits)), value), F.lit(0), lambda a, b: a + b) % 10
 
 
-def _name(numbers: Column) -> Column:
+def _name() -> Column:
     """Two or more syllables and an ending, of the row's script and gender."""
     out = None
+    count = F.when(F.col("kind") == "family", 2).otherwise(1) + F.floor(F.col("attempt") / 3).cast("int")
+    drawn = F.slice("numbers", F.lit(2), count)
     for script, syllables in SYLLABLES.items():
         parts = F.array(*[F.lit(s) for s in syllables.split()])
-        count = F.when(F.col("kind") == "family", 2).otherwise(1) + F.floor(F.col("attempt") / 3).cast("int")
-        body = F.array_join(
-            F.transform(F.sequence(F.lit(1), count), lambda i: F.get(parts, F.get(numbers, i) % len(syllables.split()))), ""
-        )
+        body = F.array_join(F.transform(drawn, lambda n: F.get(parts, n % len(syllables.split()))), "")
         for gender, endings in ENDINGS[script].items():
             ends = F.array(*[F.lit(e) for e in endings.split()])
-            name = F.initcap(F.concat(body, F.get(ends, F.get(numbers, F.lit(0)) % len(endings.split()))))
+            name = F.initcap(F.concat(body, F.get(ends, F.get("numbers", F.lit(0)) % len(endings.split()))))
             here = (F.col("script") == script) & (F.col("gender") == gender)
             out = F.when(here, name) if out is None else out.when(here, name)
     return out
 
 
-def _drawn(key: str) -> Column:
-    """The surrogate of a row (kind, gender, script, original, attempt), in canonical form."""
+def _drawn() -> Column:
+    """The surrogate of a row (kind, gender, script, original, attempt, numbers), in canonical form."""
     original, kind = F.col("original"), F.col("kind")
-    n = _stream(key, F.greatest(F.length("original"), F.lit(32)))
-    at = lambda i: F.get(n, F.lit(i))
+    at = lambda i: F.get("numbers", F.lit(i))
     top = F.regexp_extract(original, r"\.[^.@]+$", 0)
     host = F.substr(original, F.lit(1), F.length(original) - F.length(top))
     octets = F.concat_ws(".", *[(at(i) % 223 + 1 if i == 0 else at(i)).cast("string") for i in range(4)])
     rest = F.regexp_extract(original, r"\|(.*)$", 1)
     country = F.regexp_extract(original, r"^([^|]*)\|", 1)
-    free = _redrawn(original, n)
-    card_head = F.concat(F.substr(original, F.lit(1), F.lit(1)), F.substr(free, F.lit(2), F.length(free) - 2))
+    free = _redrawn(original)
+    card_head = F.concat(F.substr(original, F.lit(1), F.lit(1)), F.substr(free, F.lit(2), F.length(original) - 2))
     gap = F.pmod(luhn(original) - luhn(F.concat(card_head, F.lit("0"))), F.lit(10))
     return (
-        F.when(kind == "email", F.concat(_redrawn(host, n), top))
-        .when(kind == "secret", _hex_redrawn(original, n))
+        F.when(kind == "email", F.concat(_redrawn(host), top))
+        .when(kind == "secret", _hex_redrawn(original))
         .when(kind == "ip", octets)
         .when(kind == "iban", F.concat(F.substr(original, F.lit(1), F.lit(2)), F.substr(free, F.lit(3))))
         .when(kind == "card", F.concat(card_head, gap.cast("string")))
-        .when(kind == "phone", F.concat(country, F.lit("|"), _redrawn(rest, n)))
+        .when(kind == "phone", F.concat(country, F.lit("|"), _redrawn(rest)))
         .when(kind == "ssn", free)
-        .otherwise(_name(n))
+        .otherwise(_name())
     )
 
 
@@ -212,7 +211,8 @@ def dictionary(entities: DataFrame, key: str = KEY) -> DataFrame:
     for _ in range(ATTEMPTS):
         if open_.isEmpty():
             return done if done is not None else open_.drop("attempt").withColumn("surrogate", F.lit(""))
-        drawn = keep(open_.withColumn("surrogate", _drawn(key)))
+        drawn = keep(open_.withColumn("numbers", _stream(key)))
+        drawn = keep(drawn.withColumn("surrogate", _drawn()).drop("numbers"))
         place = F.row_number().over(W.partitionBy("kind", "surrogate").orderBy("original", "gender", "script"))
         taken = originals if done is None else originals.unionByName(done.select("kind", "surrogate", F.lit(True).alias("known")))
         checked = keep(
@@ -229,18 +229,19 @@ def dictionary(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def _poured() -> Column:
-    """The surrogate in the punctuation (and for addresses the case) of the occurrence."""
+    """The surrogate in the punctuation (and for addresses the case) of the occurrence.
+
+    ``plain`` is the surrogate without what punctuation the canonical form has.
+    """
     found, kind = F.col("found"), F.col("kind")
-    plain = F.when(kind == "phone", _digits(F.col("surrogate"))).otherwise(F.col("surrogate"))
-    solid = F.when(kind == "iban", "[^A-Za-z0-9]").otherwise("[^0-9]")
-    places = F.filter(F.sequence(F.lit(0), F.length(found)), lambda i: i < F.length(found))
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
 
-    def one(i: Column) -> Column:
-        upto = F.length(F.regexp_replace(F.substr(found, F.lit(1), i + 1), solid, F.lit("")))
-        c = F.substr(found, i + 1, F.lit(1))
-        return F.when(c.rlike("[A-Za-z0-9]"), F.substr(plain, upto, F.lit(1))).otherwise(c)
+    def step(acc: Column, c: Column) -> Column:
+        solid = c.rlike("[A-Za-z0-9]")
+        new = F.when(solid, F.substr(F.col("plain"), acc["next"], F.lit(1))).otherwise(c)
+        return F.struct(F.concat(acc["out"], new).alias("out"), (acc["next"] + solid.cast("int")).alias("next"))
 
-    spaced = F.array_join(F.transform(places, one), "")
+    spaced = F.aggregate(_chars(found), start, step, lambda acc: acc["out"])
     upper = (kind == "email") & (found == F.upper(found)) & (found != F.lower(found))
     return (
         F.when(kind.isin("phone", "card", "ssn", "iban"), spaced)
@@ -265,9 +266,10 @@ def replace(
         *[F.first(c).alias(c) for c in ("found", "kind", "gender", "script", "original")]
     )
     found = keep(found)
-    names = dictionary(found, key)
+    plain = F.when(F.col("kind") == "phone", _digits(F.col("surrogate"))).otherwise(F.col("surrogate"))
+    names = keep(dictionary(found, key).withColumn("plain", plain))
     poured = (
-        found.join(keep(names), ["kind", "gender", "script", "original"])
+        found.join(names, ["kind", "gender", "script", "original"])
         .select("key", "at", _poured().alias("new"))
         .groupBy("key")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("__new"))
