@@ -200,11 +200,19 @@ def rollback(spark, sf):
 
 # --- prune ---
 
-DOMAINS = ["blog.tionsh.example.com", "tionble.example.org"]
+# The two domains with most links.
+TOP = "(SELECT domain FROM curated WHERE domain <> '' GROUP BY domain ORDER BY count(*) DESC, domain LIMIT 2)"
+
+
+def top_domains(spark, sf):
+    named = fx.curated(spark, sf).filter("domain <> ''").groupBy("domain").count()
+    return named.orderBy(F.desc("count"), "domain").limit(2).select("domain")
+
+
 KINDS = {
     "duplicate": ("duplicate_of IS NOT NULL", None),
     "internal": ("is_internal", None),
-    "by-domain": ("domain IN ('blog.tionsh.example.com', 'tionble.example.org')", DOMAINS),
+    "by-domain": (f"domain IN {TOP}", top_domains),
     "all": ("TRUE", None),
 }
 
@@ -218,15 +226,26 @@ def _register_kind(kind, condition, domains):
         text(C, f"SELECT '{kind}' AS kind, (SELECT count(*) FROM curated WHERE {condition}) AS links, count(*) AS test_results FROM results WHERE link_id IN {doomed}", RES),
     )
     def report(spark, sf):
-        return prune.prune_report(fx.curated(spark, sf), fx.test_results(spark, sf), kind, domains)
+        return prune.prune_report(fx.curated(spark, sf), fx.test_results(spark, sf), kind, domains and domains(spark, sf))
 
-    @query(f"J7_prune_links_{label}", text(C, f"SELECT id FROM curated WHERE NOT ({condition})"))
+    # Counts before and after as well, so that pruning all reads the table.
+    @query(
+        f"J7_prune_links_{label}",
+        text(C, f"""SELECT id, 0::BIGINT AS n FROM curated WHERE NOT ({condition})
+                    UNION ALL SELECT 'before', count(*) FROM curated
+                    UNION ALL SELECT 'after', count(*) FROM curated WHERE NOT ({condition})"""),
+    )
     def links_left(spark, sf):
-        return prune.prune_links(fx.curated(spark, sf), kind, domains).select("id")
+        before = fx.curated(spark, sf)
+        after = prune.prune_links(before, kind, domains and domains(spark, sf))
+        rows = after.select("id", F.lit(0).cast("bigint").alias("n"))
+        for name, df in (("before", before), ("after", after)):
+            rows = rows.unionByName(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("id"), "n"))
+        return rows
 
     @query(f"H2_prune_sample_{label}", text(C, f"SELECT id, original_url, domain, status FROM curated WHERE {condition} ORDER BY seq DESC LIMIT 10"))
     def sample(spark, sf):
-        return prune.prune_sample(fx.curated(spark, sf), kind, domains).select("id", "original_url", "domain", "status")
+        return prune.prune_sample(fx.curated(spark, sf), kind, domains and domains(spark, sf)).select("id", "original_url", "domain", "status")
 
 
 for _kind, (_condition, _domains) in KINDS.items():
@@ -244,7 +263,7 @@ def _register_cascade(name, kind):
 
     @query(name, text(C, f"SELECT count(*) AS test_results FROM results JOIN curated ON link_id = curated.id WHERE {condition}", RES))
     def run(spark, sf):
-        doomed = fx.curated(spark, sf).filter(prune.selection(kind, domains))
+        doomed = prune.doomed_links(fx.curated(spark, sf), kind, domains and domains(spark, sf))
         return prune.cascade_count(fx.test_results(spark, sf), doomed)
 
 
@@ -283,9 +302,21 @@ def audit_report(spark, sf):
     return prune.audit_report(fx.operations(spark, sf), fx.snapshots(spark, sf))
 
 
-@query("J9_prune_audit", text(OPS, "SELECT op_seq FROM operations WHERE FALSE"))
+@query(
+    "J9_prune_audit",
+    text(OPS, """SELECT 'operations' AS name, count(*) AS before, 0::BIGINT AS after FROM operations
+                 UNION ALL SELECT 'snapshots', count(*), 0 FROM snapshots""", SNAP),
+)
 def prune_audit(spark, sf):
-    return prune.prune_audit(fx.operations(spark, sf), fx.snapshots(spark, sf))["operations"].select("op_seq")
+    """Rows of both tables before and after."""
+    before = {"operations": fx.operations(spark, sf), "snapshots": fx.snapshots(spark, sf)}
+    after = prune.prune_audit(before["operations"], before["snapshots"])
+    rows = None
+    for name, df in before.items():
+        counted = df.agg(F.count(F.lit(1)).alias("before")).crossJoin(after[name].agg(F.count(F.lit(1)).alias("after")))
+        counted = counted.select(F.lit(name).alias("name"), "before", "after")
+        rows = counted if rows is None else rows.unionByName(counted)
+    return rows
 
 
 # --- results ---

@@ -136,9 +136,12 @@ def by_ids(spark, sf):
     return listing.links_by_ids(fx.curated(spark, sf), ids).select("id", "original_url")
 
 
-@query("D3_links_by_domains", text(C, "SELECT id, domain FROM curated WHERE domain IN ('blog.tionsh.example.com', 'tionble.example.org', '')"))
+@query("D3_links_by_domains", text(C, "SELECT id, domain FROM curated WHERE domain = '' OR domain IN (SELECT domain FROM curated WHERE domain <> '' GROUP BY domain ORDER BY count(*) DESC, domain LIMIT 2)"))
 def by_domains(spark, sf):
-    return listing.links_by_domains(fx.curated(spark, sf), ["blog.tionsh.example.com", "tionble.example.org", ""]).select("id", "domain")
+    links = fx.curated(spark, sf)
+    biggest = links.filter("domain <> ''").groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(2)
+    wanted = biggest.select("domain").unionByName(links.filter("domain = ''").select("domain").distinct())
+    return listing.links_by_domains(links, wanted).select("id", "domain")
 
 
 @query("D4_duplicate_links", text(C, "SELECT id, duplicate_of FROM curated WHERE duplicate_of IS NOT NULL"))

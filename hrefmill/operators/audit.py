@@ -49,17 +49,6 @@ def state_hash(links: DataFrame) -> DataFrame:
     return entries.select(F.col("text").alias("state_hash"))
 
 
-def flat_state_hash(links: DataFrame, max_links: int = 1_000_000) -> DataFrame:
-    """sha256 over ``id:state`` of all links sorted by id and joined: one row, so small tables only.
-
-    Refuses more than ``max_links`` links; use ``state_hash`` for those.
-    """
-    if links.limit(max_links + 1).count() > max_links:
-        raise ValueError(f"more than {max_links} links; use state_hash")
-    pairs = F.array_sort(F.collect_list(F.concat_ws(":", "id", "state")))
-    return link_state(links).agg(F.sha2(F.array_join(pairs, "|"), 256).alias("state_hash"))
-
-
 def _field_text(df: DataFrame, name: str) -> Column:
     kind = dict(df.dtypes)[name]
     if kind.startswith("array"):

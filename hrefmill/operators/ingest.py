@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hrefmill import schemas
 from hrefmill.functions.text import is_blank
 from hrefmill.functions.urls import PARTS, PRESETS, import_preset, normalized, with_url_parts
-from hrefmill.plans.ordering import with_rank_in_group, with_running_total
+from hrefmill.plans.ordering import with_global_position, with_rank_in_group, with_running_total
 from hrefmill.plans.skew import anti_by_key, attach_by_key, semi_by_key
 from hrefmill.sources.formats import EXTRACTORS, Extractor, detect_formats, extract_links
 from hrefmill.storage import cut_lineage
@@ -40,7 +40,10 @@ def build_link_rows(parsed: DataFrame, created_at: Column) -> DataFrame:
     when the normalised form drops it. The id is a hash of ``seq``, so a retried task repeats it.
     """
     url = F.col("url")
-    norm = url
+    known = F.col("strategy").isin(list(schemas.STRATEGIES))
+    norm = F.when(known, url).otherwise(
+        F.raise_error(F.concat(F.lit("unknown strategy: "), F.coalesce("strategy", F.lit("NULL"))))
+    )
     for strategy in schemas.STRATEGIES:
         config = PRESETS[import_preset(strategy)]
         if config is not None:
@@ -90,10 +93,11 @@ def parse_sources(
     return attach_by_key(ranked, placed, "filename", F.col("pos")).drop("n", "valid")
 
 
-def new_links(parsed: DataFrame, created_at: Column | None = None, first_seq: int = 0) -> DataFrame:
+def new_links(parsed: DataFrame, created_at: Column | None = None, *, first_seq: int) -> DataFrame:
     """Link rows of the valid links; ``seq`` orders by job, then by place in the file.
 
-    ``first_seq`` is the first number not used by earlier runs (see ``next_seq``).
+    ``first_seq`` is the first number not used by earlier runs (see ``next_seq``); ids follow ``seq``,
+    so it has no default: a second import must not repeat the ids of the first.
     """
     valid = parsed.filter("is_valid").withColumns(
         {"source_file": F.col("filename"), "seq": F.col("start_seq") + F.col("source_order") + first_seq}
@@ -105,11 +109,28 @@ def next_seq(links: DataFrame) -> int:
     return links.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
 
 
-def job_counts(parsed: DataFrame) -> DataFrame:
-    """Imported and error counts per file, from the data and not by adding to stored counters."""
-    return parsed.groupBy("filename").agg(
+def job_counts(parsed: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """Imported and error counts per file, from the data and not by adding to stored counters.
+
+    ``read`` lists the files that were parsed, by ``filename``: those without links count zero.
+    """
+    counts = parsed.groupBy("filename").agg(
         F.count_if("is_valid").alias("imported_count"), F.count_if(~F.col("is_valid")).alias("error_count")
     )
+    if read is None:
+        return counts
+    zero = F.lit(0).cast("bigint")
+    return read.select("filename").distinct().join(counts, "filename", "left").select(
+        "filename", F.coalesce("imported_count", zero).alias("imported_count"), F.coalesce("error_count", zero).alias("error_count")
+    )
+
+
+def stored_counts(links: DataFrame, counts: DataFrame) -> DataFrame:
+    """``counts`` of files parsed again, with all stored rows of the file as imported."""
+    stored = links.groupBy(F.col("source_file").alias("filename")).agg(F.count(F.lit(1)).alias("__stored"))
+    return counts.join(stored, "filename", "left").select(
+        "filename", F.coalesce("__stored", F.lit(0).cast("bigint")).alias("imported_count"), "error_count"
+    )
 
 
 def finish_jobs(jobs: DataFrame, counts: DataFrame, files: DataFrame, completed_at: Column) -> DataFrame:
@@ -152,21 +173,24 @@ def renumbered(links: DataFrame) -> DataFrame:
 
 
 def reparse_changed(
-    parsed: DataFrame, stored: DataFrame, stale: DataFrame, created_at: Column | None = None, first_seq: int = 0
+    parsed: DataFrame, stored: DataFrame, stale: DataFrame, created_at: Column | None = None, *, first_seq: int
 ) -> DataFrame:
     """Rows to append when changed files are parsed again; links gone from a file stay stored.
 
     Pass ``next_seq`` of the stored links as ``first_seq``.
     """
     changed = semi_by_key(parsed, stale.select("filename"), "filename", F.col("pos"))
-    return renumbered(only_new(cut_lineage(new_links(changed, created_at, first_seq)), stored))
+    return renumbered(only_new(cut_lineage(new_links(changed, created_at, first_seq=first_seq)), stored))
 
 
 def register_sources(files: DataFrame, jobs: DataFrame, first_seq: int = 0, strategy: str = "normalized") -> DataFrame:
-    """Pending jobs for files that have none; ``files`` gives ``filename type``. Safe to repeat."""
-    missing = files.join(jobs.select("filename"), "filename", "left_anti")
-    return missing.select(
-        (F.monotonically_increasing_id() + first_seq).alias("job_seq"),
+    """Pending jobs for files that have none; ``files`` gives ``filename type``. Safe to repeat.
+
+    Jobs are numbered in the order of their file names.
+    """
+    missing = files.join(jobs.select("filename"), "filename", "left_anti").select("filename", "type")
+    return with_global_position(missing, ["filename"]).select(
+        (F.col("pos") + first_seq).alias("job_seq"),
         F.md5("filename").alias("id"),
         "type",
         "filename",

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hrefmill import schemas
+from hrefmill.plans.skew import semi_by_key
 
+# Lists up to this long become part of the scan's filter.
 MAX_INLINE = 1000
 SAMPLE_ROWS = 10
 
@@ -23,12 +25,14 @@ def scan_active_links(links: DataFrame) -> DataFrame:
 
 
 def pick(df: DataFrame, column: str, wanted: Iterable[str] | DataFrame) -> DataFrame:
-    """Rows whose ``column`` is among ``wanted``: a short list goes into the scan, a DataFrame is joined."""
-    if isinstance(wanted, DataFrame):
-        return df.join(wanted.select(F.col(wanted.columns[0]).alias(column)), column, "left_semi").select(*df.columns)
-    values = list(wanted)
-    if len(values) > MAX_INLINE:
-        raise ValueError(f"pass more than {MAX_INLINE} values as a DataFrame")
+    """Rows whose ``column`` is among ``wanted``: a short list goes into the scan, a long one or a DataFrame is joined.
+
+    The join is safe for a value that owns many rows.
+    """
+    values = None if isinstance(wanted, DataFrame) else list(wanted)
+    if values is None or len(values) > MAX_INLINE:
+        keys = wanted if values is None else df.sparkSession.createDataFrame([(v,) for v in values], "v string")
+        return semi_by_key(df, keys.select(keys.columns[0]).distinct(), column, F.col("id")).select(*df.columns)
     return df.filter(F.col(column).isin(values)) if values else df.filter(F.lit(False))
 
 

@@ -7,9 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrefmill.operators.listing import MAX_INLINE, SAMPLE_ROWS, newest_first
+from hrefmill.operators.listing import SAMPLE_ROWS, newest_first, pick
 from hrefmill.plans.skew import anti_by_key
 
+Domains = Iterable[str] | DataFrame | None
+
 # Fixed values.
 LINK_KINDS = ["duplicate", "internal", "by-domain", "all"]
 
@@ -22,14 +24,19 @@ def selection(kind: str, domains: Iterable[str] | None = None) -> Column:
         return F.coalesce("is_internal", F.lit(False))
     if kind == "by-domain":
         names = list(domains or [])
-        if len(names) > MAX_INLINE:
-            raise ValueError(f"at most {MAX_INLINE} domains at once")
-        return F.col("domain").isin(names) if names else F.lit(False)
+        return F.coalesce(F.col("domain").isin(names), F.lit(False)) if names else F.lit(False)
     if kind == "all":
         return F.lit(True)
     raise ValueError(f"unknown prune kind: {kind}")
 
 
+def doomed_links(links: DataFrame, kind: str, domains: Domains = None) -> DataFrame:
+    """The links a prune kind removes; the domains may be a list of any length or a DataFrame."""
+    if kind == "by-domain" and domains is not None:
+        return pick(links, "domain", domains)
+    return links.filter(selection(kind))
+
+
 def cascade_count(results: DataFrame, doomed: DataFrame) -> DataFrame:
     """Number of results that go with the given links; results are counted per link first."""
     per_link = results.groupBy(F.col("link_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
@@ -38,22 +45,26 @@ def cascade_count(results: DataFrame, doomed: DataFrame) -> DataFrame:
     )
 
 
-def prune_report(links: DataFrame, results: DataFrame, kind: str, domains: Iterable[str] | None = None) -> DataFrame:
+def prune_report(links: DataFrame, results: DataFrame, kind: str, domains: Domains = None) -> DataFrame:
     """Dry run, one row: links and results that would be removed."""
-    doomed = links.filter(selection(kind, domains))
+    doomed = doomed_links(links, kind, domains)
     counted = doomed.agg(F.count(F.lit(1)).alias("links")).withColumn("__one", F.lit(1))
     cascade = cascade_count(results, doomed).withColumn("__one", F.lit(1))
     return counted.join(cascade, "__one").select(F.lit(kind).alias("kind"), "links", "test_results")
 
 
-def prune_sample(links: DataFrame, kind: str, domains: Iterable[str] | None = None, limit: int = SAMPLE_ROWS) -> DataFrame:
-    doomed = newest_first(links.filter(selection(kind, domains))).limit(limit)
+def prune_sample(links: DataFrame, kind: str, domains: Domains = None, limit: int = SAMPLE_ROWS) -> DataFrame:
+    doomed = newest_first(doomed_links(links, kind, domains)).limit(limit)
     shown = ["id", "original_url", "domain", "status", "created_at"]
     return doomed.select(*shown, *(["duplicate_of"] if kind == "duplicate" else []))
 
 
-def prune_links(links: DataFrame, kind: str, domains: Iterable[str] | None = None) -> DataFrame:
-    return links.filter(~selection(kind, domains))
+def prune_links(links: DataFrame, kind: str, domains: Domains = None) -> DataFrame:
+    """The links left; a link without a domain is in no list of domains."""
+    if kind == "by-domain" and domains is not None:
+        gone = doomed_links(links, kind, domains).select("domain").distinct()
+        return anti_by_key(links, gone, "domain", F.col("id")).select(*links.columns)
+    return links.filter(~F.coalesce(selection(kind), F.lit(False)))
 
 
 def cascade_results(results: DataFrame, doomed: DataFrame) -> DataFrame:
@@ -62,13 +73,15 @@ def cascade_results(results: DataFrame, doomed: DataFrame) -> DataFrame:
 
 
 def detach_jobs(operations: DataFrame, removed_jobs: DataFrame) -> DataFrame:
-    """Operations outlive their job and only lose the reference."""
+    """Operations outlive their job and only lose the reference; those without one are not shuffled."""
     gone = removed_jobs.select(F.col("id").alias("job_id"), F.lit(True).alias("__gone"))
-    return (
-        operations.join(gone, "job_id", "left")
+    kept = (
+        operations.filter(F.col("job_id").isNotNull())
+        .join(gone, "job_id", "left")
         .withColumn("job_id", F.when(F.col("__gone").isNull(), F.col("job_id")))
         .select(*operations.columns)
     )
+    return kept.unionByName(operations.filter(F.col("job_id").isNull()))
 
 
 def emptied(df: DataFrame) -> DataFrame:

@@ -22,12 +22,16 @@ GROUP_COLUMNS = ["method", "group_key", "group_size", "keep_id", "keep_seq", "id
 
 @dataclass(frozen=True)
 class Layer:
-    """One similarity method; ``order`` is the sort used by edit distance (locale or binary)."""
+    """One similarity method; ``order`` is the sort used by edit distance (locale or binary).
+
+    ``resolve`` makes the path layer canonicalise raw URLs (see ``with_path_key``).
+    """
 
     method: str
     path_depth: int = 2
     threshold: float = 0.8
     order: str = "locale"
+    resolve: bool = True
 
 
 DEFAULT_LAYERS = [Layer("domain"), Layer("path_prefix")]
@@ -85,10 +89,11 @@ def _grouped_by(links: DataFrame, key: str, method: str) -> DataFrame:
     ).drop("__n", "__keep", "__keep_seq")
 
 
-def with_path_key(links: DataFrame, depth: int = 2, out: str = "path_key", resolve: bool = False) -> DataFrame:
+def with_path_key(links: DataFrame, depth: int = 2, out: str = "path_key", resolve: bool = True) -> DataFrame:
     """Host and first path segments of the normalised URL.
 
-    Stored normalised URLs are canonical; pass ``resolve=True`` for raw ones (strict imports).
+    Strict imports store raw URLs, so they are resolved; ``resolve=False`` skips that where all
+    stored URLs are canonical, and with it the only Python stage.
     """
     parsed = with_url_parts(links, "normalized_url", "__p_", resolve)
     return parsed.withColumn(out, path_prefix_key(F.col("__p_host"), F.col("__p_path"), depth)).select(*links.columns, out)
@@ -99,7 +104,7 @@ def group_by_domain(links: DataFrame) -> DataFrame:
     return _grouped_by(keyed, "__key", "domain").filter("method IS NOT NULL").select(*GROUP_COLUMNS)
 
 
-def group_by_path_prefix(links: DataFrame, depth: int = 2, resolve: bool = False) -> DataFrame:
+def group_by_path_prefix(links: DataFrame, depth: int = 2, resolve: bool = True) -> DataFrame:
     # A malformed URL gets a key of its own: it groups with nothing and needs no NULL test.
     alone = F.coalesce("__key", F.concat(F.lit("\u0001"), F.col("id")), F.lit(""))
     keyed = with_path_key(links, depth, "__key", resolve).withColumn("__key", alone)
@@ -184,7 +189,7 @@ def _domain_layer(links: DataFrame, layer: Layer) -> DataFrame:
 
 
 def _path_layer(links: DataFrame, layer: Layer) -> DataFrame:
-    keyed = with_path_key(links, layer.path_depth, "__path_key")
+    keyed = with_path_key(links, layer.path_depth, "__path_key", layer.resolve)
     return _keyed_layer(keyed, "__path_key", "path_prefix").select(*links.columns)
 
 

@@ -21,6 +21,8 @@ from hrefmill.storage import cut_lineage
 SNIFF_LINES = 10
 SNIFF_HEAD = 64
 MAX_DOCUMENT_CHARS = 512 * 1024 * 1024
+# As JSON.parse reads it.
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 @dataclass(frozen=True)
@@ -90,7 +92,7 @@ def _only_web(links: Column) -> Column:
 
 
 def json_array_document(content: Column) -> Column:
-    items = F.from_json(content, "array<variant>", {"allowSingleQuotes": "false"})
+    items = F.from_json(content, "array<variant>", STRICT_JSON)
     items = F.when(content.rlike(rf"\][{JS_SPACE}]*$"), items)
     return _only_web(
         F.transform(
@@ -105,7 +107,7 @@ def json_array_document(content: Column) -> Column:
 
 
 def _export_groups(content: Column) -> Column:
-    root = F.from_json(content, "export variant", {"allowSingleQuotes": "false"})
+    root = F.from_json(content, "export variant", STRICT_JSON)
     return F.when(content.rlike(rf"\}}[{JS_SPACE}]*$"), F.try_variant_get(root["export"], "$", "array<variant>"))
 
 
