@@ -257,7 +257,7 @@ def replace(
     count: str | None = None,
 ) -> DataFrame:
     """``docs`` with the entities of ``text_col`` replaced; ``count`` names a column for how many there were."""
-    name = fresh("key", docs.columns)
+    name, by, made = (fresh(n, docs.columns) for n in ("key", "by", "made"))
     some = F.coalesce(F.col(text_col).rlike(PATTERN), F.lit(False))
     hit = docs.filter(some).withColumn(name, F.md5(text_col))
     # Equal texts once; only what was found goes on.
@@ -272,19 +272,19 @@ def replace(
         found.join(names, ["kind", "gender", "script", "original"])
         .select("key", "at", _poured().alias("new"))
         .groupBy("key")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("__new"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias(made))
     )
-    poured = keep(poured.withColumnRenamed("key", "__key"))
+    poured = keep(poured.withColumnRenamed("key", by))
     gaps = F.split(text_col, PATTERN, -1)
     woven = F.concat(
         F.get(gaps, F.lit(0)),
         F.array_join(
-            F.zip_with(F.col("__new"), F.slice(gaps, 2, F.size("__new")), lambda new, gap: F.concat(new, gap)), ""
+            F.zip_with(F.col(made), F.slice(gaps, 2, F.size(made)), lambda new, gap: F.concat(new, gap)), ""
         ),
     )
     columns = lambda text, n: [*[text if c == text_col else F.col(c) for c in docs.columns], *([n.alias(count)] if count else [])]
-    changed = hit.join(poured, hit[name] == poured["__key"]).select(
-        *columns(woven.alias(text_col), F.size("__new").cast("long"))
+    changed = hit.join(poured, hit[name] == poured[by]).select(
+        *columns(woven.alias(text_col), F.size(made).cast("long"))
     )
     same = docs.filter(~some).select(*columns(F.col(text_col), F.lit(0).cast("long")))
     return changed.unionByName(same)
