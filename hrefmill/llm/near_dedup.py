@@ -146,7 +146,7 @@ def _verify_task(least: float) -> Callable:
         for batch in batches:
             for begin, end, _, _ in common.pieces(batch.column(2)):
                 left, right = sets_of(batch.column(2), begin, end), sets_of(batch.column(3), begin, end)
-                linked = [similarity(a, b) >= least for a, b in zip(left, right)]
+                linked = [similarity(a, b) >= least - 1e-9 for a, b in zip(left, right)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin)], ["a", "b"]
                 ).filter(pa.array(linked))
@@ -196,12 +196,16 @@ class _Classes:
 def block_links(texts: pa.Array, classes_: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Pairs of classes to join, from all similar pairs of texts of different classes; at most one per class but one.
 
-    A postings list per shingle sums, for one text against all others, the least shares of the common
-    shingles, which no probability Jaccard exceeds; only pairs whose sum suffices are computed.
+    Every text outside the block's largest class is held against all others: the postings lists of its shingles
+    sum up the least shares of the common ones, which no probability Jaccard exceeds and which give it
+    where no shingle is repeated. Only pairs whose sum suffices are looked at one by one.
     """
     row, element, weight = shingles(*common.bytes_of(texts))
     n = len(texts)
-    share = weight / np.bincount(row, weights=weight, minlength=n)[row]
+    mass = np.bincount(row, weights=weight, minlength=n)
+    size = np.bincount(row, minlength=n)
+    plain = mass == size  # no shingle repeated
+    share = weight / mass[row]
     new = np.append(True, element[1:] != element[:-1]) if len(element) else np.zeros(0, bool)
     term = np.cumsum(new) - 1
     begin = np.append(np.flatnonzero(new), len(element))  # the postings of each shingle
@@ -209,23 +213,31 @@ def block_links(texts: pa.Array, classes_: np.ndarray, least: float) -> list[tup
     cuts = np.searchsorted(row[order], np.arange(n + 1))
     names, number = np.unique(classes_, return_inverse=True)
     joined, found = _Classes(len(names)), []
-    for x in range(n):
+    largest = np.argmax(np.bincount(number))
+    for x in np.flatnonzero(number != largest).tolist():
         mine = order[cuts[x] : cuts[x + 1]]
         if not len(mine):
             continue
-        starts, sizes = begin[term[mine]], begin[term[mine] + 1] - begin[term[mine]]
-        total = np.cumsum(sizes)
-        at = np.arange(total[-1]) + np.repeat(starts - (total - sizes), sizes)
-        most = np.bincount(row[at], weights=np.minimum(share[at], np.repeat(share[mine], sizes)), minlength=n)
+        lists = list(zip(begin[term[mine]].tolist(), begin[term[mine] + 1].tolist()))
+        others = np.concatenate([row[p:q] for p, q in lists])
+        counted = np.bincount(others, minlength=n)
+        most = counted / np.maximum(np.maximum(size, size[x]), 1)
+        if not plain[x] or not plain[others].all():
+            shares = np.concatenate([share[p:q] for p, q in lists])
+            own = np.repeat(share[mine], [q - p for p, q in lists])
+            most = np.bincount(others, weights=np.minimum(shares, own), minlength=n)
         likely = np.flatnonzero(most >= least - 1e-9)
-        likely = likely[likely > x]
         likely = likely[joined.tops()[number[likely]] != joined.top(number[x])]
         for y in likely.tolist():
             p, q = joined.top(number[x]), joined.top(number[y])
             if p == q:
                 continue
-            other = order[cuts[y] : cuts[y + 1]]
-            if similarity((element[mine], weight[mine]), (element[other], weight[other])) >= least:
+            if plain[x] and plain[y]:
+                similar = counted[y] >= least * (size[x] + size[y] - counted[y]) - 1e-9
+            else:
+                other = order[cuts[y] : cuts[y + 1]]
+                similar = similarity((element[mine], weight[mine]), (element[other], weight[other])) >= least - 1e-9
+            if similar:
                 joined.above[q] = p
                 found.append((int(names[number[x]]), int(names[number[y]])))
     return found
