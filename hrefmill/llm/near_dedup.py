@@ -5,7 +5,7 @@ A text is a weighted set of shingles: five lower-cased words in a row, weighted
 a Poisson process whose rate is its weight and whose random numbers depend on the shingle alone; a register
 keeps its first arrival, and a shingle stops once its time is past all registers. Two texts agree in a
 register with the probability Jaccard similarity of their weighted sets. ``BANDS`` bands of ``ROWS``
-registers make the buckets: a pair at similarity 0.8 shares none with probability 0.59 ** 20, some 3e-5.
+registers make the buckets: a pair at similarity 0.8 shares none with probability 0.738 ** 36, some 2e-5.
 
 Texts that share a bucket are verified exactly: their probability Jaccard is computed from both texts. First
 every member of a bucket is verified against the bucket's first one, and links join classes; most buckets lie
@@ -38,8 +38,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 36, 6
 CHUNK = 1024
+# Rows of an id, an MD5 and a number that may be broadcast: some 50 MB.
+BROADCAST_ROWS = 500_000
 
 _is_word = np.ones(256, bool)
 _is_word[:0x80] = False
@@ -320,6 +322,8 @@ def classes(
     # The texts that have a candidate, each once.
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
     wanted = keep(wanted.select(F.col("id").alias("first"), "key", "node"))
+    if wanted.count() <= BROADCAST_ROWS:  # else the texts are shuffled to it
+        wanted = F.broadcast(wanted)
     texts = keep(
         named.join(wanted, (named["key"] == wanted["key"]) & named["id"].eqNullSafe(wanted["first"]))
         .select("node", "text")
