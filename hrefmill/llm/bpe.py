@@ -287,7 +287,7 @@ def _encode_task(tokenizer, file: str, text: str, names: dict[str, str]) -> Call
                 known = coded.dictionary
                 place = lexicon.places(*common.bytes_of(known.cast(pa.large_binary()).view(pa.large_string())))
                 rest = known.take(pa.array(np.flatnonzero(place < 0))).to_pylist()
-                if len(seen) > 400_000:
+                if len(seen) > 150_000:
                     seen.clear()  # a memory of merged words; it changes no result
                 merged = []
                 for w in rest:
