@@ -45,7 +45,10 @@ def dictionaries(
     opening = F.substring(text_col, 1, OPENING)
     # Equal texts draw different numbers, so a text with many copies fills no sample.
     draw = F.xxhash64(*[F.col(c) for c in rows.columns])
-    drawn = rows.select(F.col(lang_col).alias("lang"), opening.alias("text"), draw.alias("draw"))
+    # Some four times the sample, by the language's share of rows, so that few rows meet in the ranking task.
+    part = F.shiftrightunsigned(draw, 11) / float(1 << 53) * F.col("count") < 4 * sample
+    named = rows.join(F.broadcast(common.withColumnRenamed("lang", "__lang")), F.col(lang_col) == F.col("__lang"))
+    drawn = named.filter(part).select(F.col("__lang").alias("lang"), opening.alias("text"), draw.alias("draw"))
     first = F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))
     chosen = drawn.withColumn("rank", first).filter(F.col("rank") <= sample)
     found: dict[str, dict[str, None]] = {r["lang"]: {} for r in common.collect()}
