@@ -260,6 +260,28 @@ def test_quality_rejects_odd_text_only(spark):
     assert all(i in ids for i in clean if not judged[i])
 
 
+def test_quality_rejects_tables_and_strewn_symbols(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rows = {r["doc_id"]: r for r in quality.judged(docs).collect() if not r["base_failed"]}
+    marks = [" | ", "&&&", "###", "%%%", "$$$", "***"]
+    junk = [i for i, q in labels.items() if q == 0 and i in rows and any(m in texts[i] for m in marks)]
+    assert len(junk) > 10 and not any(rows[i]["kept"] for i in junk)
+    assert all(rows[i]["kept"] for i, q in labels.items() if q == 1 and i in rows)
+
+
+def test_quality_bands_of_small_classes_take_neighbours(spark):
+    rows = [(i, "en", 300, 1.5 + i / 1000, 0, 50, 0) for i in range(40)] + [(99, "en", 600, 4.0, 0, 100, 0)] * 50
+    found = frame(
+        spark, rows, "id long, lang string, n_chars long, log_perplexity double, n_symbols long, n_words long, n_repeat_words long"
+    )
+    limits = frame(spark, [("en", 0.1)], "of string, limit double")
+    upper = {r["length"]: r["upper"] for r in quality.bands(found, limits, quality.F.col("id")).collect()}
+    assert upper[9] < 2.0 and upper[8] < 2.0
+
+
 # --- BPE ----------------------------------------------------------------------------------------
 
 
