@@ -1,8 +1,9 @@
 """Personal data: detected entities get keyed surrogates of the same type and format.
 
 One pattern finds e-mail addresses, IBANs, keys and tokens (long hexadecimal strings), IPv4 addresses, US social security
-numbers, card and phone numbers, and names after a title. An entity is looked up by its canonical form (an
-address in lower case, the digits of a number), so all its spellings get one surrogate. A surrogate is drawn from a keyed
+numbers, card and phone numbers, and the names after a title: up to six words of a name, particles between them aside. What
+is named so in a text is replaced at its other mentions in that text as well. An entity is looked up by its canonical form (an
+address in lower case, the digits of a number, a name without regard to case), so all its spellings get one surrogate. A surrogate is drawn from a keyed
 hash of type, canonical form and attempt: letters become letters, digits digits, a card keeps its first digit
 and Luhn remainder, a phone its country code, an address its dots, at-sign and top-level domain; given names keep
 the gender of the title, all names their script and capital. It is poured into each occurrence's own punctuation.
@@ -28,9 +29,10 @@ KEY = "surrogates"
 ATTEMPTS = 60
 
 # Titles by gender, syllables and name endings by script.
-MALE = "Mr|Herr|Monsieur|Señor|Sr|Don"
-FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Doña"
-NEUTRAL = "Dr|Prof"
+MALE = "Mr|Herrn?|Monsieur|Señor|Sr|Don|[Гг]осподин|[Гг]-н|[Κκ]ύριος|[Κκ]ύριο|[Κκ]υρίου|κ"
+FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Doña|[Гг]оспожа|[Гг]-жа|[Κκ]υρία|[Κκ]υρίας|κα"
+NEUTRAL = "Dr|Prof|[Дд]октор|[Дд]-р|[Пп]рофессор|[Пп]роф|[Δδ]ρ|[Κκ]αθηγητής|[Κκ]αθηγήτρια"
+PARTICLES = "von|van|zu|zur|der|den|de|del|della|di|da|du|dos|la|le|el|al|bin|ibn|ter|ten"
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne no pa ra re ri ro sa se ta te ti to",
     "cyrillic": "ба бе бо ва ве да де до га го ка ке ко ла ле ли ло ма ме ми мо на не но па ра ре ри ро са се та те ти то",
@@ -42,7 +44,15 @@ ENDINGS = {
     "greek": {"female": "να λια ρα νια", "male": "ος ης ας ων", "neutral": "ελ ιν ις εν", "family": "ιδης ακης ος ου"},
 }
 
-_NAME = r"\p{Lu}\p{L}{1,30}"
+
+def _up_to(part: str, n: int) -> str:
+    """``part`` at most ``n`` times, without a loop: a look-behind takes none."""
+    return f"(?:{part}{_up_to(part, n - 1)})?" if n else ""
+
+
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{L}{1,30}" + _up_to(r"-\p{Lu}\p{L}{1,30}", 2)
+_PARTICLES = _up_to(f"(?:{PARTICLES}) ", 2)
+_JOIN = f" {_PARTICLES}"
 _TITLE = rf"(?:{MALE}|{FEMALE}|{NEUTRAL})\.? "
 _PARTS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -53,9 +63,14 @@ _PARTS = {
     "card": r"(?<![\w+.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)",
     "phone": r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|[.-]\d)",
     "plain_phone": r"(?<![\w+.-])\+\d{8,14}(?![\w])",
-    "name": rf"(?<![\p{{L}}])(?=\p{{Lu}})(?:(?<=\b{_TITLE})|(?<=\b{_TITLE}{_NAME} )(?!{_TITLE})){_NAME}(?![\p{{L}}])",
+    "name": (
+        rf"(?=\p{{Lu}})(?<= )(?:(?<=(?<!\p{{L}}){_TITLE}{_PARTICLES})"
+        rf"|(?<=\p{{L}} )(?<=(?<!\p{{L}}){_TITLE}{_PARTICLES}{_NAME}{_JOIN}{_up_to(_NAME + _JOIN, 4)}))"
+        rf"(?!{_TITLE}){_NAME}(?![\p{{L}}])"
+    ),
 }
 PATTERN = "|".join(_PARTS.values())
+MENTION = rf"(?=\p{{Lu}})(?<![\p{{L}}'’-]){_NAME}(?![\p{{L}}])"
 
 
 def _digits(text: Column) -> Column:
@@ -85,10 +100,14 @@ def occurrences(texts: DataFrame) -> DataFrame:
         F.split("text", PATTERN, -1).alias("gaps"),
     )
     rows = parts.select("key", "found", "gaps", F.posexplode("found").alias("at", "entity"))
-    before = F.element_at("gaps", F.col("at") + 1)
     after, following = F.element_at("gaps", F.col("at") + 2), F.get("found", F.col("at") + 1)
     entity = F.col("entity")
-    given = (_kind(entity) == "family") & (after == " ") & (_kind(following) == "family")
+    joined = lambda gap: gap.rlike(f"^{_JOIN}$")
+    given = (_kind(entity) == "family") & joined(after) & (_kind(following) == "family")
+    # The title of a name word stands before the first word of the name.
+    some = F.slice("gaps", F.greatest(F.col("at") - 6, F.lit(1)), F.least(F.col("at") + 1, F.lit(8)))
+    before = F.coalesce(F.try_element_at(F.filter(some, lambda gap: ~joined(gap)), F.lit(-1)), F.lit(""))
+    before = F.regexp_replace(before, f"(?:(?:{PARTICLES}) ){{1,2}}$", "")
     kind = F.when(F.coalesce(given, F.lit(False)), "given").otherwise(_kind(entity))
     gender = (
         F.when(before.rlike(rf"(?:^|[^\p{{L}}])(?:{FEMALE})\.? $"), "female")
@@ -105,6 +124,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
         .when(F.col("kind") == "iban", F.replace(entity, F.lit(" "), F.lit("")))
         .when(F.col("kind") == "phone", F.concat(country, F.lit("|"), F.substr(_digits(entity), F.length(_digits(country)) + 1)))
         .when(F.col("kind").isin("card", "ssn"), _digits(entity))
+        .when(named, F.initcap(entity))
         .otherwise(entity)
     )
     return (
@@ -242,7 +262,7 @@ def _poured() -> Column:
         return F.struct(F.concat(acc["out"], new).alias("out"), (acc["next"] + solid.cast("int")).alias("next"))
 
     spaced = F.aggregate(_chars(found), start, step, lambda acc: acc["out"])
-    upper = (kind == "email") & (found == F.upper(found)) & (found != F.lower(found))
+    upper = kind.isin("email", "given", "family") & (found == F.upper(found)) & (found != F.lower(found))
     return (
         F.when(kind.isin("phone", "card", "ssn", "iban"), spaced)
         .when(upper, F.upper("surrogate"))
@@ -250,6 +270,25 @@ def _poured() -> Column:
     )
 
 
+def _mentions(gap: Column, known: Column) -> Column:
+    """A text with the names of ``known`` (lower case to surrogate) replaced."""
+
+    def one(word: Column) -> Column:
+        new = F.try_element_at(known, F.lower(word))
+        return F.coalesce(F.when(word == F.upper(word), F.upper(new)).otherwise(new), word)
+
+    rest = F.split(gap, MENTION, -1)
+    words = F.transform(F.regexp_extract_all(gap, F.lit(MENTION), F.lit(0)), one)
+    tail = F.zip_with(words, F.slice(rest, F.lit(2), F.size(words)), lambda new, after: F.concat(new, after))
+    return F.concat(F.get(rest, F.lit(0)), F.array_join(tail, ""))
+
+
+def _mentioned(gap: Column, known: Column) -> Column:
+    """How many mentions of the names of ``known`` a text has."""
+    words = F.regexp_extract_all(gap, F.lit(MENTION), F.lit(0))
+    return F.size(F.filter(words, lambda word: F.try_element_at(known, F.lower(word)).isNotNull()))
+
+
 def replace(
     docs: DataFrame,
     text_col: str = "text",
@@ -257,7 +296,7 @@ def replace(
     count: str | None = None,
 ) -> DataFrame:
     """``docs`` with the entities of ``text_col`` replaced; ``count`` names a column for how many there were."""
-    name, by, made = (fresh(n, docs.columns) for n in ("key", "by", "made"))
+    name, by, made, known = (fresh(n, docs.columns) for n in ("key", "by", "made", "known"))
     some = F.coalesce(F.col(text_col).rlike(PATTERN), F.lit(False))
     hit = docs.filter(some).withColumn(name, F.md5(text_col))
     # Equal texts once; only what was found goes on.
@@ -268,23 +307,33 @@ def replace(
     found = keep(found)
     plain = F.when(F.col("kind") == "phone", _digits(F.col("surrogate"))).otherwise(F.col("surrogate"))
     names = keep(dictionary(found, key).withColumn("plain", plain))
-    poured = (
-        found.join(names, ["kind", "gender", "script", "original"])
-        .select("key", "at", _poured().alias("new"))
-        .groupBy("key")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias(made))
+    new = keep(
+        found.join(names, ["kind", "gender", "script", "original"]).select(
+            "key", "at", "kind", "original", _poured().alias("new"), F.col("surrogate")
+        )
+    )
+    poured = new.groupBy("key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias(made)
     )
-    poured = keep(poured.withColumnRenamed("key", by))
+    # One surrogate for each name of a text; a family name goes first.
+    called = new.filter(F.col("kind").isin("given", "family")).groupBy("key", F.lower("original").alias("word"))
+    called = called.agg(F.min(F.struct("kind", "surrogate"))["surrogate"].alias("surrogate"))
+    called = called.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "surrogate"))).alias(known))
+    poured = keep(poured.join(called, "key", "left").withColumnRenamed("key", by))
     gaps = F.split(text_col, PATTERN, -1)
+    named = F.col(known).isNotNull()
+    parts = F.when(named, F.transform(gaps, lambda gap: _mentions(gap, F.col(known)))).otherwise(gaps)
+    others = F.aggregate(gaps, F.lit(0), lambda n, gap: n + _mentioned(gap, F.col(known)))
+    total = F.size(made) + F.when(named, others).otherwise(0)
     woven = F.concat(
-        F.get(gaps, F.lit(0)),
+        F.get(parts, F.lit(0)),
         F.array_join(
-            F.zip_with(F.col(made), F.slice(gaps, 2, F.size(made)), lambda new, gap: F.concat(new, gap)), ""
+            F.zip_with(F.col(made), F.slice(parts, 2, F.size(made)), lambda new, gap: F.concat(new, gap)), ""
         ),
     )
     columns = lambda text, n: [*[text if c == text_col else F.col(c) for c in docs.columns], *([n.alias(count)] if count else [])]
     changed = hit.join(poured, hit[name] == poured[by]).select(
-        *columns(woven.alias(text_col), F.size(made).cast("long"))
+        *columns(woven.alias(text_col), total.cast("long"))
     )
     same = docs.filter(~some).select(*columns(F.col(text_col), F.lit(0).cast("long")))
     return changed.unionByName(same)

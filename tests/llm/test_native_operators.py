@@ -124,3 +124,23 @@ def test_small_spaces_stay_distinct(spark):
 
 def test_empty_table(spark):
     assert surrogates.replace(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_all_mentions_of_a_titled_name_are_replaced(spark):
+    rows = [
+        (1, "Mr John Smith met Anna. Smith left, JOHN stayed; Smithson and smith too."),
+        (2, "Mrs Anna Maria Schmidt and Herr Ludwig van Beethoven. Schmidt, Maria's and Beethoven."),
+        (3, "Господин Петров ушёл. Петров. Κύριος Παππάς, Παππάς!"),
+        (4, "Smith alone and a@b.io"),
+    ]
+    out = {r["doc_id"]: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), count="n").collect()}
+    john, smith, again, loud = re.fullmatch(
+        r"Mr (\w+) (\w+) met Anna\. (\w+) left, (\w+) stayed; Smithson and smith too\.", out[1]["text"]
+    ).groups()
+    assert smith == again != "Smith" and loud == john.upper() != "JOHN" and out[1]["n"] == 4
+    words = re.fullmatch(r"Mrs (\w+) (\w+) (\w+) and Herr (\w+) van (\w+)\. (\w+), (\w+)'s and (\w+)\.", out[2]["text"]).groups()
+    assert words[5:] == (words[2], words[1], words[4]) and out[2]["n"] == 8
+    assert not set(words) & set("Anna Maria Schmidt Ludwig Beethoven".split())
+    slavic, greek = re.fullmatch(r"Господин (\w+) ушёл\. \1\. Κύριος (\w+), \2!", out[3]["text"]).groups()
+    assert slavic != "Петров" and greek != "Παππάς" and out[3]["n"] == 4
+    assert out[4]["text"].startswith("Smith alone and ") and out[4]["n"] == 1
