@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hrefmill.llm import bpe, decontaminate, html_text, language, near_dedup, quality, sharding, suffix_dedup, surrogates, tool_calls
+from hrefmill.llm import (
+    bpe,
+    decontaminate,
+    fill_in_middle,
+    html_text,
+    language,
+    line_crf,
+    near_dedup,
+    quality,
+    resample,
+    sharding,
+    suffix_dedup,
+    surrogates,
+    tool_calls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,5 +35,13 @@ QUERIES: dict[str, Query] = {
     "op8_language": language.op8_language,
     "op9_shards": sharding.op9_shards,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_quality_lines": line_crf.op11_quality_lines,
+    "op12_resample": resample.op12_resample,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
+}
+ORACLE: dict[str, str] = {
+    "op2_tool_calls": tool_calls.OP2_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
+    "op12_resample": resample.OP12_SQL,
+    "op13_fill_in_middle": fill_in_middle.OP13_SQL,
 }
-ORACLE: dict[str, str] = {"op2_tool_calls": tool_calls.OP2_SQL, "op6_decontaminate": decontaminate.OP6_SQL}
