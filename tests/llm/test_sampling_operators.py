@@ -285,3 +285,14 @@ def test_quality_query_on_unseen_labels(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = scored.filter("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
     assert len(rows) > 30 and sum(r["predicted"] == r["quality"] for r in rows) >= 0.97 * len(rows)
+
+
+def test_evidence_equals_wide_rows():
+    rng = np.random.default_rng(6)
+    text = np.array([0, 0, 0, 1, 2, 2])
+    looks = rng.normal(size=(6, 16))
+    first = line_crf._starts(text)
+    weights = rng.normal(size=51)
+    model = line_crf.Model(rng.normal(size=16), np.full(16, 2.0), weights, np.zeros(2))
+    wide = line_crf.with_neighbours((looks - model.mean) / model.scale, first)
+    assert np.allclose(model.evidence(line_crf.Lines(text, text, text, looks), first), wide @ weights[:-1] + weights[-1])
