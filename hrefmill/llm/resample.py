@@ -287,13 +287,14 @@ def vocabulary(
 ) -> Head:
     """The head of a one-column table of texts: its most frequent words and pairs of them, ties by value."""
     counted = texts.mapInArrow(_counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(head_words).collect()]
+    # Written before they are collected: else every partition would send as many rows to the driver.
+    words = [bytes(r["word"]) for r in keep(counted.orderBy(F.desc("n"), "word").limit(head_words)).collect()]
     head = head_of(words)
     if not words:
         return head
     sent = texts.sparkSession.sparkContext.broadcast(head)
     pairs = texts.mapInArrow(_counted_pairs(sent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    chosen = [r["pair"] for r in pairs.orderBy(F.desc("n"), "pair").limit(head_pairs).collect()]
+    chosen = [r["pair"] for r in keep(pairs.orderBy(F.desc("n"), "pair").limit(head_pairs)).collect()]
     return with_pairs(head, np.array(chosen, "i8"), buckets)
 
 
