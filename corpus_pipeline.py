@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from hrefmill.llm import bpe, decontaminate, near_dedup, quality, surrogates
 from hrefmill.llm.tables import keep
 
+#: Setting that holds the secret key of the surrogates; without it a key for test data is taken.
+SURROGATE_KEY = "spark.hrefmill.surrogateKey"
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: SQL has no model training, signatures or tokenizer.
@@ -36,7 +39,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for their personal data."""
-    return surrogates.replace(docs)
+    return surrogates.replace(docs, key=spark.conf.get(SURROGATE_KEY, "surrogates"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
