@@ -79,7 +79,7 @@ TEXT = (
 def replaced(spark):
     rows = [(1, TEXT), (2, None), (3, ""), (4, "anna@x.com and bob@x.com"), (4, "anna@x.com and bob@x.com"), (None, "nothing here")]
     docs = spark.createDataFrame([(*r, 0, 1, 2) for r in rows], "doc_id long, text string, key int, by int, made int")
-    out = surrogates.replace(docs, count="n")
+    out = surrogates.replace(docs, "k", count="n")
     assert out.columns == ["doc_id", "text", "key", "by", "made", "n"]
     return [tuple(r) for r in out.drop("by", "made").collect()]
 
@@ -110,7 +110,7 @@ def test_surrogates_keep_form_and_identity(replaced):
 
 def test_surrogates_are_distinct(spark):
     rows = [(i, f"10.{i // 250}.{i % 250}.7 u{i}@b.io") for i in range(1500)]
-    out = surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
     pairs = [r["text"].split() for r in out]
     assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == 1500
     assert not {a for a, _ in pairs} & {t.split()[0] for _, t in rows}
@@ -118,12 +118,12 @@ def test_surrogates_are_distinct(spark):
 
 def test_small_spaces_stay_distinct(spark):
     rows = [(i, f"{i}@b.io") for i in range(10, 60)]  # two digits: one hundred surrogates, fifty of them taken
-    out = surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
     assert len({r["text"].split("@")[0] + r["text"] for r in out}) == 50
 
 
 def test_empty_table(spark):
-    assert surrogates.replace(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert surrogates.replace(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
 
 
 def test_all_mentions_of_a_titled_name_are_replaced(spark):
@@ -133,7 +133,7 @@ def test_all_mentions_of_a_titled_name_are_replaced(spark):
         (3, "Господин Петров ушёл. Петров. Κύριος Παππάς, Παππάς!"),
         (4, "Smith alone and a@b.io"),
     ]
-    out = {r["doc_id"]: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), count="n").collect()}
+    out = {r["doc_id"]: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k", count="n").collect()}
     john, smith, again, loud = re.fullmatch(
         r"Mr (\w+) (\w+) met Anna\. (\w+) left, (\w+) stayed; Smithson and smith too\.", out[1]["text"]
     ).groups()
@@ -144,3 +144,47 @@ def test_all_mentions_of_a_titled_name_are_replaced(spark):
     slavic, greek = re.fullmatch(r"Господин (\w+) ушёл\. \1\. Κύριος (\w+), \2!", out[3]["text"]).groups()
     assert slavic != "Петров" and greek != "Παππάς" and out[3]["n"] == 4
     assert out[4]["text"].startswith("Smith alone and ") and out[4]["n"] == 1
+
+
+def iban_is_valid(iban):
+    moved = iban[4:] + iban[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
+def test_one_surrogate_for_each_name_of_a_text(spark):
+    rows = [
+        (1, "Dr Anna Schmidt came. Mrs Anna Schmidt left. Mrs Anna smiled. Anna went."),
+        (2, "Frau Kim Lee, Herr Kim Lee and Dr Kim Lee."),
+    ]
+    out = {r["doc_id"]: r["text"] for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    anna, schmidt = re.fullmatch(r"Dr (\w+) (\w+) came\. Mrs \1 \2 left\. Mrs \1 smiled\. \1 went\.", out[1]).groups()
+    assert anna.endswith(tuple("na lia ra nia".split())) and "Anna" not in out[1] and "Schmidt" not in out[1] and anna != schmidt
+    assert re.fullmatch(r"Frau (\w+) (\w+), Herr \1 \2 and Dr \1 \2\.", out[2])
+
+
+def test_ibans_stay_valid(spark):
+    found = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606", "NO9386011117947"]
+    assert all(map(iban_is_valid, found))
+    docs = spark.createDataFrame([(k, f"pay to {i} now") for k, i in enumerate(found)], "doc_id long, text string")
+    for r in surrogates.replace(docs, "k").collect():
+        new = re.fullmatch(r"pay to (\w+) now", r["text"]).group(1)
+        old = found[r["doc_id"]]
+        assert new != old and iban_is_valid(new) and new[:2] == old[:2]
+        assert [c.isdigit() for c in new[4:]] == [c.isdigit() for c in old[4:]]
+
+
+def test_long_hosts_and_texts_end_no_session(spark):
+    long = "a@b" + ".c" * 100_000
+    rows = [(1, long), (2, "." * 300_000 + "a@b.io " + "1 " * 100_000), (3, "Mr " * 20_000 + "Smith"), (4, "aA" * 200_000)]
+    out = {r["doc_id"]: r for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k", count="n").collect()}
+    assert len(out[1]["text"]) == len(long) and out[1]["n"] == 1 and out[1]["text"] != long
+    assert "a@b.io" not in out[2]["text"] and "Smith" not in out[3]["text"] and out[4]["n"] == 0
+
+
+def test_the_hint_holds_for_every_entity(spark):
+    """Texts of one entity each: a hint that missed a kind would leave it."""
+    rows = ["a@b.io", "DE89370400440532013000", "abcdef" * 6, "ABCDEF" * 6, "10.0.0.1", "123-45-6789", "4111111111111111"]
+    rows += ["+4915112345678", "0171 555 7713"] + [f"{t} Smithers" for t in re.sub(r"\[(.)(.)\]", r"\1", "|".join((surrogates.MALE, surrogates.FEMALE, surrogates.NEUTRAL))).replace("n?", "n").split("|")]
+    docs = spark.createDataFrame(list(enumerate(f"x {r}." for r in rows)), "doc_id long, text string")
+    left = [r["text"] for r in surrogates.replace(docs, "k", count="n").collect() if not r["n"]]
+    assert not left

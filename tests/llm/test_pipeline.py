@@ -46,5 +46,5 @@ def test_odd_tables(spark, rows):
 
 def test_surrogates_leave_other_documents_alone(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    found = {r["doc_id"]: (r["text"], r["n"]) for r in surrogates.replace(docs, count="n").collect()}
+    found = {r["doc_id"]: (r["text"], r["n"]) for r in surrogates.replace(docs, "k", count="n").collect()}
     assert all(found[r["doc_id"]] == (r["text"], 0) for r in docs.collect() if found[r["doc_id"]][1] == 0)
