@@ -101,7 +101,7 @@ def byte_values(fold: bool) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, grown on demand and kept per worker."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, PIECE + 1024)
+        size = 1 << (n - 1).bit_length()  # a few growths at most, and no more than the pieces need
         inverse = pow(_BASE, -1, 1 << 64)
         for name, base in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, base, "u8")

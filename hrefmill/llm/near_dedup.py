@@ -9,7 +9,7 @@ registers make the buckets: a pair at similarity 0.8 shares none with probabilit
 
 Texts that share a bucket are verified exactly: their probability Jaccard is computed from both texts. First
 every member of a bucket is verified against the bucket's first one, and links join classes; most buckets lie
-in one class then and are done. The others go to tasks in blocks of at most two times ``CHUNK`` texts (a larger
+in one class then and are done. The others go to tasks in blocks of some two times ``CHUNK`` texts or ``CHUNK_BYTES`` (a larger
 bucket in all pairs of its chunks), where every pair of different classes is verified and a union-find keeps only the
 links that join two classes. So no pair in a bucket is left out, and none but links leaves a task. Equal texts are one
 node from the start.
@@ -39,7 +39,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
-CHUNK = 1024
+# Texts, and bytes of text, in half a block; bytes of text that a task looks at together.
+CHUNK, CHUNK_BYTES = 1024, 2_000_000
+PIECE = 1_000_000
 # Rows of an id, an MD5 and a number that may be broadcast: some 50 MB.
 BROADCAST_ROWS = 500_000
 
@@ -96,7 +98,7 @@ def prob_min_hash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: i
 def _signature_task(bands: int, rows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, data, off in common.pieces(batch.column(2)):
+            for begin, end, data, off in common.pieces(batch.column(2), PIECE):
                 n = end - begin
                 row, element, weight = shingles(data, off)
                 some = np.bincount(row, minlength=n) > 0
@@ -146,7 +148,7 @@ def _verify_task(least: float) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, _, _ in common.pieces(batch.column(2)):
+            for begin, end, _, _ in common.pieces(batch.column(2), PIECE):
                 left, right = sets_of(batch.column(2), begin, end), sets_of(batch.column(3), begin, end)
                 linked = [similarity(a, b) >= least - 1e-9 for a, b in zip(left, right)]
                 yield pa.RecordBatch.from_arrays(
@@ -254,7 +256,9 @@ def _block_task(least: float) -> Callable:
     return run
 
 
-def _link_classes(members: DataFrame, texts: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
+def _link_classes(
+    members: DataFrame, texts: DataFrame, least: float, chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
     """``(node, class)`` for all nodes of ``members (bucket, node)``."""
 
     def mixed(rows: DataFrame) -> DataFrame:
@@ -281,7 +285,11 @@ def _link_classes(members: DataFrame, texts: DataFrame, least: float, chunk: int
     labels = merged(keep(texted.mapInArrow(_verify_task(least), "a long, b long")))
     active = keep(moved(active, labels))
     # Then all members of the buckets that still hold several classes, in blocks of bounded size.
-    open_ = active.join(mixed(active), "bucket").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    sizes = texts.select("node", F.octet_length("text").alias("size"))
+    open_ = keep(active.join(mixed(active), "bucket").select("bucket", "node", "class", "n").join(sizes, "node"))
+    bytes_in = open_.groupBy("bucket").agg(F.sum("size").alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("n") / chunk, F.col("bytes") / chunk_bytes)).cast("int")
+    open_ = open_.join(bytes_in, "bucket").withColumn("chunks", F.greatest(parts, F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     blocks = open_.select(
         "bucket", "node", "class", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")

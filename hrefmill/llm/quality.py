@@ -42,6 +42,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 4
 MOST_GRAMS = 4_000_000
+PIECE = 1_000_000  # bytes of text that a task looks at together
 LOWER_REACH, UPPER_REACH, SLACK = 4.0, 4.0, 0.15
 MOST_SYMBOLS = 0.1
 LEAST_TEXTS, WIDTHS = 30, (0, 1, 2, 4)
@@ -140,7 +141,7 @@ def _in_pairs(values: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.unique(grams_of(d, o)[0], return_counts=True) for _, _, d, o in common.pieces(batch.column(0))]
+        found = [np.unique(grams_of(d, o)[0], return_counts=True) for _, _, d, o in common.pieces(batch.column(0), PIECE)]
         if found:
             grams = pa.array(np.concatenate([g for g, _ in found]).view("i8"))
             counts = pa.array(np.concatenate([n for _, n in found]), pa.int64())
@@ -287,7 +288,7 @@ def _score_task(file: str, text: str, names: dict[str, str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(np.memmap(SparkFiles.get(file), "i8", "r"))
         for batch in batches:
-            for begin, end, data, off in common.pieces(batch.column(batch.schema.get_field_index(text))):
+            for begin, end, data, off in common.pieces(batch.column(batch.schema.get_field_index(text)), PIECE):
                 made = {k: pa.array(v, pa.int64()) for k, v in base_counts(data, off).items()}
                 grams, first = grams_of(data, off)
                 different = np.unique(grams)
@@ -307,7 +308,7 @@ def _base_task(text: str, lang: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(batch.schema.get_field_index(lang))
-            for begin, end, data, off in common.pieces(batch.column(batch.schema.get_field_index(text))):
+            for begin, end, data, off in common.pieces(batch.column(batch.schema.get_field_index(text)), PIECE):
                 made = base_counts(data, off)
                 share = made["n_symbols"] / np.maximum(made["n_words"], 1)
                 part = {"of": langs.slice(begin, end - begin), "share": pa.array(share, pa.float64())}
@@ -321,7 +322,7 @@ def _reference_task(text: str, limit: str) -> Callable:
         for batch in batches:
             limits = batch.column(batch.schema.get_field_index(limit)).to_numpy(zero_copy_only=False)
             texts = batch.column(batch.schema.get_field_index(text))
-            for begin, end, data, off in common.pieces(texts):
+            for begin, end, data, off in common.pieces(texts, PIECE):
                 made = base_counts(data, off)
                 stays = _passes(made) & (made["n_symbols"] <= limits[begin:end] * made["n_words"])
                 part = pa.RecordBatch.from_arrays([texts.slice(begin, end - begin)], ["text"])

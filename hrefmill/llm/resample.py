@@ -282,20 +282,37 @@ def _counted_pairs(head) -> Callable:
     return run
 
 
+def _most_frequent(counted: DataFrame, key: str, most: int) -> list:
+    """Values of ``key`` above a count that at most ``most`` of them reach, in order.
+
+    The count is found from a histogram in steps of a twelfth power of two, so that no task ranks them.
+    """
+    counted = keep(counted)
+    step = F.floor(12 * F.log2("n")).cast("int")
+    sizes = sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True)  # some hundred rows
+    lowest, total = None, 0
+    for at, size in sizes:
+        total += size
+        if total > most:
+            break
+        lowest = at
+    if lowest is None:
+        return []
+    return sorted(r[key] for r in counted.filter(step >= lowest).select(key).collect())
+
+
 def vocabulary(
     texts: DataFrame, buckets: int = BUCKETS, head_words: int = HEAD_WORDS, head_pairs: int = HEAD_PAIRS
 ) -> Head:
-    """The head of a one-column table of texts: its most frequent words and pairs of them, ties by value."""
+    """The head of a one-column table of texts: its most frequent words and pairs of them."""
     counted = texts.mapInArrow(_counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # Written before they are collected: else every partition would send as many rows to the driver.
-    words = [bytes(r["word"]) for r in keep(counted.orderBy(F.desc("n"), "word").limit(head_words)).collect()]
+    words = [bytes(w) for w in _most_frequent(counted, "word", head_words)]
     head = head_of(words)
     if not words:
         return head
     sent = texts.sparkSession.sparkContext.broadcast(head)
     pairs = texts.mapInArrow(_counted_pairs(sent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    chosen = [r["pair"] for r in keep(pairs.orderBy(F.desc("n"), "pair").limit(head_pairs)).collect()]
-    return with_pairs(head, np.array(chosen, "i8"), buckets)
+    return with_pairs(head, np.array(_most_frequent(pairs, "pair", head_pairs), "i8"), buckets)
 
 
 # --- totals, gains and weights ------------------------------------------------------------------------
