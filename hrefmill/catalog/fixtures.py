@@ -140,6 +140,30 @@ def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(sources(spark, sf_dir))
 
 
+def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``filename, pos, line`` of three documents that hold all pages, records broken over lines."""
+    p = pages(spark, sf_dir)
+    n = _page_count(spark, sf_dir)
+    k, q = F.col("page_id"), F.lit('"')
+    url, t = F.concat(q, "url", q), F.concat(q, "t", q)
+    comma = F.when(k == n - 1, "").otherwise(",")
+    opens = F.when(k % 10 == 0, '{"tabs":[').otherwise("")
+    closes = F.when((k % 10 == 9) | (k == n - 1), F.concat(F.lit("]}"), comma)).otherwise(",")
+    line = lambda name, pos, text: F.struct(F.lit(name).alias("filename"), pos.cast("bigint").alias("pos"), text.alias("line"))
+    rows = F.array(
+        line("long.json", 4 * k + 1, F.concat(F.lit(' {"url": '), url, F.lit(","))),
+        line("long.json", 4 * k + 2, F.lit('  "title" :')),
+        line("long.json", 4 * k + 3, t),
+        line("long.json", 4 * k + 4, F.concat(F.lit("}"), comma)),
+        line("tablerone_long.json", k + 1, F.concat(opens, F.lit('{"url":'), url, F.lit(',"title":'), t, F.lit("}"), closes)),
+        line("long.html", 2 * k + 1, F.concat(F.lit("<DT><A HREF="), url)),
+        line("long.html", 2 * k + 2, F.concat(F.lit('ADD="1">'), "t", F.lit(" &amp; more</A>"))),
+    )
+    ends = [("long.json", 0, "["), ("long.json", 4 * n + 1, "]"), ("tablerone_long.json", 0, '{"export":['), ("tablerone_long.json", n + 1, "]}")]
+    ends.append(("long.html", 0, "<!DOCTYPE NETSCAPE-Bookmark-file-1>"))
+    return p.select(F.inline(rows)).unionByName(spark.createDataFrame(ends, "filename string, pos long, line string"))
+
+
 def source_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job per source file; the strategy depends on the kind of file."""
     name = F.col("filename")
@@ -357,6 +381,26 @@ lines AS (
 )"""
 )
 
+LONG_SQL = (
+    PAGES_SQL
+    + """,
+last AS (SELECT max(page_id) AS k FROM p),
+long_lines AS (
+  SELECT 'long.json' AS filename, 4 * page_id + i AS pos,
+         CASE i WHEN 1 THEN ' {"url": "' || url || '",' WHEN 2 THEN '  "title" :' WHEN 3 THEN '"' || t || '"'
+                ELSE '}' || CASE WHEN page_id = k THEN '' ELSE ',' END END AS line
+  FROM p, last, range(1, 5) r(i)
+  UNION ALL SELECT 'long.json', 0, '[' UNION ALL SELECT 'long.json', 4 * k + 5, ']' FROM last
+  UNION ALL SELECT 'tablerone_long.json', page_id + 1,
+         CASE WHEN page_id % 10 = 0 THEN '{"tabs":[' ELSE '' END || '{"url":"' || url || '","title":"' || t || '"}' ||
+         CASE WHEN page_id = k THEN ']}' WHEN page_id % 10 = 9 THEN ']},' ELSE ',' END FROM p, last
+  UNION ALL SELECT 'tablerone_long.json', 0, '{"export":[' UNION ALL SELECT 'tablerone_long.json', k + 2, ']}' FROM last
+  UNION ALL SELECT 'long.html', 2 * page_id + 1, '<DT><A HREF="' || url || '"' FROM p
+  UNION ALL SELECT 'long.html', 2 * page_id + 2, 'ADD="1">' || t || ' &amp; more</A>' FROM p
+  UNION ALL SELECT 'long.html', 0, '<!DOCTYPE NETSCAPE-Bookmark-file-1>'
+)"""
+)
+
 # Detection from content and name alone, then one SELECT per format.
 EXTRACTED_SQL = (
     SOURCES_SQL

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from hrefmill.operators.listing import links_by_ids, links_by_status
 from hrefmill.plans.skew import attach_by_key
-from hrefmill.sources.formats import MAX_DOCUMENT_CHARS, detect_formats, documents, extract_links
+from hrefmill.sources.files import content_hashes
+from hrefmill.sources.formats import detect_formats, extract_links, read_formats
 from hrefmill.storage import cut_lineage
 
 # Exported columns and their headings.
@@ -73,6 +74,7 @@ def write_links_json(links: DataFrame, path: str) -> None:
 
 
 def content_hash8(content: Column) -> Column:
+    """Short hash of a content in one row; ``content_hashes`` gives that of files of any size."""
     return F.left(F.sha2(content, 256), F.lit(8))
 
 
@@ -99,8 +101,8 @@ def needs_conversion(classified: DataFrame) -> DataFrame:
 
 def preview_sources(lines: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """Per file: format, link count, first raw lines and first links."""
-    profile = cut_lineage(detect_formats(lines, types))
-    links = cut_lineage(extract_links(lines, profile))
+    profile, scan = read_formats(lines, types)
+    links = cut_lineage(extract_links(lines, profile, scan=scan))
     counts = links.groupBy("filename").agg(F.count(F.lit(1)).alias("link_count"))
     nth = F.row_number().over(W.partitionBy("filename").orderBy("pos"))
     first = (
@@ -124,10 +126,10 @@ def preview_sources(lines: DataFrame, types: DataFrame | None = None) -> DataFra
     )
 
 
-def export_names(lines: DataFrame, profile: DataFrame) -> DataFrame:
-    """``filename, export_name`` for files that fit in a row; the name carries their content hash."""
-    docs = documents(lines, profile.filter(F.col("chars") <= MAX_DOCUMENT_CHARS))
-    return docs.select("filename", export_name(F.col("filename"), content_hash8(F.col("content"))).alias("export_name"))
+def export_names(lines: DataFrame) -> DataFrame:
+    """``filename, export_name`` of every file; the name carries the hash of its content."""
+    short = F.left("sha256", F.lit(8))
+    return content_hashes(lines).select("filename", export_name(F.col("filename"), short).alias("export_name"))
 
 
 def export_sources(lines: DataFrame, types: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
@@ -135,11 +137,11 @@ def export_sources(lines: DataFrame, types: DataFrame | None = None, existing: D
 
     Write it with ``write_exports``; the rows of one file may be spread over many tasks.
     """
-    profile = cut_lineage(detect_formats(lines, types))
-    names = export_names(lines, profile)
+    profile, scan = read_formats(lines, types)
+    names = export_names(lines)
     if existing is not None:
         names = names.join(existing.select("export_name"), "export_name", "left_anti")
-    links = cut_lineage(extract_links(lines, profile))
+    links = cut_lineage(extract_links(lines, profile, scan=scan))
     sized = names.join(links.groupBy("filename").agg(F.count(F.lit(1)).alias("n")), "filename")
     return attach_by_key(links.select("filename", "pos", "url", "title"), sized, "filename", F.col("pos")).filter(
         F.col("export_name").isNotNull()

@@ -10,7 +10,7 @@ from hrefmill.functions.text import is_blank
 from hrefmill.functions.urls import PARTS, PRESETS, import_preset, normalized, with_url_parts
 from hrefmill.plans.ordering import with_global_position, with_rank_in_group, with_running_total
 from hrefmill.plans.skew import anti_by_key, attach_by_key, semi_by_key
-from hrefmill.sources.formats import EXTRACTORS, Extractor, detect_formats, extract_links
+from hrefmill.sources.formats import EXTRACTORS, Extractor, extract_links, read_formats
 from hrefmill.storage import cut_lineage
 
 FILENAME_SHOWN = 100
@@ -83,8 +83,8 @@ def parse_sources(
     counts valid links only and is NULL for the others. Feed the result to ``new_links`` and
     ``job_counts``. Each URL is parsed once: the checked links are kept before they are numbered.
     """
-    profile = detect_formats(lines, jobs.select("filename", "type"), extractors)
-    found = extract_links(lines, profile, extractors)
+    profile, scan = read_formats(lines, jobs.select("filename", "type"), extractors)
+    found = extract_links(lines, profile, extractors, scan)
     checked = cut_lineage(with_validity(found))
     ranked = with_rank_in_group(checked, "filename", "pos", "source_order", F.col("is_valid"))
     per_job = checked.groupBy("filename").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("valid"))
@@ -250,8 +250,8 @@ def first_per_url(links: DataFrame) -> DataFrame:
 def extract_directory(lines: DataFrame, types: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(per-file format, line and link counts, links that are the first of their URL)``."""
     visible = lines.filter(~F.col("filename").rlike(r"(^|/)\."))
-    profile = cut_lineage(detect_formats(visible, types))
-    links = cut_lineage(extract_links(visible, profile))
+    profile, scan = read_formats(visible, types)
+    links = cut_lineage(extract_links(visible, profile, scan=scan))
     counts = links.groupBy("filename").agg(F.count(F.lit(1)).alias("links"))
     per_file = profile.join(counts, "filename", "left").select(
         "filename", "format", F.col("n").alias("lines"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links")

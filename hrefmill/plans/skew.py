@@ -9,6 +9,8 @@ from hrefmill.storage import cut_lineage
 
 MAX_HOT_KEYS = 1000
 HOT_ROWS = 100_000
+#: A table of at most so many keys is sent to all tasks whole, and no row moves.
+BROADCAST_KEYS = 10_000
 
 
 def attach_by_key(
@@ -21,8 +23,8 @@ def attach_by_key(
 ) -> DataFrame:
     """Left join ``per_key`` (unique on ``key``, row count in ``size``) to ``rows``.
 
-    ``per_key`` is computed once and kept, so its hot keys are known when the join is planned. If
-    there are any, the biggest, at most ``MAX_HOT_KEYS``, are broadcast: their rows find their match
+    ``per_key`` is computed once and kept, so its size and hot keys are known when the join is planned. A
+    small one (``BROADCAST_KEYS``) is broadcast whole. Otherwise, if there are hot keys, the biggest, at most ``MAX_HOT_KEYS``, are broadcast: their rows find their match
     without a shuffle by key, and in the shuffle that serves all other keys they go to a slot drawn
     from ``spread`` instead of all to one task. NULL keys match nothing and are spread the same way.
     """
@@ -30,6 +32,8 @@ def attach_by_key(
     # The slot must be data: a literal here would let Catalyst turn the join on (key, slot) into a
     # join on the key alone.
     per_key = cut_lineage(per_key.withColumn("__slot", F.lit(0).cast("bigint")))
+    if per_key.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(per_key.drop("__slot")), key, "left").select(*rows.columns, *values)
     hot = per_key.filter(F.col(size) >= hot_rows)
     tagged, is_hot = rows, F.lit(False)
     if not hot.isEmpty():

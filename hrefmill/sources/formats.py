@@ -1,28 +1,28 @@
 """Format detection and link extraction for the eight export formats.
 
-An extractor is a detection predicate over a file's profile and one column expression: either from
-a line to ``struct<url, title>`` or from a whole document to ``array<struct<pos, url, title>>``.
-Pass a longer list to plug in more formats; list order is the detection priority.
+An extractor is a detection predicate over a file's profile and a way to read: either a column expression from
+a line to ``struct<url, title>``, or a function from the lines of its files (and the scan of their JSON) to rows of
+``filename, pos, url, title``. Pass a longer list to plug in more formats; list order is the detection priority.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hrefmill.functions.text import JS_SPACE, csv_fields, decode_entities, is_blank, js_trim
-from hrefmill.plans.skew import attach_by_key
+from hrefmill.plans.skew import attach_by_key, semi_by_key
+from hrefmill.sources.records import BLOCK, JsonScan, scan_anchors, scan_json
 from hrefmill.storage import cut_lineage
 
 SNIFF_LINES = 10
 SNIFF_HEAD = 64
-MAX_DOCUMENT_CHARS = 512 * 1024 * 1024
-# As JSON.parse reads it.
-STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+BROADCAST_FILES = 50_000
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ class Extractor:
     type: str
     detect: Column | Callable[[], Column]
     parse_line: Callable[[Column], Column] | None = None
-    parse_document: Callable[[Column], Column] | None = None
+    read: Callable[[DataFrame, JsonScan | None], DataFrame] | None = None
 
 
 def has_web_scheme(url: Column) -> Column:
@@ -81,68 +81,21 @@ def csv_line(line: Column) -> Column:
     return F.when((F.col("pos") > 0) & (F.col("url_at") > 0), _link(at("url_at"), title))
 
 
-def _text_of(v: Column, path: str) -> Column:
-    """String at a path of a variant, NULL for any other type."""
-    is_text = F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
-    return F.when(is_text, F.try_variant_get(v, path, "string"))
+def json_array_items(lines: DataFrame, scan: JsonScan) -> DataFrame:
+    return scan.array_items()
 
 
-def _only_web(links: Column) -> Column:
-    return F.filter(links, lambda x: F.coalesce(has_web_scheme(x["url"]), F.lit(False)))
+def tablerone_tabs(lines: DataFrame, scan: JsonScan) -> DataFrame:
+    return scan.tabs()
 
 
-def json_array_document(content: Column) -> Column:
-    items = F.from_json(content, "array<variant>", STRICT_JSON)
-    items = F.when(content.rlike(rf"\][{JS_SPACE}]*$"), items)
-    return _only_web(
-        F.transform(
-            items,
-            lambda v, i: F.struct(
-                i.cast("bigint").alias("pos"),
-                F.coalesce(_text_of(v, "$"), _text_of(v, "$.url")).alias("url"),
-                F.coalesce(_text_of(v, "$.title"), F.lit("")).alias("title"),
-            ),
-        )
-    )
+def bookmarks(lines: DataFrame, scan: JsonScan | None, size: int = BLOCK) -> DataFrame:
+    return scan_anchors(lines, size).withColumn("title", decode_entities(F.col("title")))
 
 
-def _export_groups(content: Column) -> Column:
-    root = F.from_json(content, "export variant", STRICT_JSON)
-    return F.when(content.rlike(rf"\}}[{JS_SPACE}]*$"), F.try_variant_get(root["export"], "$", "array<variant>"))
-
-
-def tablerone_document(content: Column) -> Column:
-    none = F.array().cast("array<struct<pos:bigint,url:string,title:string>>")
-
-    def tabs(g: Column, gi: Column) -> Column:
-        listed = F.try_variant_get(g, "$.tabs", "array<variant>")
-        return F.coalesce(
-            F.transform(
-                listed,
-                lambda t, ti: F.struct(
-                    (F.shiftleft(gi.cast("bigint"), 32) + ti).alias("pos"),
-                    _text_of(t, "$.url").alias("url"),
-                    F.coalesce(F.try_variant_get(t, "$.title", "string"), F.lit("")).alias("title"),
-                ),
-            ),
-            none,
-        )
-
-    return _only_web(F.flatten(F.transform(_export_groups(content), tabs)))
-
-
-def bookmarks_document(content: Column) -> Column:
-    anchor = F.lit(r'(?i)<A\s+HREF="([^"]+)"[^>]*>([^<]*)</A>')
-    urls = F.regexp_extract_all(content, anchor, F.lit(1))
-    titles = F.regexp_extract_all(content, anchor, F.lit(2))
-    return _only_web(
-        F.transform(
-            F.arrays_zip(urls.alias("url"), titles.alias("title")),
-            lambda a, i: F.struct(
-                i.cast("bigint").alias("pos"), a["url"].alias("url"), decode_entities(a["title"]).alias("title")
-            ),
-        )
-    )
+def in_blocks_of(size: int) -> list[Extractor]:
+    """The extractors, with documents read in blocks of another size."""
+    return [replace(e, read=partial(bookmarks, size=size)) if e.read is bookmarks else e for e in EXTRACTORS]
 
 
 def _any_line(test: Callable[[Column], Column]) -> Column:
@@ -156,7 +109,7 @@ def _bracketed(line: Column) -> Column:
 
 EXTRACTORS: list[Extractor] = [
     Extractor("csv", "TXT", lambda: F.lower("filename").endswith(".csv"), parse_line=csv_line),
-    Extractor("tablerone_json", "JSON", lambda: F.col("has_export"), parse_document=tablerone_document),
+    Extractor("tablerone_json", "JSON", lambda: F.col("has_export"), read=tablerone_tabs),
     Extractor(
         "onetab_ini",
         "TXT",
@@ -177,10 +130,10 @@ EXTRACTORS: list[Extractor] = [
         "TXT",
         lambda: F.col("has_netscape")
         | (_any_line(lambda x: x.rlike("(?i)<DL>")) & _any_line(lambda x: x.rlike(r"(?i)<A\s+HREF="))),
-        parse_document=bookmarks_document,
+        read=bookmarks,
     ),
     Extractor("url_only", "TXT", lambda: F.lit(True), parse_line=url_line),
-    Extractor("json_array", "JSON", lambda: F.lit(True), parse_document=json_array_document),
+    Extractor("json_array", "JSON", lambda: F.lit(True), read=json_array_items),
 ]
 
 
@@ -233,68 +186,83 @@ def source_type(filename: Column, head: Column, given: Column) -> Column:
     )
 
 
-def documents(lines: DataFrame, profile: DataFrame) -> DataFrame:
-    """``filename, content`` of the profiled files that must be parsed whole, one row per file."""
-    wanted = profile.filter(F.col("chars") <= MAX_DOCUMENT_CHARS).select("filename")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))["line"]
-    return (
-        lines.join(wanted, "filename", "left_semi")
-        .groupBy("filename")
-        .agg(F.array_join(ordered, "\n").alias("content"))
-    )
+def _of_files(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """The lines of some files; their text is not shuffled unless the names are too many to send."""
+    names = files.select("filename")
+    if names.count() <= BROADCAST_FILES:
+        return lines.join(F.broadcast(names), "filename", "left_semi")
+    return semi_by_key(lines, names, "filename", F.col("pos"))
+
+
+def read_json(lines: DataFrame, profile: DataFrame, size: int = BLOCK) -> JsonScan:
+    """The JSON files of a profile, read by records; pass it on to what follows, so that they are read once."""
+    return scan_json(_of_files(lines, profile.filter("type = 'JSON'")), size)
 
 
 def detect_formats(
-    lines: DataFrame, types: DataFrame | None = None, extractors: list[Extractor] = EXTRACTORS
+    lines: DataFrame, types: DataFrame | None = None, extractors: list[Extractor] = EXTRACTORS, size: int = BLOCK
 ) -> DataFrame:
-    """File profiles with ``format`` and, for a document too big to parse whole, an ``error``."""
-    profile = profile_files(lines, types)
-    json_docs = documents(lines, profile.filter("type = 'JSON'"))
-    exports = json_docs.select("filename", _export_groups(F.col("content")).isNotNull().alias("has_export"))
-    files = profile.join(exports, "filename", "left").withColumn(
-        "has_export", F.coalesce("has_export", F.lit(False))
+    """File profiles with ``format`` and ``error``."""
+    return read_formats(lines, types, extractors, size)[0]
+
+
+def read_formats(
+    lines: DataFrame, types: DataFrame | None = None, extractors: list[Extractor] = EXTRACTORS, size: int = BLOCK
+) -> tuple[DataFrame, JsonScan]:
+    """File profiles with ``format`` and ``error`` (NULL but for JSON that no parser takes), and the scan of the JSON files."""
+    profile = cut_lineage(profile_files(lines, types))
+    scan = read_json(lines, profile, size)
+    seen = scan.verdicts.select(
+        "filename", "valid", (F.col("valid") & (F.col("root") == "{") & (F.col("exported") >= 0)).alias("has_export")
     )
+    files = profile.join(seen, "filename", "left").withColumn("has_export", F.coalesce("has_export", F.lit(False)))
     chosen = F.lit(None).cast("string")
     for e in reversed(extractors):
         chosen = F.when((F.col("type") == e.type) & e.detect(), e.format).otherwise(chosen)
-    whole = [e.format for e in extractors if e.parse_document]
-    return files.withColumn("format", chosen).withColumn(
-        "error",
-        F.when(
-            F.col("format").isin(whole) & (F.col("chars") > MAX_DOCUMENT_CHARS),
-            F.format_string("document of %d characters is too large to parse whole", "chars"),
-        ),
-    )
+    error = F.when((F.col("type") == "JSON") & ~F.col("valid"), F.lit("not valid JSON"))
+    return cut_lineage(files.withColumns({"format": chosen, "error": error}).drop("valid")), scan
 
 
-def extract_links(lines: DataFrame, profile: DataFrame, extractors: list[Extractor] = EXTRACTORS) -> DataFrame:
-    """``filename, type, format, pos, url, title``, order-preserving through ``pos``."""
+def extract_links(
+    lines: DataFrame,
+    profile: DataFrame,
+    extractors: list[Extractor] = EXTRACTORS,
+    scan: JsonScan | None = None,
+    size: int = BLOCK,
+) -> DataFrame:
+    """``filename, type, format, pos, url, title`` of the files of ``profile``, order-preserving through ``pos``.
+
+    ``profile`` is read several times, best from a stored or kept table as ``read_formats`` gives;
+    ``scan`` is what ``read_formats`` has read of the JSON files.
+    """
     header = csv_fields(F.col("header"))
     is_csv = F.col("format") == "csv"
-    facts = cut_lineage(profile.select(
+    facts = profile.select(
         "filename",
         "type",
         "format",
         "n",
-        "chars",
         F.when(is_csv, F.array_position(header, "NavigatedToUrl")).alias("url_at"),
         F.when(is_csv, F.array_position(header, "PageTitle")).alias("title_at"),
-    ))
+    )
     by_line = [e for e in extractors if e.parse_line]
-    whole = [e for e in extractors if e.parse_document]
-
     link = F.lit(None).cast("struct<url:string,title:string>")
     for e in by_line:
         link = F.when(F.col("format") == e.format, e.parse_line(F.col("line"))).otherwise(link)
-    from_lines = (
-        attach_by_key(lines, facts.drop("chars"), "filename", F.col("pos"))
+    out = (
+        attach_by_key(lines, facts, "filename", F.col("pos"))
         .filter(F.col("format").isin([e.format for e in by_line]))
         .select("filename", "type", "format", "pos", F.inline(F.array_compact(F.array(link))))
     )
-    found = F.lit(None).cast("array<struct<pos:bigint,url:string,title:string>>")
-    for e in whole:
-        found = F.when(F.col("format") == e.format, e.parse_document(F.col("content"))).otherwise(found)
-    doc_facts = facts.filter(F.col("format").isin([e.format for e in whole]))
-    docs = documents(lines, doc_facts)
-    from_docs = docs.join(doc_facts, "filename").select("filename", "type", "format", F.inline(found))
-    return from_lines.unionByName(from_docs)
+    present = {r["format"] for r in facts.select("format").distinct().collect()}  # at most one row an extractor
+    for e in extractors:
+        if e.read is None or e.format not in present:
+            continue
+        files = facts.filter(F.col("format") == e.format)
+        if e.type == "JSON" and scan is None:
+            scan = read_json(lines, facts, size)
+        found = e.read(_of_files(lines, files), scan)
+        found = found.filter(F.coalesce(has_web_scheme(F.col("url")), F.lit(False)))
+        tagged = found.join(files.select("filename", "type", "format"), "filename")
+        out = out.unionByName(tagged.select("filename", "type", "format", "pos", "url", "title"))
+    return out

@@ -1,9 +1,15 @@
 """Reading files from disk, format detection and extraction."""
 
+import hashlib
+import json
+import os
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from hrefmill.sources import files, formats
+from hrefmill.sources import files, formats, records
 
 FILES = {
     "urls.txt": "\n\nhttps://a.com/1\r\n  http://b.com/2  \nftp://no\nplain\n",
@@ -99,8 +105,9 @@ def test_split_files_are_numbered_densely(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     for name in want:
         got = sorted((r["pos"], r["line"]) for r in rows if r["filename"] == name)
-        assert [g[1] for g in got] == want[name]
-        assert [g[0] for g in got] == list(range(len(want[name])))
+        # The content ends with a line break, which leaves an empty line.
+        assert [g[1] for g in got] == [*want[name], ""]
+        assert [g[0] for g in got] == list(range(len(want[name]) + 1))
 
 
 def test_listing_and_pages_of_lines(spark, root):
@@ -128,11 +135,138 @@ def test_plugged_in_extractor(spark):
     assert [(r["format"], r["url"], r["title"]) for r in got] == [("tabbed", "https://a.com", "A")]
 
 
-def test_oversized_document_is_reported_not_cut(spark, monkeypatch):
-    monkeypatch.setattr(formats, "MAX_DOCUMENT_CHARS", 20)
-    rows = [("big.json", '["https://a.com/long"]'), ("ok.json", '["http://a.b"]')]
+def links_at(lines, size):
+    profile, scan = formats.read_formats(lines, size=size)
+    rows = formats.extract_links(lines, profile, formats.in_blocks_of(size), scan, size).collect()
+    found = {r["filename"]: (r["format"], []) for r in profile.collect()}
+    for r in sorted(rows, key=lambda r: (r["filename"], r["pos"])):
+        found[r["filename"]][1].append((r["url"], r["title"]))
+    return found
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_records_do_not_depend_on_the_block_size(spark, root, size):
+    assert links_at(files.read_source_lines(spark, root), size) == EXPECTED
+
+
+JSON_CASES = [
+    "", " ", "5", '"https://a.com"', "[]", " [ ] ", "[[]]", "[1]", "[1,]", "[,1]", "[1 2]", '["a" "b"]', "[1]]", "[1][2]", "{}", "{,}", '{"a"}',
+    '{"a":1}', '{"a":1,}', '{"a":1:2}', '{"export":[]}', '{"export":[}', '{"export":[]]', '{"export":{}}', '{"export":[{"tabs":[]}]}',
+    '["https://a.com/\\"x]y", "https://b.com/\\\\"]', '["https://a.com/\\\\", {"url":"https://b.com/[{,:}]","title":"t\\"],"}]',
+    '[{"url":"https://a.com","more":{"x":[1,[2,{"y":"]"}]]}},\n\n {"title":"b","url":"https://b.com"}\n]\n',
+    '{"x":[[1,{"export":[{"tabs":[{"url":"https://no.com"}]}]}]], "export" : [ {"name":"n","tabs":[{"url":"https://a.com","title":"A"} , {"url":"https://b.com"}],"z":{"tabs":[{"url":"https://no.com"}]}}, [{"tabs":[1]}], {"tabs":{"url":1}}, 7, {"tabs":[ ]}, {"tabs":["https://no.com",{"url":"https://c.com","title":5}]} ] }',
+    '{"\\u0065xport":[{"ta\\u0062s":[{"url":"https://a.com"}]}]}', '{"export":[{"tabs":[{"url":"https://a.com"}]}],"export":[{"tabs":[{"url":"https://b.com"}]}]}',
+    '{"export":[{"tabs":[{"url":"https://a.com"},]}]}', '{"export":[{"tabs":[{"url":"https://a.com"}]}]} x', '["https://a.com"]\u00a0', "[tru]", "['https://a.com']",
+    '["https://a.com/\n"]', '{"ex port":[{"tabs":[{"url":"https://a.com"}]}]}', '{"export":[{"tabs" 1:[{"url":"https://a.com"}]}]}', '["https://é.com/日本", "https://b.com"]',
+    '{"export":5 [{"tabs":[{"url":"https://a.com"}]}]}', '["https://a.com", {"url":"https://b.com"]', '{"export":[{"tabs":[{"url":"https://a.com"}]]}]}', "[[1,2],[3]", "[NaN]",
+]
+
+
+def plain_json(text):
+    """What a parser of the whole document gives: format and links."""
+    strict = json.JSONDecoder(parse_constant=lambda c: 1 / 0)
+    try:
+        data = strict.decode(text.strip("\u00a0 \t\r\n"))
+    except (ValueError, ZeroDivisionError):
+        return "json_array", []
+    web = lambda u: isinstance(u, str) and u.startswith(("http://", "https://"))
+    if isinstance(data, dict) and isinstance(data.get("export"), list):
+        tabs = [t for g in data["export"] if isinstance(g, dict) and isinstance(g.get("tabs"), list) for t in g["tabs"]]
+        return "tablerone_json", [(t["url"], str(t.get("title") or "")) for t in tabs if isinstance(t, dict) and web(t.get("url"))]
+    links = []
+    for item in data if isinstance(data, list) else []:
+        url, title = (item, "") if isinstance(item, str) else (item.get("url"), item.get("title")) if isinstance(item, dict) else (None, "")
+        if web(url):
+            links.append((url, title if isinstance(title, str) else ""))
+    return "json_array", links
+
+
+def test_json_by_records_equals_a_parser_of_the_whole(spark):
+    rows = [(f"{k}.json", text) for k, text in enumerate(JSON_CASES)]
+    lines = files.lines_of(spark.createDataFrame(rows, "filename string, content string"))
+    want = {name: plain_json(text) for name, text in rows}
+    for size in (1, 3, 11, 1 << 18):
+        got = links_at(lines, size)
+        assert {k: v for k, v in got.items() if v != want[k]} == {}, size
+
+
+def test_json_records_of_random_documents(spark):
+    rng = random.Random(7)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 4)
+        if kind < 4:
+            return [rng.randrange(100), None, "x\\\"]}[{,:" * rng.randrange(3), "https://h.com/" + "é\\" * rng.randrange(4)][kind]
+        if kind < 6:
+            return {rng.choice(["url", "title", "export", "tabs", "k"]): value(depth - 1) for _ in range(rng.randrange(4))}
+        return [value(depth - 1) for _ in range(rng.randrange(4))]
+
+    rows = []
+    for k in range(120):
+        data = [value(3) for _ in range(rng.randrange(6))]
+        if k % 2:
+            data = {"a": value(2), "export": [{"n": value(2), "tabs": data} if rng.random() < 0.7 else value(2) for _ in range(4)], "z": value(2)}
+        text = json.dumps(data, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        if rng.random() < 0.3:
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice('[]{},:" ') + text[at + rng.randrange(2) :]
+        rows.append((f"{k}.json", text))
+    lines = files.lines_of(spark.createDataFrame(rows, "filename string, content string"))
+    want = {name: plain_json(text) for name, text in rows}
+    for size in (5, 40):
+        got = links_at(lines, size)
+        assert {k: (v, want[k]) for k, v in got.items() if v != want[k]} == {}, size
+
+
+HTML_CASES = [
+    '<A HREF="https://a.com">a</A><a href="https://b.com" X=1>b</a>', '<A HREF="https://a.com">no<b></A><A HREF="https://b.com">b</A>',
+    '<A\n\n HREF="https://a.\ncom"\nADD="<x"\n>t\nu</A\n></A>', "<A HREF=\"https://a.com\">t</A" + "\n" * 5 + "x", '<A HREF="">e</A><A  HREF="https://c.com"></A>',
+    '<A HREF="https://open.com">' + "long " * 50 + "\n" * 9 + "</A>" + '<A HREF="https://z.com">z</A>' * 3, '<A <A HREF="https://q.com">q</A>', '<A HREF="https://never.com', "",
+]
+
+
+def test_anchors_by_blocks_equal_a_search_of_the_whole(spark):
+    rows = [(f"{k}.html", text) for k, text in enumerate(HTML_CASES)]
+    lines = files.lines_of(spark.createDataFrame(rows, "filename string, content string"))
+    pattern = re.compile(r'(?i)<A\s+HREF="([^"]+)"[^>]*>([^<]*)</A>')
+    want = sorted((name, k, *found) for name, text in rows for k, found in enumerate(pattern.findall(text)))
+    for size in (1, 2, 9, 50, 1 << 18):
+        assert sorted(map(tuple, records.scan_anchors(lines, size).collect())) == want, size
+
+
+def test_lines_and_hashes_of_files_equal_those_of_contents(spark, tmp_path):
+    contents = {"end.txt": "a\nb\n", "none.txt": "", "open.txt": "a\r\nb", "breaks.txt": "\n\n", "one.txt": "x", "é ü.txt": "日本\n\n", "big.txt": "line of text\n" * 5000}
+    for name, text in contents.items():
+        (tmp_path / name).write_bytes(text.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        lines = files.read_source_lines(spark, str(tmp_path))
+        got = sorted((r["filename"], r["pos"], r["line"]) for r in lines.collect())
+        hashes = {r["filename"]: r["sha256"] for r in files.content_hashes(lines).collect()}
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == sorted((name, k, line) for name, text in contents.items() for k, line in enumerate(text.split("\n")))
+    assert hashes == {name: hashlib.sha256(text.encode()).hexdigest() for name, text in contents.items()}
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_listing_is_complete_and_newest_first(spark, tmp_path):
+    for k, name in enumerate(["old.txt", "b.txt", "a.txt", "empty.txt", "sub/new %41.txt"]):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("" if name == "empty.txt" else "x" * k + "y")
+        at = 1_700_000_000 + 60 * (k if k in (0, 3, 4) else 1)
+        os.utime(tmp_path / name, (at, at))
+    got = [(r["filename"], r["size"], int(r["modified_at"].replace(tzinfo=None).timestamp())) for r in files.list_source_files(spark, str(tmp_path)).collect()]
+    order = [("sub/new %41.txt", 5, 4), ("empty.txt", 0, 3), ("a.txt", 3, 1), ("b.txt", 2, 1), ("old.txt", 1, 0)]
+    assert [g[:2] for g in got] == [o[:2] for o in order]
+    assert [g[2] - got[-1][2] for g in got] == [60 * o[2] for o in order]
+    assert {r["filename"]: r["content"] for r in files.read_source_files(spark, str(tmp_path)).collect()}["empty.txt"] == ""
+
+
+def test_broken_json_is_reported(spark):
+    rows = [("bad.json", '["https://a.com"'), ("ok.json", '["http://a.b"]'), ("t.txt", "https://a.com")]
     lines = files.lines_of(spark.createDataFrame(rows, "filename string, content string"))
-    profile = formats.detect_formats(lines)
-    got = {r["filename"]: r["error"] for r in profile.collect()}
-    assert got["ok.json"] is None and "too large" in got["big.json"]
-    assert [r["url"] for r in formats.extract_links(lines, profile).collect()] == ["http://a.b"]
+    got = {r["filename"]: r["error"] for r in formats.detect_formats(lines).collect()}
+    assert got == {"bad.json": "not valid JSON", "ok.json": None, "t.txt": None}
