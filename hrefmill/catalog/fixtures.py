@@ -122,7 +122,7 @@ def build_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, stem = F.col("body"), F.col("stem")
     section = F.concat(F.lit("[Group "), F.col("g").cast("string"), F.lit("]"))
     content = (
-        F.when(stem == "onetab_", nl(F.concat(F.slice(b, 1, 1), F.array(section), F.slice(b, 2, 1000))))
+        F.when(stem == "onetab_", nl(F.concat(F.slice(b, 1, 1), F.array(section), F.slice(b, F.lit(2), F.size(b)))))
         .when(stem == "history_", F.concat(F.lit("NavigatedToUrl,PageTitle\n"), nl(b)))
         .when(stem == "flat_", F.concat(F.lit("["), F.array_join(b, ","), F.lit("]")))
         .when(stem == "tablerone_backup_", F.concat(F.lit('{"export":[{"tabs":['), F.array_join(b, ","), F.lit("]}]}")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hrefmill.operators import audit, dedup, export, ingest, listing, prune, results, search, transitions
 from hrefmill.sources import files, tables
-from hrefmill.streaming import streams
+from hrefmill.streaming import folders, streams
 
 
 @pytest.mark.parametrize(
@@ -223,6 +223,75 @@ def test_dedup_stream_keeps_first_arrival(spark, tmp_path):
     assert sorted(r["seq"] for r in kept) == [0, 1, 2, 3, 4]
 
 
+def test_first_arrivals_carry_every_column(spark, tmp_path):
+    source, table = str(tmp_path / "links"), str(tmp_path / "table")
+    links = make_links(spark, ["https://a.com/1", "https://b.com/", "https://a.com/1"]).withColumns(
+        {"tags": F.array(F.lit('q"é'), F.lit(None)), "updated_at": F.col("created_at") + F.expr("INTERVAL 1 MICROSECOND")}
+    )
+    nameless = links.filter("seq = 1").withColumns({"seq": F.lit(7).cast("bigint"), "normalized_url": F.lit(None).cast("string")})
+    links = links.unionByName(nameless).unionByName(nameless.withColumn("seq", F.lit(8).cast("bigint")))
+    links.coalesce(1).write.parquet(source)
+    streams.dedup_stream(streams.stream_table(spark, source), "normalized_url", table, str(tmp_path / "ck")).awaitTermination()
+    got = streams.read_batches(spark, table).drop("batch")
+    want = links.filter("seq IN (0, 1, 7)")
+    assert got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_state_and_not_the_table_answers(spark, tmp_path):
+    """Stored rows are gone, yet repeats of their keys are known."""
+    source, table = str(tmp_path / "links"), str(tmp_path / "table")
+    for wave in range(2):
+        make_links(spark, ["https://a.com/1", f"https://b.com/{wave}"]).coalesce(1).write.mode("append").parquet(source)
+        streams.dedup_stream(streams.stream_table(spark, source), "normalized_url", table, str(tmp_path / "ck")).awaitTermination()
+        if wave == 0:
+            (tmp_path / "table" / "batch=0").rename(tmp_path / "gone")
+    assert [r["normalized_url"] for r in streams.read_batches(spark, table).collect()] == ["https://b.com/1"]
+
+
+def test_fifty_batches_leave_few_folders(spark, tmp_path):
+    table = str(tmp_path / "table")
+    for n in range(50):
+        rows = spark.range(3).withColumn("v", F.lit(n))
+        folders.write_batch(rows.coalesce(1), table, n)
+        folders.merge_folders(spark, table, n, fanout=4)
+        if n == 30:  # the batch runs again, and so does its merge
+            folders.write_batch(rows.coalesce(1), table, n)
+            folders.merge_folders(spark, table, n, fanout=4)
+        got = folders.read_batches(spark, table)
+        if n % 7 == 0:
+            assert sorted((r["batch"], r["v"], r["id"]) for r in got.collect()) == [(b, b, i) for b in range(n + 1) for i in range(3)]
+    ranges, single = folders.folders(spark, table)
+    assert len(ranges) + len(single) <= 12 and len(list((tmp_path / "table").glob("*=*"))) <= 24
+    assert sorted(r["v"] for r in folders.read_batches(spark, table, before=20).collect()) == sorted(list(range(20)) * 3)
+    # A merge that stopped before its list was written changes nothing.
+    (tmp_path / "table" / "merged=0-99").mkdir()
+    assert folders.read_batches(spark, table).count() == 150
+
+
+def test_merged_batches_fold_to_the_newest(spark, tmp_path):
+    table = str(tmp_path / "table")
+    for n in range(10):
+        folders.write_batch(spark.createDataFrame([("f", n), (f"g{n}", n)], "filename string, c long").coalesce(1), table, n)
+        folders.merge_folders(spark, table, n, fold=lambda rows: streams.newest_per_key(rows, "filename"), fanout=3)
+    got = streams.read_batches(spark, table)
+    assert got.count() < 20
+    assert {(r["filename"], r["c"]) for r in streams.latest_per_key(got, "filename").collect()} == {("f", 9)} | {(f"g{n}", n) for n in range(10)}
+
+
+def test_stored_keys_read_only_the_buckets_of_a_batch(spark, tmp_path):
+    keys = str(tmp_path / "keys")
+    for n in range(12):
+        rows = spark.createDataFrame([(f"f{i}.txt", f"https://a.com/{n}/{i}") for i in range(40)], "source_file string, normalized_url string")
+        streams.write_keys(rows, keys, n)
+    asked = spark.createDataFrame([("f3.txt",), ("f4.txt",), ("new.txt",)], "source_file string")
+    found = streams.stored_keys(spark, keys, asked, before=11)
+    assert sorted(map(tuple, found.collect())) == sorted((f"f{i}.txt", f"https://a.com/{n}/{i}") for n in range(11) for i in (3, 4))
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(source_file" in plan
+    assert streams.stored_keys(spark, str(tmp_path / "none"), asked, before=3) is None
+
+
 def test_bounded_dedup_stream(spark, tmp_path):
     source = str(tmp_path / "links")
     make_links(spark, ["https://a.com/1"] * 4 + ["https://b.com/"]).write.parquet(source)
