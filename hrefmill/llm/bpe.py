@@ -349,7 +349,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(word, n)`` over all texts, words as bytes."""
     return (
         docs.select(text_col)
-        .mapInArrow(_count_task, "word binary, n long")
+        .mapInArrow(common.releasing(_count_task), "word binary, n long")
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
     )
@@ -382,7 +382,7 @@ def encode(
     file = publish(spark, "lexicon", compile_lexicon(words, [exact(w.decode()) for w in words]))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(v, OUTPUTS[k][1]) for k, v in names.items())])
     task = _encode_task(spark.sparkContext.broadcast(vars(tokenizer)), file, text_col, names)
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(common.releasing(task), schema)
 
 
 def _decode_task(tokens, column: str, out: str) -> Callable:

@@ -7,8 +7,9 @@ per task stays small whatever the batch size; only a single text longer than a p
 
 from __future__ import annotations
 
+import ctypes
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,28 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.
         first = end
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def releasing(task: Callable) -> Callable:
+    """``task``, after which its worker holds no more than before: workers outlive tasks and stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return run
+
+
 def words_in(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each maximal run of word bytes inside a row, and each row's first word.
 

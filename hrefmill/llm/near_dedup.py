@@ -282,7 +282,7 @@ def _link_classes(
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     texted = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    labels = merged(keep(texted.mapInArrow(_verify_task(least), "a long, b long")))
+    labels = merged(keep(texted.mapInArrow(common.releasing(_verify_task(least)), "a long, b long")))
     active = keep(moved(active, labels))
     # Then all members of the buckets that still hold several classes, in blocks of bounded size.
     sizes = texts.select("node", F.octet_length("text").alias("size"))
@@ -315,7 +315,7 @@ def classes(
         F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col))).alias("key"), F.col(text_col).alias("text")
     )
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = keep(named.mapInArrow(_signature_task(bands, rows), f"id {kind}, key binary, bands array<long>"))
+    signed = keep(named.mapInArrow(common.releasing(_signature_task(bands, rows)), f"id {kind}, key binary, bands array<long>"))
     # One node per text; its number is settled by the writing.
     nodes = keep(
         signed.filter(F.col("key").isNotNull())

@@ -42,6 +42,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 4
 MOST_GRAMS = 4_000_000
+BROADCAST_BANDS = 100_000
 PIECE = 1_000_000  # bytes of text that a task looks at together
 LOWER_REACH, UPPER_REACH, SLACK = 4.0, 4.0, 0.15
 MOST_SYMBOLS = 0.1
@@ -151,7 +152,7 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(gram, n)``: how often each packed n-gram of the highest order occurs in all texts."""
-    counted = docs.select(text_col).mapInArrow(_count_task, "gram long, n long")
+    counted = docs.select(text_col).mapInArrow(common.releasing(_count_task), "gram long, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -340,7 +341,7 @@ def symbol_limits(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("of"))
     schema = T.StructType([T.StructField("of", rows.schema["of"].dataType), T.StructField("share", T.DoubleType())])
     median = F.percentile_approx("share", 0.5, 10_000)
-    shares = rows.mapInArrow(_base_task("text", "of"), schema)
+    shares = rows.mapInArrow(common.releasing(_base_task("text", "of")), schema)
     return keep(shares.groupBy("of").agg(F.greatest(median, F.lit(MOST_SYMBOLS)).alias("limit")))
 
 
@@ -348,7 +349,7 @@ def reference(docs: DataFrame, limits: DataFrame, text_col: str = "text", lang_c
     """``(text)`` of the documents that the model learns from."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     limited = rows.join(F.broadcast(limits), rows["lang"].eqNullSafe(limits["of"])).select("text", "limit")
-    return limited.mapInArrow(_reference_task("text", "limit"), "text string")
+    return limited.mapInArrow(common.releasing(_reference_task("text", "limit")), "text string")
 
 
 def scored(
@@ -361,7 +362,7 @@ def scored(
     kinds = [T.LongType()] * 6 + [T.DoubleType()]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(names[k], t) for k, t in zip(keys, kinds))])
     file = publish(spark, "model", train(reference(docs, limits, text_col, lang_col)))
-    return docs.mapInArrow(_score_task(file, text_col, names), schema)
+    return docs.mapInArrow(common.releasing(_score_task(file, text_col, names)), schema)
 
 
 def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words"):
@@ -403,6 +404,12 @@ def length_class():
     return F.floor(F.log2(F.greatest("n_chars", F.lit(1)))).cast("int")
 
 
+def _sent(limits: DataFrame) -> DataFrame:
+    """The bands, a few dozen a language, for a join that moves no texts unless there are too many languages."""
+    limits = keep(limits)
+    return F.broadcast(limits) if limits.count() <= BROADCAST_BANDS else limits
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: ids, counts, log-perplexity, its band, ``base_failed`` and ``kept``."""
     rows = docs.select(
@@ -410,7 +417,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     )
     symbols = symbol_limits(rows)
     found = keep(scored(rows, symbols).withColumn("same", F.xxhash64("text")).drop("text"))
-    limits = bands(found, symbols, F.col("same")).withColumnsRenamed({"lang": "of", "length": "about"})
+    limits = _sent(bands(found, symbols, F.col("same"))).withColumnsRenamed({"lang": "of", "length": "about"})
     same = found["lang"].eqNullSafe(limits["of"]) & (length_class() == limits["about"])
     inside = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
     return found.join(limits, same, "left").select(
@@ -436,7 +443,7 @@ def clean(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
         return back.withColumnsRenamed({v: k for k, v in plain.items()})
     symbols = symbol_limits(docs, text_col, lang_col)
     found = keep(scored(docs, symbols, text_col, lang_col))
-    limits = bands(found, symbols, F.xxhash64(text_col), lang_col).withColumnsRenamed({"lang": "__of", "length": "__about"})
+    limits = _sent(bands(found, symbols, F.xxhash64(text_col), lang_col)).withColumnsRenamed({"lang": "__of", "length": "__about"})
     same = found[lang_col].eqNullSafe(limits["__of"]) & (length_class() == limits["__about"])
     passed = found.filter(~base_failed()).join(limits, same)
     return passed.filter(F.col("log_perplexity").between(F.col("lower"), F.col("upper"))).select(*docs.columns)
