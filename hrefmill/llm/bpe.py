@@ -37,6 +37,7 @@ from hrefmill.llm.tables import keep, publish
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEXICON = 100_000
+PIECE = 1_000_000  # bytes of text that a task looks at together
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 OUTPUTS = {
@@ -264,7 +265,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [_words(data, off)[0].value_counts() for _, _, data, off in common.pieces(batch.column(0))]
+        parts = [_words(data, off)[0].value_counts() for _, _, data, off in common.pieces(batch.column(0), PIECE)]
         if parts:
             words = pa.concat_arrays([p.field("values") for p in parts])
             counts = pa.concat_arrays([p.field("counts") for p in parts])
@@ -281,7 +282,7 @@ def _encode_task(tokenizer, file: str, text: str, names: dict[str, str]) -> Call
         token_bytes = np.frombuffer(b"".join(spaced), "u1")
         token_off = np.concatenate([[0], np.cumsum([len(t) for t in spaced])])
         for batch in batches:
-            for begin, end, data, off in common.pieces(batch.column(batch.schema.get_field_index(text))):
+            for begin, end, data, off in common.pieces(batch.column(batch.schema.get_field_index(text)), PIECE):
                 words, first = _words(data, off)
                 coded = words.dictionary_encode()
                 known = coded.dictionary

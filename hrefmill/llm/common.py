@@ -50,8 +50,10 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.
         first = end
 
 
-def _trim() -> None:
-    """Give freed memory back to the system, where the C library can."""
+def release() -> None:
+    """Forget what this process keeps between pieces, and give freed memory back where the C library can."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
@@ -65,9 +67,7 @@ def releasing(task: Callable) -> Callable:
         try:
             yield from task(batches)
         finally:
-            _powers.clear()
-            pa.default_memory_pool().release_unused()
-            _trim()
+            release()
 
     return run
 

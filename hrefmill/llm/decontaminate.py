@@ -36,6 +36,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 10
 BLOCK = 16_000_000
+PIECE = 1_000_000  # bytes of text in one suffix array
 NO_WORD = np.int64(-1)
 
 _is_word = np.ones(256, bool)
@@ -200,7 +201,7 @@ def _scan_task(names: dict[str, str], block, window: int) -> Callable:
         tests = tests_of(pa.array([t for _, t in block.value], pa.string()), [i for i, _ in block.value])
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(names["text"]))
-            for begin, end, data, off in common.pieces(texts):
+            for begin, end, data, off in common.pieces(texts, PIECE):
                 words, first = word_hashes(data, off)
                 place, length, item = window_hits(words, first, tests, window)
                 step = np.zeros(len(words) + 1, "i8")
@@ -262,7 +263,7 @@ def scan(
     used = {"text": text_col, "n": names[0], "spans": names[1], "items": names[2]}
     out = docs
     for part in _blocks(benchmark, item_col, item_text_col, block):
-        out = out.mapInArrow(_scan_task(used, spark.sparkContext.broadcast(part), window), schema)
+        out = out.mapInArrow(common.releasing(_scan_task(used, spark.sparkContext.broadcast(part), window)), schema)
     return out
 
 
@@ -301,7 +302,7 @@ def _longest_task(block, depth: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = tests_of(pa.array([t for _, t in block.value], pa.string()), [i for i, _ in block.value])
         for batch in batches:
-            for begin, end, data, off in common.pieces(batch.column(1)):
+            for begin, end, data, off in common.pieces(batch.column(1), PIECE):
                 words, first = word_hashes(data, off)
                 if not len(words):
                     continue

@@ -40,8 +40,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 # Texts, and bytes of text, in half a block; bytes of text that a task looks at together.
-CHUNK, CHUNK_BYTES = 1024, 2_000_000
-PIECE = 1_000_000
+CHUNK, CHUNK_BYTES = 1024, 1_000_000
+PIECE = 500_000
 # Rows of an id, an MD5 and a number that may be broadcast: some 50 MB.
 BROADCAST_ROWS = 500_000
 
@@ -251,6 +251,7 @@ def _block_task(least: float) -> Callable:
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks().sort_by("node")
         links = block_links(block["text"].combine_chunks(), block["class"].to_numpy(), least)
+        common.release()
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return run
