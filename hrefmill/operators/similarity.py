@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from hrefmill.functions.urls import path_prefix_key, with_url_parts
 from hrefmill.operators.listing import scan_active_links
-from hrefmill.plans.leaders import greedy_leaders
+from hrefmill.plans.leaders import CHUNK, greedy_run_leaders
 from hrefmill.plans.ordering import with_global_position
 from hrefmill.plans.skew import attach_by_key
+from hrefmill.storage import cut_lineage
 
 WINDOW = 200
 MAX_PAGE = 500
@@ -147,21 +148,69 @@ def similar_pairs(nodes: DataFrame, threshold: float = 0.8, window: int = WINDOW
     )
 
 
+def url_runs(nodes: DataFrame) -> DataFrame:
+    """Positioned links with ``a`` and ``a_end``, the first and last position of the run of equal URLs they are in.
+
+    Equal URLs lie side by side; where a locale order mixes them with others, each link is a run of its own.
+    """
+    key = F.xxhash64("domain", "normalized_url")
+    keyed = nodes.withColumn("__key", key)
+    runs = keyed.groupBy("__key").agg(
+        F.min("pos").alias("__a"), F.max("pos").alias("__z"), F.count(F.lit(1)).alias("n"),
+        F.min("domain").alias("__d0"), F.max("domain").alias("__d1"),
+        F.min("normalized_url").alias("__u0"), F.max("normalized_url").alias("__u1"),
+    )
+    one = F.col("__d0").eqNullSafe(F.col("__d1")) & F.col("__u0").eqNullSafe(F.col("__u1")) & (F.col("__z") - F.col("__a") + 1 == F.col("n"))
+    runs = runs.filter((F.col("n") > 1) & one).select("__key", "n", "__a", "__z")
+    placed = attach_by_key(keyed, runs, "__key", F.col("pos"))
+    return placed.withColumns({"a": F.coalesce("__a", "pos"), "a_end": F.coalesce("__z", "pos")}).select(*nodes.columns, "a", "a_end")
+
+
+def similar_runs(runs: DataFrame, threshold: float = 0.8, window: int = WINDOW) -> DataFrame:
+    """Edges ``(a, a_end, b, b_end)`` between similar runs of a domain less than ``window`` apart, and of long runs to themselves.
+
+    As many as there are different URLs side by side: equal ones add none.
+    """
+    heads = runs.filter(F.col("pos") == F.col("a")).select("domain", "normalized_url", "a", "a_end")
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = heads.withColumn("__b", F.floor(F.col("a_end") / window))
+    here = F.floor(F.col("a") / window)
+    right = heads.select(
+        "domain", F.col("normalized_url").alias("__url"), F.col("a").alias("b"), F.col("a_end").alias("b_end"),
+        F.explode(F.array(here, here - 1)).alias("__b"),
+    )
+    gap = F.col("b") - F.col("a_end")
+    pairs = (
+        left.repartition(tasks, "domain", "__b")
+        .join(right.repartition(tasks, "domain", "__b"), ["domain", "__b"])
+        .filter((gap > 0) & (gap < window) & similar_enough(F.col("normalized_url"), F.col("__url"), threshold))
+        .select("a", "a_end", "b", "b_end")
+    )
+    own = heads.filter("a_end > a").select("a", "a_end", F.col("a").alias("b"), F.col("a_end").alias("b_end"))
+    return pairs.unionByName(own)
+
+
 def edit_distance_clusters(
-    links: DataFrame, threshold: float = 0.8, order: str = "locale", window: int = WINDOW
+    links: DataFrame, threshold: float = 0.8, order: str = "locale", window: int = WINDOW, chunk: int = CHUNK
 ) -> DataFrame:
-    """Greedy leader clusters inside each domain; the group key names the leader."""
-    nodes = positioned(links, order)
-    claims = greedy_leaders(similar_pairs(nodes, threshold, window))
-    leads = claims.groupBy("leader").agg((F.count(F.lit(1)) + 1).alias("group_size"))
-    keepers = leads.join(nodes.withColumnRenamed("pos", "leader"), "leader").select(
-        "leader", "group_size", F.col("id").alias("keep_id"), F.col("seq").alias("keep_seq")
-    )
-    placed = claims.select(F.col("member").alias("pos"), "leader").unionByName(
-        leads.select(F.col("leader").alias("pos"), "leader")
+    """Greedy leader clusters inside each domain; the group key names the leader.
+
+    Equal URLs are one node with a first and last position, so a domain of one URL costs one row, not a band of pairs.
+    """
+    nodes = cut_lineage(url_runs(positioned(links, order)))
+    claims = cut_lineage(greedy_run_leaders(similar_runs(nodes, threshold, window), window, chunk))
+    leads = claims.groupBy("leader").agg((F.sum(F.col("upto") - F.col("first") + 1) + 1).alias("group_size"))
+    keepers = leads.join(
+        nodes.select(F.col("pos").alias("leader"), F.col("id").alias("keep_id"), F.col("seq").alias("keep_seq")), "leader"
     )
+    # Claims are at most a window long: by pieces of positions no run is joined as a whole.
+    piece = lambda c: F.floor(F.col(c) / window)
+    spans = claims.withColumn("__piece", F.explode(F.sequence(piece("first"), piece("upto"))))
+    placed = nodes.withColumn("__piece", piece("pos")).join(spans.withColumnRenamed("node", "a"), ["a", "__piece"])
+    members = placed.filter(F.col("pos").between(F.col("first"), F.col("upto"))).select(*nodes.columns, "leader")
+    leaders = nodes.join(leads.select(F.col("leader").alias("pos"), F.col("leader").alias("leader")), "pos").select(*nodes.columns, "leader")
     return (
-        placed.join(nodes, "pos")
+        members.unionByName(leaders)
         .join(keepers, "leader")
         .withColumns({"method": F.lit("edit_distance"), "group_key": F.concat(F.lit("edit_distance_"), "keep_id")})
         .select(*GROUP_COLUMNS, "pos")

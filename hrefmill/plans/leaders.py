@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hrefmill.storage import cut_lineage
@@ -79,3 +80,91 @@ def greedy_leaders(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
         redone = run(keyed.join(changed, "chunk", "left_semi"), carry.join(changed, "chunk", "left_semi"))
         claims = cut_lineage(claims.join(changed, "chunk", "left_anti").unionByName(redone))
         used = carry
+
+
+# --- runs of equal rows -------------------------------------------------------------------------------
+
+_CLAIMS = "chunk long, node long, leader long, upto long"
+
+
+def claim_runs(edges: pd.DataFrame, reached: dict[int, int], reach: int) -> list[tuple[int, int, int]]:
+    """Claims ``(node, leader, upto)`` of the runs of a chunk, in order.
+
+    A run is named by its first position. What has been claimed of a run is always its front, since every
+    claimer lies before it; ``reached`` holds how far, claims from other chunks included. The first row that nobody
+    has claimed leads: it claims the rows of its own run and of similar runs that are less than ``reach`` ahead.
+    """
+    out = []
+    order = np.lexsort((edges["b"].to_numpy(), edges["a"].to_numpy()))
+    a, a_end, b, b_end = (edges[c].to_numpy()[order] for c in ("a", "a_end", "b", "b_end"))
+    starts = np.flatnonzero(np.diff(a, prepend=a[:1] - 1))
+    for p, q in zip(starts, np.append(starts[1:], len(a))):
+        node, end = int(a[p]), int(a_end[p])
+        near = [(int(x), int(y)) for x, y in zip(b[p:q], b_end[p:q]) if x != node]
+        leader = reached.get(node, node - 1) + 1
+        while leader <= end:
+            last = leader + reach - 1
+            own = min(end, last)
+            if own > leader:
+                out.append((node, leader, own))
+            for other, other_end in near:
+                if other > last:
+                    break
+                upto = min(other_end, last)
+                if reached.get(other, other - 1) < upto:
+                    out.append((other, leader, upto))
+                    reached[other] = upto
+            leader = own + 1
+    return out
+
+
+def greedy_run_leaders(edges: DataFrame, reach: int, chunk: int = CHUNK) -> DataFrame:
+    """Claims ``(node, first, upto, leader)`` over runs of equal rows; ``first`` to ``upto`` are positions.
+
+    ``edges (a, a_end, b, b_end)`` link runs to later similar ones less than ``reach`` ahead, and each
+    run of several rows to itself. Chunks of positions run as if nothing came in, then again where what comes in
+    from earlier chunks differs. A round writes the claims of the chunks it runs, not those of all.
+    """
+    keyed = cut_lineage(edges.withColumn("chunk", F.floor(F.col("a") / chunk)))
+
+    def run_chunk(key: tuple, rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        reached = dict(zip(carry["node"].tolist(), carry["upto"].tolist()))
+        claims = claim_runs(rows, reached, reach)
+        return pd.DataFrame([(key[0], *c) for c in claims], columns=["chunk", "node", "leader", "upto"]).astype("int64")
+
+    def run(work: DataFrame, carry: DataFrame) -> DataFrame:
+        return work.groupBy("chunk").cogroup(carry.groupBy("chunk")).applyInPandas(run_chunk, _CLAIMS)
+
+    def crossing(claims: DataFrame) -> DataFrame:
+        """How far each chunk has come in runs of later chunks: ``(source, chunk, node, upto)``, a few rows a chunk."""
+        target = F.floor(F.col("node") / chunk)
+        far = claims.filter(target > F.col("chunk")).groupBy(F.col("chunk").alias("source"), target.alias("chunk"), "node")
+        return far.agg(F.max("upto").alias("upto"))
+
+    rounds = [cut_lineage(run(keyed, keyed.limit(0).selectExpr("chunk", "a AS node", "a AS upto")))]
+    carried = cut_lineage(crossing(rounds[0]))
+    before = carried.limit(0)
+    latest = cut_lineage(keyed.select("chunk").distinct().withColumn("round", F.lit(0)))
+    while True:
+        incoming = carried.groupBy("chunk", "node").agg(F.max("upto").alias("upto"))
+        known = before.groupBy("chunk", "node").agg(F.max("upto").alias("upto"))
+        moved = incoming.exceptAll(known).unionByName(known.exceptAll(incoming)).select("chunk").distinct()
+        changed = cut_lineage(moved.join(latest, "chunk", "left_semi"))
+        if changed.isEmpty():
+            break
+        redone = run(keyed.join(changed, "chunk", "left_semi"), incoming.join(changed, "chunk", "left_semi"))
+        rounds.append(cut_lineage(redone))
+        before = carried
+        sources = changed.withColumnRenamed("chunk", "source")
+        carried = cut_lineage(carried.join(sources, "source", "left_anti").unionByName(crossing(rounds[-1])))
+        now = changed.withColumn("round", F.lit(len(rounds) - 1))
+        latest = cut_lineage(latest.join(changed, "chunk", "left_anti").unionByName(now))
+    claims = None
+    for number, part in enumerate(rounds):
+        tagged = part.withColumn("round", F.lit(number))
+        claims = tagged if claims is None else claims.unionByName(tagged)
+    claims = claims.join(latest, ["chunk", "round"], "left_semi")
+    # Claimers of a run come in order, and each goes on where the one before it stopped.
+    past = F.max("upto").over(W.partitionBy("node").orderBy("leader").rowsBetween(W.unboundedPreceding, -1))
+    first = F.greatest(F.coalesce(past + 1, F.col("node")), F.col("leader") + 1)
+    return claims.select("node", first.alias("first"), "upto", "leader").filter("first <= upto")

@@ -146,16 +146,15 @@ def brute_clusters(links, threshold, window):
 
 
 @pytest.mark.parametrize("window, chunk", [(200, leaders.CHUNK), (9, 9)])
-def test_edit_distance_clusters_match_brute_force(spark, monkeypatch, window, chunk):
+def test_edit_distance_clusters_match_brute_force(spark, window, chunk):
     rng = random.Random(5)
-    monkeypatch.setattr(similarity, "greedy_leaders", lambda edges: greedy_leaders(edges, chunk))
     urls = [
         f"https://{rng.choice(['a.com', 'bb.org'])}/{rng.choice(['item', 'itm', 'page'])}/{rng.randrange(1000)}{rng.choice(['', 'x' * 9])}"
         for _ in range(150)
     ]
     links = make_links(spark, urls)
     got = {}
-    for r in similarity.edit_distance_clusters(links, 0.9, "binary", window).collect():
+    for r in similarity.edit_distance_clusters(links, 0.9, "binary", window, chunk).collect():
         got.setdefault(r["keep_id"], set()).add(r["id"])
         assert r["group_key"] == "edit_distance_" + r["keep_id"]
     rows = [(r["domain"], r["normalized_url"], r["seq"], r["id"]) for r in links.collect()]
@@ -163,6 +162,34 @@ def test_edit_distance_clusters_match_brute_force(spark, monkeypatch, window, ch
     assert got == want and len(want) > 5
 
 
+@pytest.mark.parametrize("window, chunk", [(5, 3), (7, 16), (200, 50)])
+def test_clusters_of_repeated_urls_match_brute_force(spark, window, chunk):
+    """Runs of equal URLs longer than windows and chunks, with similar ones around them."""
+    rng = random.Random(11)
+    urls = [
+        f"https://{rng.choice(['a.com', 'b.org'])}/{rng.choice(['item', 'itm', 'page'])}/{rng.choice(['1', '12', '13', '140'])}{rng.choice(['', '', 'xxxxxxx'])}"
+        for _ in range(220)
+    ]
+    links = make_links(spark, urls)
+    got = {}
+    for r in similarity.edit_distance_clusters(links, 0.9, "binary", window, chunk).collect():
+        got.setdefault(r["keep_id"], {}).setdefault(r["group_size"], set()).add(r["id"])
+    rows = [(r["domain"], r["normalized_url"], r["seq"], r["id"]) for r in links.collect()]
+    want = brute_clusters(rows, 0.9, window)
+    assert {k: v for k, sizes in got.items() for v in sizes.values()} == want
+    assert all(len(sizes) == 1 and set(sizes) == {len(want[k])} for k, sizes in got.items())
+
+
+def test_equal_urls_make_no_band_of_pairs(spark):
+    links = spark.range(100_000).selectExpr(
+        "id AS seq", "concat('L', id) AS id", "'a.com' AS domain", "'https://a.com/' AS normalized_url", "'https://a.com/' AS original_url"
+    )
+    nodes = similarity.url_runs(similarity.positioned(links, "binary"))
+    assert [tuple(r) for r in similarity.similar_runs(nodes).collect()] == [(0, 99_999, 0, 99_999)]
+    sizes = similarity.edit_distance_clusters(links, order="binary").groupBy("group_key", "group_size").count().collect()
+    assert len(sizes) == 500 and {(r["group_size"], r["count"]) for r in sizes} == {(200, 200)}
+
+
 def test_leaders_over_many_small_chunks(spark):
     """Random banded graphs, long chains included, against one pass over all edges."""
     rng = random.Random(1)
