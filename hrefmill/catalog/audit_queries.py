@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hrefmill.catalog import fixtures as fx
 from hrefmill.catalog.registry import query, text
 from hrefmill.operators import audit, prune, results, stats, transitions
+from hrefmill.storage import shared_dir
 
 L, C = fx.LINKS_SQL, fx.CURATED_SQL
 OPS, CHG, SNAP, RES = fx.OPERATIONS_SQL, fx.CHANGES_SQL, fx.SNAPSHOTS_SQL, fx.RESULTS_SQL
@@ -64,6 +67,71 @@ def op_stats(spark, sf):
     return stats.operation_stats(fx.links(spark, sf), fx.curated(spark, sf))
 
 
+@query(
+    "F19_observed_stats",
+    text(C, """SELECT (SELECT count(*) FROM links) AS stats_input_count, count(*) AS stats_output_count,
+                      count(*) FILTER (WHERE status = 'duplicate_removed') AS stats_duplicate_count,
+                      (SELECT count(*) FROM links WHERE url_path IS NULL) AS stats_error_count FROM curated"""),
+)
+def observed_stats(spark, sf):
+    """Counts taken while the state after a transition is written; malformed links are its errors."""
+    links = fx.links(spark, sf)
+    path = f"{shared_dir(spark)}/hrefmill/{spark.sparkContext.applicationId}/observed-{uuid.uuid4().hex}"
+    return stats.write_observed(links, fx.curated(spark, sf), lambda df: df.write.parquet(path), links.filter("url_path IS NULL"))
+
+
+@query(
+    "J11_log_with_messages",
+    text(C, """SELECT 9::BIGINT AS op_seq, (SELECT count(*) FROM links WHERE url_path IS NULL) AS stats_error_count,
+                      (SELECT count(*) FROM links WHERE url_path IS NULL) AS errors, (SELECT count(*) FROM links WHERE private) AS warnings,
+                      (SELECT string_agg(id, ',' ORDER BY id) FROM links WHERE url_path IS NULL) AS blamed,
+                      (SELECT string_agg(DISTINCT id || ' ' || status, ',' ORDER BY id || ' ' || status) FROM curated WHERE status <> 'imported') AS changed"""),
+)
+def log_with_messages(spark, sf):
+    """The row, the messages and the change rows of one operation."""
+    links, after = fx.links(spark, sf), fx.curated(spark, sf)
+    told = audit.operation_messages(
+        9,
+        links.filter("url_path IS NULL").select(F.lit("malformed").alias("message"), F.col("id").alias("link_id")),
+        links.filter("domain LIKE '10.%'").select(F.lit("private").alias("message")),
+    )
+    row, changes = audit.log_operation("deduplicate", 9, links, after, messages=told)
+    sums = told.agg(
+        F.count_if(F.col("kind") == "error").alias("errors"),
+        F.count_if(F.col("kind") == "warning").alias("warnings"),
+        F.array_join(F.array_sort(F.collect_list("link_id")), ",").alias("blamed"),
+    )
+    edits = changes.filter("kind = 'modified' AND field = 'status'")
+    edits = edits.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "link_id", F.get_json_object(F.concat(F.lit('{"v":'), F.when(F.col("after").startswith('"'), F.col("after")).otherwise(F.concat(F.lit('"'), "after", F.lit('"'))), F.lit("}")), "$.v")))), ",").alias("changed"))
+    return row.select("op_seq", "stats_error_count").crossJoin(sums).crossJoin(edits)
+
+
+@query(
+    "J11_snapshot_after_operation",
+    text(C, """SELECT (SELECT count(*) FILTER (WHERE timestamp > (SELECT max(created_at) FROM snapshots)) FROM operations) + 10 >= 10 AS made,
+                      (SELECT count(*) FROM curated) AS link_count, (SELECT count(*) FROM curated) AS listed""", OPS, SNAP),
+)
+def snapshot_after_operation(spark, sf):
+    """Ten operations after the last snapshot make another one; with no operation since, none is made."""
+    ops, snaps, links = fx.operations(spark, sf), fx.snapshots(spark, sf), fx.curated(spark, sf)
+    last = snaps.agg(F.max("created_at").alias("last")).first()["last"]
+    assert audit.snapshot_if_due(ops.filter(F.col("timestamp") <= last), snaps, links, "none", F.current_timestamp()) is None
+    late = ops.limit(10).withColumn("timestamp", F.lit(last) + F.expr("INTERVAL 1 DAY"))
+    made = audit.snapshot_if_due(ops.unionByName(late), snaps, links, "s9", F.current_timestamp())
+    row, listed = made
+    return row.crossJoin(listed.agg(F.count_distinct("link_id").alias("listed"))).select(F.lit(True).alias("made"), "link_count", "listed")
+
+
+@query(
+    "C16_message_decode",
+    f"""SELECT event_id AS op_seq, 'error' AS kind, 'no answer ' || CAST(user_id AS VARCHAR) AS message, {fx._LINKED} AS link_id FROM events WHERE event_type = 'error'
+        UNION ALL SELECT event_id, 'warning', 'twice', NULL FROM events WHERE event_type = 'click'
+        UNION ALL SELECT event_id, 'warning', 'slow ' || CAST(user_id AS VARCHAR), {fx._LINKED} FROM events WHERE event_type = 'click'""",
+)
+def decode_messages(spark, sf):
+    return audit.decode_messages(fx.stored_operations(spark, sf))
+
+
 @query(
     "J11_log_operation",
     text(C, """SELECT 7::BIGINT AS op_seq, 'deduplicate' AS type, (SELECT h FROM b_0) AS before_hash, (SELECT h FROM a_0) AS after_hash,
@@ -271,6 +339,13 @@ for _name, _kind in _CASCADE.items():
     _register_cascade(_name, _kind)
 
 
+@query("E2_cascade_count_internal_results", text(C, "SELECT count(*) AS test_results FROM results JOIN curated ON link_id = curated.id WHERE " + KINDS["internal"][0], fx.PRIVATE_RESULTS_SQL))
+def cascade_internal(spark, sf):
+    """Here links on private hosts do have results."""
+    doomed = prune.doomed_links(fx.curated(spark, sf), "internal", None)
+    return prune.cascade_count(fx.results_of_private_links(spark, sf), doomed)
+
+
 @query("E11_cascade_results", text(C, "SELECT id, link_id FROM results WHERE link_id NOT IN (SELECT id FROM curated WHERE duplicate_of IS NOT NULL)", RES))
 def cascade_results(spark, sf):
     doomed = fx.curated(spark, sf).filter(prune.selection("duplicate"))
@@ -297,6 +372,22 @@ def prune_database(spark, sf):
     return after["operations"].select("op_seq", "job_id")
 
 
+@query(
+    "J8_prune_database_tables",
+    text(C, """SELECT 'links' AS name, count(*) AS before, 0::BIGINT AS after, 0::BIGINT AS with_job FROM curated
+               UNION ALL SELECT 'import_jobs', count(*), 0, 0 FROM sources UNION ALL SELECT 'test_results', count(*), 0, 0 FROM results
+               UNION ALL SELECT 'operations', count(*), count(*), 0 FROM operations""", RES, OPS, fx.SOURCES_SQL.removeprefix(fx.PAGES_SQL + ",")),
+)
+def prune_database_tables(spark, sf):
+    """All four tables before and after; the log stays, without its jobs."""
+    before = {"links": fx.curated(spark, sf), "import_jobs": fx.source_jobs(spark, sf), "test_results": fx.test_results(spark, sf), "operations": fx.operations(spark, sf)}
+    after = prune.prune_database(before["links"], before["import_jobs"], before["test_results"], before["operations"])
+    one = stats.table_counts(before).withColumnRenamed("total", "before")
+    two = stats.table_counts(after).withColumnRenamed("total", "after")
+    jobs = after["operations"].agg(F.count("job_id").alias("n")).select(F.lit("operations").alias("name"), "n")
+    return one.join(two, "name").join(jobs, "name", "left").select("name", "before", "after", F.coalesce("n", F.lit(0)).cast("bigint").alias("with_job"))
+
+
 @query("J9_audit_report", text(OPS, "SELECT (SELECT count(*) FROM operations) AS operations, (SELECT count(*) FROM snapshots) AS snapshots", SNAP))
 def audit_report(spark, sf):
     return prune.audit_report(fx.operations(spark, sf), fx.snapshots(spark, sf))

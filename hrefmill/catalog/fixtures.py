@@ -206,6 +206,16 @@ def test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def results_of_private_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test results, every second one of a link on a private host (``page_id * 10 + 4`` where there is one)."""
+    n = _page_count(spark, sf_dir)
+    e = F.col("event_id")
+    number = (e % n) * 10 + F.when(e % 2 == 1, 4).otherwise(0)
+    return test_results(spark, sf_dir).withColumnRenamed("id", "event_id").select(
+        e.alias("id"), F.md5(number.cast("string")).alias("link_id"), "method", "status", "error", "response_time", "completed_at"
+    )
+
+
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = (
         F.when(F.col("event_type") == "click", "manual_tag")
@@ -259,8 +269,11 @@ def stored_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     listed = F.concat(F.lit('["'), link, F.lit('"]'))
     kind = F.col("event_type")
+    message = lambda text: F.concat(F.lit('[{"message":"'), F.lit(text), F.col("user_id"), F.lit('","linkId":"'), link, F.lit('"}]'))
     return events(spark, sf_dir).select(
         F.col("event_id").alias("op_seq"),
+        F.when(kind == "error", message("no answer ")).alias("errors"),
+        F.when(kind == "click", F.concat(F.lit('[{"message":"twice"},'), F.substring(message("slow "), 2, 200))).otherwise("[]").alias("warnings"),
         F.when(kind == "signup", listed).otherwise("[]").alias("changes_added"),
         F.when(kind == "purchase", listed).otherwise("[]").alias("changes_removed"),
         F.when(kind.isin("signup", "purchase"), "[]").otherwise(edit).alias("changes_modified"),
@@ -482,6 +495,13 @@ results AS (
   FROM events
 )"""
 
+PRIVATE_RESULTS_SQL = """
+results AS (
+  SELECT event_id AS id,
+         md5(CAST((event_id % (SELECT max(page_id) + 1 FROM pages)) * 10 + CASE WHEN event_id % 2 = 1 THEN 4 ELSE 0 END AS VARCHAR)) AS link_id
+  FROM events
+)"""
+
 OPERATIONS_SQL = """
 operations AS (
   SELECT event_id AS op_seq, md5('op' || CAST(event_id AS VARCHAR)) AS id,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hrefmill.catalog import fixtures as fx
 from hrefmill.catalog.registry import query, text
+from hrefmill.functions.urls import NormalizeConfig
 from hrefmill.operators import dedup, similarity, transitions
 from hrefmill.operators.similarity import Layer
 
@@ -189,6 +190,67 @@ def similar_preview(spark, sf):
     return similarity.similar_preview(fx.links(spark, sf))
 
 
+_EDIT_LAYER = f"""
+path_layer AS ({_members_sql('paths', 'path_key', 'path_prefix')}),
+rest_one AS (SELECT * FROM links WHERE id NOT IN (SELECT id FROM path_layer)),
+{NODES.strip().replace('FROM links', 'FROM rest_one')},{CLUSTERS},
+edit_layer AS (
+  SELECT 'edit_distance' AS method, 'edit_distance_' || c.keep_id AS group_key, group_size, c.keep_id, k.seq AS keep_seq, n.id, n.seq, n.original_url
+  FROM clusters c JOIN nodes n ON n.id = c.id JOIN nodes k ON k.id = c.keep_id
+),
+rest_two AS (SELECT * FROM rest_one WHERE id NOT IN (SELECT id FROM edit_layer)),
+last_layer AS ({_members_sql('rest_two', 'domain', 'domain')})"""
+
+
+@query(
+    "F10_three_layers_in_turn",
+    text(L, "SELECT 0 AS layer, * FROM path_layer UNION ALL SELECT 1, * FROM edit_layer UNION ALL SELECT 2, * FROM last_layer", PATHS, _EDIT_LAYER).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def three_layers_in_turn(spark, sf):
+    layers = [Layer("path_prefix"), Layer("edit_distance", order="binary"), Layer("domain")]
+    return similarity.detect_similarity(fx.links(spark, sf), layers)
+
+
+@query(
+    "F11_similar_groups_page",
+    text(L, """SELECT group_no, layer, method, group_key, group_size, keep_id, keep_seq, id, seq, original_url, total_groups, total_similar, 12::BIGINT AS next_cursor
+               FROM (SELECT *, dense_rank() OVER (ORDER BY layer, keep_seq) - 1 AS group_no, count(*) FILTER (WHERE id = keep_id) OVER () AS total_groups,
+                            count(*) FILTER (WHERE id <> keep_id) OVER () AS total_similar
+                     FROM (SELECT 0 AS layer, * FROM first_layer UNION ALL SELECT 1, * FROM second_layer)) WHERE group_no BETWEEN 4 AND 11""", PATHS, LAYERED),
+)
+def groups_page(spark, sf):
+    return similarity.similar_groups_page(fx.links(spark, sf), cursor=4, limit=8)
+
+
+@query(
+    "L2_layers_from_flags",
+    text(L, f"SELECT 0 AS layer, * FROM ({_members_sql('shallow', 'k', 'path_prefix')})", PATHS, "shallow AS (SELECT *, regexp_extract(path_key, '^([^/]*/[^/]*)', 1) AS k FROM paths)"),
+)
+def flagged_layers(spark, sf):
+    """Only the path layer, one segment deep."""
+    layers = similarity.layers_from_flags(by_domain=False, path_depth=1)
+    return similarity.detect_similarity(fx.links(spark, sf), layers)
+
+
+@query(
+    "L2_added_layer",
+    text(L, f"SELECT 0 AS layer, * FROM ({_members_sql('titled', 'k', 'title')})", "titled AS (SELECT *, nullif(lower(title), '') AS k FROM links)"),
+)
+def added_layer(spark, sf):
+    """A method that the library does not have, added under a name of its own."""
+    titles = fx.links(spark, sf).select("id", F.nullif(F.lower("title"), F.lit("")).alias("__title"))
+    by_title = lambda links, layer: similarity.keyed_layer(links.join(titles, "id"), "__title", "title").drop("__title")
+    return similarity.detect_similarity(fx.links(spark, sf), [Layer("title")], methods={"title": by_title})
+
+
+@query("L3_dedup_with_own_config", text(L, """SELECT count(*) FILTER (WHERE n > 1) AS group_count, CAST(sum(n - 1) AS BIGINT) AS duplicate_count, count(*) AS remaining_count
+       FROM (SELECT normalized_url, count(*) AS n FROM links GROUP BY normalized_url)"""))
+def own_config(spark, sf):
+    """Switches that no preset of deduplication has: www goes, the order of the query stays."""
+    config = NormalizeConfig(remove_www=True, remove_trailing_slash=True, remove_default_port=True, remove_fragment=True)
+    return dedup.dedup_preview(fx.links(spark, sf), config)
+
+
 @query("F18_domain_buckets", text(C, "SELECT domain, count(*) AS n, min(seq) AS first_seq FROM curated GROUP BY domain HAVING count(*) > 1"))
 def buckets(spark, sf):
     return similarity.domain_buckets(fx.curated(spark, sf))
@@ -201,7 +263,23 @@ def buckets(spark, sf):
                 FROM (SELECT domain, count(*) AS n, min(seq) AS first_seq FROM curated GROUP BY domain HAVING count(*) > 1)) WHERE rn BETWEEN 6 AND 25"""),
 )
 def bucket_page(spark, sf):
-    return similarity.bucket_page(fx.curated(spark, sf), 5, 20)
+    return similarity.bucket_page(fx.curated(spark, sf), 5, 20).drop("next_cursor")
+
+
+@query(
+    "H6_all_pages_by_cursor",
+    text(C, "SELECT domain, n, (rn - 1) // 40 AS page FROM (SELECT *, row_number() OVER (ORDER BY n, first_seq) AS rn FROM (SELECT domain, count(*) AS n, min(seq) AS first_seq FROM curated GROUP BY domain HAVING count(*) > 1))"),
+)
+def pages_by_cursor(spark, sf):
+    """Every page, each found by the cursor that the page before it gave."""
+    out, cursor, number = None, 0, 0
+    while cursor is not None:
+        page = similarity.bucket_page(fx.curated(spark, sf), cursor, 40)
+        rows = page.select("domain", "n", F.lit(number).cast("bigint").alias("page"))
+        out = rows if out is None else out.unionByName(rows)
+        first = page.first()
+        cursor, number = (first["next_cursor"] if first else None), number + 1
+    return out
 
 
 @query("F11_edit_distance_page")

@@ -256,6 +256,102 @@ def internal_ids(spark, sf):
     return stats.internal_ids(fx.links(spark, sf))
 
 
+@query(
+    "F14_internal_preview_of_ids",
+    text(C, "SELECT count(*) FILTER (WHERE private) AS filtered_count, count(*) FILTER (WHERE NOT private) AS remaining_count FROM curated WHERE seq % 3 = 1"),
+)
+def internal_preview_of_ids(spark, sf):
+    """Named links, whatever their status."""
+    links = fx.curated(spark, sf)
+    return stats.internal_preview(links, ids=links.filter("seq % 3 = 1"))
+
+
+@query("F14_internal_ids_of_ids", text(C, "SELECT id FROM curated WHERE private AND seq % 3 = 1"))
+def internal_ids_of_ids(spark, sf):
+    links = fx.curated(spark, sf)
+    return stats.internal_ids(links, ids=links.filter("seq % 3 = 1"))
+
+
+@query(
+    "F1_count_tables",
+    text(C, """SELECT 'links' AS name, count(*) AS total FROM curated UNION ALL SELECT 'operations', count(*) FROM operations
+               UNION ALL SELECT 'snapshots', count(*) FROM snapshots UNION ALL SELECT 'test_results', count(*) FROM results
+               UNION ALL SELECT 'import_jobs', count(*) FROM sources""", fx.OPERATIONS_SQL, fx.SNAPSHOTS_SQL, fx.RESULTS_SQL, fx.SOURCES_SQL.removeprefix(fx.PAGES_SQL + ",")),
+)
+def count_tables(spark, sf):
+    return stats.table_counts(
+        {
+            "links": fx.curated(spark, sf), "operations": fx.operations(spark, sf), "snapshots": fx.snapshots(spark, sf),
+            "test_results": fx.test_results(spark, sf), "import_jobs": fx.source_jobs(spark, sf),
+        }
+    )
+
+
+@query(
+    "F5_sketched_url_count",
+    text(C, f"""SELECT 'all' AS files, count(*) AS links, count(DISTINCT original_url) AS resolved, TRUE AS close FROM curated WHERE {ACTIVE}
+                UNION ALL SELECT 'some', count(*), count(DISTINCT original_url), TRUE FROM curated WHERE {ACTIVE} AND source_file IN ('f1.txt', 'f2.txt', 'f5.txt')"""),
+)
+def sketched_count(spark, sf):
+    """Sketches of all files, and of a choice of them, within four standard errors of the exact count beside them."""
+    links = fx.curated(spark, sf)
+    sketches = fx.saved(spark, sf, "url_sketches", lambda spark, sf: stats.url_sketches(fx.curated(spark, sf)))
+    out = None
+    for name, chosen in (("all", F.lit(True)), ("some", F.col("source_file").isin("f1.txt", "f2.txt", "f5.txt"))):
+        guess = stats.sketched_url_count(sketches.filter(chosen)).withColumnRenamed("resolved", "guess")
+        row = guess.crossJoin(stats.resolved_url_count(links.filter(chosen)))
+        close = F.abs(F.col("guess") - F.col("resolved")) <= F.col("resolved") * (4 * 1.04 / 2 ** (stats.SKETCH_BITS / 2)) + 1
+        row = row.select(F.lit(name).alias("files"), "links", "resolved", close.alias("close"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _ordered(df, *columns):
+    """The place of each row in the order of the result, as a column: a twin then checks the order too."""
+    shown = df.select(*columns).collect()  # a page of the result, as a caller would show it
+    schema = ", ".join(f"{n} {t}" for n, t in df.select(*columns).dtypes)
+    return df.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(shown)], f"place long, {schema}")
+
+
+@query(
+    "D13_resolved_in_order",
+    text(C, f"SELECT row_number() OVER (ORDER BY original_url) - 1 AS place, original_url AS url FROM (SELECT DISTINCT original_url FROM curated WHERE {ACTIVE}) ORDER BY 1 LIMIT 40"),
+)
+def resolved_in_order(spark, sf):
+    return _ordered(listing.resolved_page(fx.curated(spark, sf), 40), "url")
+
+
+@query(
+    "F4_domains_in_order",
+    text(C, "SELECT row_number() OVER (ORDER BY links DESC, domain) - 1 AS place, domain, links FROM (SELECT domain, count(*) AS links FROM curated GROUP BY domain) ORDER BY 1 LIMIT 40"),
+)
+def domains_in_order(spark, sf):
+    return _ordered(stats.domain_counts(fx.curated(spark, sf)).limit(40), "domain", "links")
+
+
+@query(
+    "H1_page_with_total",
+    text(C, f"SELECT row_number() OVER ({NEWEST}) - 101 AS place, id, seq, (SELECT count(*) FROM curated) AS total FROM curated {NEWEST} LIMIT 50 OFFSET 100"),
+)
+def page_with_total(spark, sf):
+    return _ordered(listing.page_with_total(fx.curated(spark, sf), 50, 100), "id", "seq", "total")
+
+
+@query("H2_sample_operations", text(fx.OPERATIONS_SQL, "SELECT op_seq, type, job_id FROM operations ORDER BY timestamp DESC, op_seq DESC LIMIT 10"))
+def sample_operations(spark, sf):
+    return listing.sample_of(fx.operations(spark, sf), "timestamp", ["op_seq", "type", "job_id"])
+
+
+@query("H2_sample_snapshots", text(fx.SNAPSHOTS_SQL, "SELECT id FROM snapshots ORDER BY created_at DESC, id DESC LIMIT 10"))
+def sample_snapshots(spark, sf):
+    return listing.sample_of(fx.snapshots(spark, sf), "created_at", ["id"])
+
+
+@query("H2_sample_jobs", text(fx.SOURCES_SQL, "SELECT CAST(regexp_extract(filename, '([0-9]+)', 1) AS BIGINT) AS job_seq, filename FROM sources ORDER BY 1 DESC, filename DESC LIMIT 10"))
+def sample_jobs(spark, sf):
+    return listing.sample_of(fx.source_jobs(spark, sf), "job_seq", ["filename", "job_seq"]).select("job_seq", "filename")
+
+
 @query("F17_links_per_source_file", text(C, "SELECT source_file, count(*) AS links FROM curated GROUP BY source_file"))
 def per_source_file(spark, sf):
     return stats.links_per_source_file(fx.curated(spark, sf))

@@ -61,7 +61,8 @@ def import_preset(strategy: str) -> str:
     return "import_normalized" if strategy == "normalized" else strategy
 
 
-def dedup_preset(strategy: str) -> str:
+def dedup_preset(strategy: str | NormalizeConfig) -> str | NormalizeConfig:
+    """Name of a preset for deduplication; a config of one's own is taken as it is."""
     return "dedup_normalized" if strategy == "normalized" else strategy
 
 
@@ -222,14 +223,14 @@ def with_normalized(df: DataFrame, url: str, out: str, preset: str, resolve: boo
     return parsed.withColumn(out, normalized("n__", config, F.col(url))).drop(*[f"n__{k}" for k in PARTS])
 
 
-def with_dedup_key(links: DataFrame, preset: str, out: str = "dedup_key") -> DataFrame:
+def with_dedup_key(links: DataFrame, preset: str | NormalizeConfig, out: str = "dedup_key") -> DataFrame:
     """Normalise ``original_url`` of stored links from their stored parts.
 
     Ingest has already resolved host, path, query and hash, so only scheme, user and port are read
     from the raw text and no Python stage is needed. The key is never NULL, so a join on it adds no
     NULL test for Catalyst to push below the projections that build it.
     """
-    config = PRESETS[preset]
+    config = preset if isinstance(preset, NormalizeConfig) else PRESETS[preset]
     if config is None:
         return links.withColumn(out, F.coalesce("original_url", F.lit("")))
     p = "__k_"

@@ -106,13 +106,20 @@ def log_operation(
     after: DataFrame,
     job_id: str | None = None,
     at: Column | None = None,
+    messages: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(operation row, change rows)`` of a transition, ready to append to both tables."""
+    """``(operation row, change rows)`` of a transition, ready to append to both tables.
+
+    ``messages`` are its errors and warnings (``operation_messages``), to be appended to a table of their own; the row
+    counts the errors. ``counts`` are its counts where they were observed already (``stats.write_observed``).
+    """
     if kind not in schemas.OPERATION_TYPES:
         raise ValueError(f"unknown operation type: {kind}")
     one = lambda df: df.withColumn("__one", F.lit(1))
+    errors = None if messages is None else messages.filter("kind = 'error'")
     row = (
-        one(operation_stats(before, after))
+        one(operation_stats(before, after, errors) if counts is None else counts)
         .join(one(state_hash(before).withColumnRenamed("state_hash", "before_hash")), "__one", "left")
         .join(one(state_hash(after).withColumnRenamed("state_hash", "after_hash")), "__one", "left")
         .withColumns(
@@ -129,6 +136,27 @@ def log_operation(
     return row, diff_links(before, after, op_seq)
 
 
+def operation_messages(op_seq: int, errors: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame | None:
+    """``schemas.MESSAGES`` rows from tables with ``message`` and, if known, ``link_id``; None for neither."""
+    out = None
+    for kind, df in (("error", errors), ("warning", warnings)):
+        if df is None:
+            continue
+        link = F.col("link_id") if "link_id" in df.columns else F.lit(None).cast("string")
+        rows = df.select(F.lit(op_seq).cast("bigint").alias("op_seq"), F.lit(kind).alias("kind"), "message", link.alias("link_id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def decode_messages(raw: DataFrame) -> DataFrame:
+    """``schemas.MESSAGES`` rows of operations that store errors and warnings as JSON text; NULL is none."""
+    listed = lambda name, kind: F.transform(
+        F.coalesce(F.from_json(name, "array<struct<message:string,linkId:string>>"), F.array().cast("array<struct<message:string,linkId:string>>")),
+        lambda m: F.struct(F.lit(kind).alias("kind"), m["message"].alias("message"), m["linkId"].alias("link_id")),
+    )
+    return raw.select("op_seq", F.inline(F.concat(listed("errors", "error"), listed("warnings", "warning"))))
+
+
 def operations_after(operations: DataFrame, target_seq: int) -> DataFrame:
     """Operations newer than a target, by log order so that equal timestamps cannot hide one."""
     return operations.filter(F.col("op_seq") > target_seq)
@@ -207,6 +235,15 @@ def snapshot_due(operations: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_if_due(
+    operations: DataFrame, snapshots: DataFrame, links: DataFrame, snapshot_id: str, at: Column
+) -> tuple[DataFrame, DataFrame] | None:
+    """What ``create_snapshot`` gives, if one is due; call it once an operation is in the log."""
+    if not snapshot_due(operations, snapshots).first()["due"]:
+        return None
+    return create_snapshot(links, snapshot_id, at)
+
+
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     return snapshots.orderBy(F.desc("created_at"), F.desc("id")).limit(1)
 

@@ -1,11 +1,14 @@
-"""Exact duplicates: group active links by a normalised URL and keep the first."""
+"""Exact duplicates: group active links by a normalised URL and keep the first.
+
+A strategy is the name of a preset or a ``NormalizeConfig`` of one's own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrefmill.functions.urls import dedup_preset, with_dedup_key
+from hrefmill.functions.urls import NormalizeConfig, dedup_preset, with_dedup_key
 from hrefmill.operators.listing import is_active
 from hrefmill.plans.skew import attach_by_key
 
@@ -43,7 +46,7 @@ def _active(links: DataFrame) -> DataFrame:
     return links.filter(is_active(F.col("status")))
 
 
-def duplicate_groups(links: DataFrame, strategy: str = "normalized", sort: str = "original") -> DataFrame:
+def duplicate_groups(links: DataFrame, strategy: str | NormalizeConfig = "normalized", sort: str = "original") -> DataFrame:
     """One row per duplicate, next to the row that is kept.
 
     Groups stay in long form because a group may be as large as the table. ``keep_seq`` orders the
@@ -64,7 +67,7 @@ def duplicate_groups(links: DataFrame, strategy: str = "normalized", sort: str =
     )
 
 
-def dedup_preview(links: DataFrame, strategy: str = "normalized") -> DataFrame:
+def dedup_preview(links: DataFrame, strategy: str | NormalizeConfig = "normalized") -> DataFrame:
     """One row of counts, from the grouped keys alone."""
     keyed = with_dedup_key(_active(links), dedup_preset(strategy))
     sizes = keyed.groupBy("dedup_key").agg(F.count(F.lit(1)).alias("n"))
@@ -75,7 +78,7 @@ def dedup_preview(links: DataFrame, strategy: str = "normalized") -> DataFrame:
     )
 
 
-def dedup_execute(links: DataFrame, strategy: str = "normalized", sort: str = "original") -> DataFrame:
+def dedup_execute(links: DataFrame, strategy: str | NormalizeConfig = "normalized", sort: str = "original") -> DataFrame:
     """All links; the ones not kept become ``duplicate_removed`` and point to the kept row."""
     preset = dedup_preset(strategy)
     keepers = _keepers(with_dedup_key(_active(links), preset), sort).select("dedup_key", "n", "keep_id")

@@ -67,6 +67,17 @@ def page(df: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return newest_first(df).offset(offset).limit(limit)
 
 
+def page_with_total(df: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """``page``, each row with the ``total`` of the selection. An empty page tells none: ask ``stats.count_rows``."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return newest_first(page(df, limit, offset).join(F.broadcast(total)))
+
+
+def sample_of(df: DataFrame, newest: str, columns: list[str], limit: int = SAMPLE_ROWS) -> DataFrame:
+    """The newest rows of any table by one of its columns, ties by the first of ``columns``."""
+    return df.orderBy(F.desc(newest), F.desc(columns[0])).limit(limit).select(*columns)
+
+
 def page_after(df: DataFrame, created_at: Column, seq: int, limit: int = 50) -> DataFrame:
     """The page that follows a row, found by its key."""
     at = F.col("created_at")

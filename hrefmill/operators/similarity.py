@@ -225,7 +225,8 @@ def _edit_layer(links: DataFrame, layer: Layer) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, f"__{c}") for c in names}).select(*links.columns)
 
 
-def _keyed_layer(links: DataFrame, key: Column | str, method: str) -> DataFrame:
+def keyed_layer(links: DataFrame, key: Column | str, method: str) -> DataFrame:
+    """A layer that groups links by a key; NULL keys group with nothing."""
     names = ["method", "group_key", "group_size", "keep_id", "keep_seq"]
     open_key = F.when(F.col("method").isNull(), F.col(key) if isinstance(key, str) else key)
     before = links.withColumn("__key", open_key).withColumnsRenamed({c: f"was_{c}" for c in names})
@@ -234,12 +235,12 @@ def _keyed_layer(links: DataFrame, key: Column | str, method: str) -> DataFrame:
 
 
 def _domain_layer(links: DataFrame, layer: Layer) -> DataFrame:
-    return _keyed_layer(links, "domain", "domain")
+    return keyed_layer(links, "domain", "domain")
 
 
 def _path_layer(links: DataFrame, layer: Layer) -> DataFrame:
     keyed = with_path_key(links, layer.path_depth, "__path_key", layer.resolve)
-    return _keyed_layer(keyed, "__path_key", "path_prefix").select(*links.columns)
+    return keyed_layer(keyed, "__path_key", "path_prefix").select(*links.columns)
 
 
 # A layer maps links with group columns (NULL while ungrouped) to the same with more of them filled.
@@ -250,17 +251,46 @@ LAYER_METHODS: dict[str, Callable[[DataFrame, Layer], DataFrame]] = {
 }
 
 
-def detect_similarity(links: DataFrame, layers: list[Layer] = DEFAULT_LAYERS) -> DataFrame:
+def detect_similarity(
+    links: DataFrame, layers: list[Layer] = DEFAULT_LAYERS, methods: dict[str, Callable] = LAYER_METHODS
+) -> DataFrame:
     """Group members over all layers, in long form; a link grouped by one layer leaves the next.
 
-    ``layer`` is the position of the layer and ``keep_seq`` orders the groups inside it.
+    ``layer`` is the position of the layer and ``keep_seq`` orders the groups inside it. Only the columns
+    that layers look at go along, and what a layer leaves is kept, so that no layer is computed twice.
     """
     empty = {"method": "string", "group_key": "string", "group_size": "bigint", "keep_id": "string", "keep_seq": "bigint"}
-    work = links.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
-    for layer in layers:
-        work = LAYER_METHODS[layer.method](work, layer)
-    rank = F.coalesce(*[F.when(F.col("method") == x.method, F.lit(k)) for k, x in enumerate(layers)])
-    return work.filter("method IS NOT NULL").select(rank.alias("layer"), *GROUP_COLUMNS)
+    rest = links.select("id", "seq", "domain", "normalized_url", "original_url")
+    out = None
+    for number, layer in enumerate(layers):
+        tried = rest.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
+        done = methods[layer.method](tried, layer)
+        if number + 1 < len(layers):
+            done = cut_lineage(done)
+            rest = done.filter("method IS NULL").drop(*empty)
+        found = done.filter("method IS NOT NULL").select(F.lit(number).alias("layer"), *GROUP_COLUMNS)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def similar_groups_page(links: DataFrame, layers: list[Layer] = DEFAULT_LAYERS, cursor: int = 0, limit: int = 20) -> DataFrame:
+    """Members of the groups ``[cursor, cursor + limit)``, in the order of layers and of the kept links.
+
+    Every row tells the number of its group, the totals over all groups, and the cursor of the next page (NULL on the last).
+    """
+    if not 1 <= limit <= MAX_PAGE or cursor < 0:
+        raise ValueError(f"limit must be 1..{MAX_PAGE} and cursor not negative")
+    members = cut_lineage(detect_similarity(scan_active_links(links), layers))
+    kept = members.filter(F.col("id") == F.col("keep_id")).select("layer", "keep_seq", "group_size")
+    numbered = with_global_position(kept, ["layer", "keep_seq"], "group_no")
+    totals = kept.agg(F.count(F.lit(1)).alias("total_groups"), (F.sum("group_size") - F.count(F.lit(1))).alias("total_similar"))
+    shown = numbered.filter(F.col("group_no").between(cursor, cursor + limit - 1)).drop("group_size")
+    following = F.when(F.col("total_groups") > cursor + limit, F.lit(cursor + limit).cast("bigint"))
+    return (
+        members.join(F.broadcast(shown), ["layer", "keep_seq"])
+        .join(F.broadcast(totals))
+        .select("group_no", "layer", *GROUP_COLUMNS, "total_groups", "total_similar", following.alias("next_cursor"))
+    )
 
 
 def similar_preview(links: DataFrame, layers: list[Layer] = DEFAULT_LAYERS) -> DataFrame:
@@ -289,8 +319,10 @@ def bucket_page(links: DataFrame, cursor: int = 0, batch: int = 50) -> DataFrame
     buckets = domain_buckets(links)
     total = buckets.agg(F.count(F.lit(1)).alias("total_domains")).withColumn("__one", F.lit(1))
     chosen = buckets.offset(cursor).limit(batch).withColumn("__one", F.lit(1))
+    more = F.col("total_domains") > cursor + batch
     return chosen.join(total, "__one").select(
-        "domain", "n", "first_seq", "total_domains", (F.col("total_domains") > cursor + batch).alias("has_more")
+        "domain", "n", "first_seq", "total_domains", more.alias("has_more"),
+        F.when(more, F.lit(cursor + batch).cast("bigint")).alias("next_cursor"),
     )
 
 

@@ -95,6 +95,16 @@ OPERATIONS = T.StructType(
     ]
 )
 
+#: Errors and warnings of operations, one row each; ``link_id`` where one is to blame.
+MESSAGES = T.StructType(
+    [
+        T.StructField("op_seq", _L),
+        T.StructField("kind", _S),
+        T.StructField("message", _S),
+        T.StructField("link_id", _S),
+    ]
+)
+
 CHANGES = T.StructType(
     [
         T.StructField("op_seq", _L),
