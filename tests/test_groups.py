@@ -50,6 +50,8 @@ def test_dedup_leaves_one_active_row_per_key_and_is_stable(spark):
 
 def test_hot_keys_take_the_broadcast_path(spark, monkeypatch):
     """The same rows come out whether keys count as hot or not, and with NULL keys."""
+    # Few keys would be sent whole; this is about more of them.
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 0)
     rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 17 = 0 THEN NULL ELSE concat('k', id % 500) END AS k")
     per_key = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     plain = skew.attach_by_key(rows, per_key, "k", F.col("id"))
@@ -70,6 +72,16 @@ def test_hot_keys_take_the_broadcast_path(spark, monkeypatch):
     assert skew.anti_by_key(rows, keys, "k", F.col("id")).count() == 3000 - 1000 - rows.filter("k = 'k1'").count()
 
 
+def test_few_keys_move_no_rows(spark):
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('k', id % 50) END AS k")
+    per_key = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    joined = skew.attach_by_key(rows, per_key, "k", F.col("id"))
+    sizes = {r["k"]: r["n"] for r in per_key.collect() if r["k"] is not None}
+    assert all(r["n"] == sizes.get(r["k"]) for r in joined.collect()) and joined.count() == 3000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_positions_ranks_and_running_totals(spark):
     df = spark.range(1000).selectExpr("id", "id * 7919 % 1000 AS v", "concat('g', id % 3) AS g", "id % 5 = 0 AS odd").repartition(7)
     placed = ordering.with_global_position(df, ["v"]).collect()
