@@ -108,9 +108,12 @@ _powers: dict[str, np.ndarray] = _Local()
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values (the SplitMix64 finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def byte_values(fold: bool) -> np.ndarray:
@@ -146,6 +149,13 @@ class Prefix:
         raw = (self.sums[ends] - self.sums[starts]) * self.down[starts]
         return mix(raw + (ends - starts).astype("u8") * np.uint64(0xD6E8FEB86659FD93))
 
+    def grams(self, width: int) -> np.ndarray:
+        """Scrambled hash of the span of ``width`` at each place, as ``spans`` gives it."""
+        raw = self.sums[width:] - self.sums[:-width]
+        raw *= self.down[: len(raw)]
+        raw += np.uint64(width * 0xD6E8FEB86659FD93 & _MASK)
+        return mix(raw)
+
 
 def chain(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` neighbours in ``h`` (length ``len(h) - width + 1``)."""

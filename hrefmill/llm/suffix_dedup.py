@@ -13,8 +13,10 @@ last digit is as wide as the window and a run is a single window. At each pass
 * in any other group, a run string loses its windows in every document but the first that has it, and the
   first one's windows go on to the next pass.
 
-A window's first document is never settled away from it, so the verdict of the last pass is exact. Groups
-are told apart by two independent 64-bit hashes, of anchor and run. Groups are summed up in the map tasks
+A window's first document is never settled away from it, so the verdict of the last pass is exact. The rows of
+the first pass are made twice: for the groups, and again for the groups that repeat. The second time a bit map
+of the repeated anchors, of at most ``MOST_BITS``, drops most other rows before they are shuffled; it has no
+misses, so it changes no result, and where it fills up the join alone decides. Groups are told apart by two independent 64-bit hashes, of anchor and run. Groups are summed up in the map tasks
 before any shuffle, so a string in a third of all rows is one row per task. All judgements are on the input.
 
 Defined cases: a null text is empty; texts shorter than ``width`` keep everything; rows with the same id
@@ -30,18 +32,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hrefmill.llm import common
-from hrefmill.llm.tables import keep
+from hrefmill.llm.tables import keep, publish
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 50
 DIGITS = (20, 36, 50)
+#: The bit map of repeated anchors has eight to sixteen bits an anchor, and never more than this (32 MB).
+MOST_BITS = 1 << 28
+_BLOCK = 32768  # bits of one bitmap_construct_agg
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -54,31 +59,26 @@ def inside(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Runs of windows with a common anchor in some texts: first and last window start, and two hashes.
+    """Runs of windows with a common anchor in some texts: first and last window start, and two hashes."""
 
-    ``alive`` (a truth value per byte) leaves only the windows that start at such a byte.
-    """
-
-    def __init__(self, data: np.ndarray, off: np.ndarray, width: int, digit: int, alive: np.ndarray | None = None):
+    def __init__(self, data: np.ndarray, off: np.ndarray, width: int, digit: int):
         self.first = self.last = np.zeros(0, "i8")
         self.anchor = self.string = np.zeros(0, "u8")
         n = len(data)
         if n < width:
             return
-        places = np.arange(n - digit + 1)
-        grams = common.Prefix(data, common.byte_values(fold=False)).spans(places, places + digit)
+        grams = common.Prefix(data, common.byte_values(fold=False)).grams(digit)
         # Smallest hash (upper half), leftmost of equal ones (place in the lower half), over each window.
-        low = (grams & ~_LOW) | places.astype("u8")
+        low = grams & ~_LOW
+        low |= np.arange(len(grams), dtype="u8")
         reach, want = 1, width - digit + 1
         while reach < want:
             step = min(reach, want - reach)
             low = np.minimum(low[:-step], low[step:])
             reach += step
         at = (low & _LOW).astype("i8")
-        # Windows that would leave their text, then those that are not alive.
+        # Not the windows that would leave their text.
         chosen = ~inside(n, np.maximum(off[:-1], off[1:] - width + 1), off[1:])[: len(at)]
-        if alive is not None:
-            chosen &= alive[: len(at)]
         change = np.ones(len(at) + 1, bool)
         change[1:-1] = (at[1:] != at[:-1]) | (chosen[1:] != chosen[:-1])
         self.first = np.flatnonzero(change[:-1] & chosen)
@@ -100,30 +100,76 @@ def _spans_of(lists: pa.Array, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (packed >> 32) + shift, (packed & 0xFFFFFFFF) + shift
 
 
-def _run_task(width: int, digit: int, spans: bool) -> Callable:
+def _alive_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """The bytes of the windows that start in any of the spans, as parts: bytes, offsets, each part's place in ``data``.
+
+    Spans that touch are one part, so neighbouring windows stay neighbours; spans lie in one text each, and so do the parts.
+    """
+    order = np.lexsort((ends, starts))
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = starts[1:] > ends[:-1]
+    heads = np.flatnonzero(fresh)
+    at = starts[heads]
+    sizes = ends[np.append(heads[1:], len(starts)) - 1] + (width - 1) - at if len(heads) else np.zeros(0, "i8")
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    return data[np.repeat(at - off[:-1], sizes) + np.arange(off[-1])], off, at
+
+
+def _set_bits(name: str) -> np.ndarray:
+    """The published bit map, mapped from the executor's file."""
+    return np.memmap(SparkFiles.get(name), "u1", "r")
+
+
+def _run_task(width: int, digit: int, spans: bool, bits: str | None = None) -> Callable:
     """Runs of each text: (id, anchor, string) and, with ``spans``, (start, last) windows in the text.
 
-    A third input column lists the spans of windows still alive.
+    A third input column lists the spans of windows still alive. With ``bits`` only anchors in that bit map come out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if bits is None else _set_bits(bits)
         for batch in batches:
             for begin, end, data, off in common.pieces(batch.column(1)):
-                alive = None
                 if batch.num_columns > 2:
-                    alive = inside(len(data), *_spans_of(batch.column(2).slice(begin, end - begin), off))
-                runs = Runs(data, off, width, digit, alive)
-                row = np.searchsorted(off, runs.first, "right") - 1
+                    alive = _spans_of(batch.column(2).slice(begin, end - begin), off)
+                    part, part_off, at = _alive_parts(data, *alive, width)
+                    runs = Runs(part, part_off, width, digit)
+                    shift = (at - part_off[:-1])[np.searchsorted(part_off, runs.first, "right") - 1]
+                else:
+                    runs, shift = Runs(data, off, width, digit), 0
+                first, last, anchor, string = runs.first + shift, runs.last + shift, runs.anchor, runs.string
+                if wanted is not None:
+                    bit = anchor & np.uint64(8 * len(wanted) - 1)
+                    hit = np.flatnonzero(wanted[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype("u1") & 1)
+                    first, last, anchor, string = first[hit], last[hit], anchor[hit], string[hit]
+                row = np.searchsorted(off, first, "right") - 1
                 ids = batch.column(0).slice(begin, end - begin).take(pa.array(row))
-                columns = {"id": ids, "anchor": _signed(runs.anchor), "string": _signed(runs.string)}
+                columns = {"id": ids, "anchor": _signed(anchor), "string": _signed(string)}
                 if spans:
-                    columns["start"] = pa.array(runs.first - off[row], pa.int64())
-                    columns["last"] = pa.array(runs.last - off[row], pa.int64())
+                    columns["start"] = pa.array(first - off[row], pa.int64())
+                    columns["last"] = pa.array(last - off[row], pa.int64())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
+def anchor_bits(shared: DataFrame, most: int = MOST_BITS) -> str:
+    """Publish a bit map of the anchors, by their low bits (an anchor's high bits are small: it is a smallest hash).
+
+    It has a power of two of bits, at most ``most``, and at least one block of 32,768.
+    """
+    size = max(_BLOCK, min(most, 1 << (8 * shared.count()).bit_length()))
+    place = F.col("anchor").bitwiseAND(F.lit(size - 1)) + 1
+    blocks = shared.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
+    )
+    out = bytearray(size // 8)
+    for block, bits in blocks.collect():  # at most ``most`` bits
+        out[(block - 1) * len(bits) : block * len(bits)] = bits
+    return publish(shared.sparkSession, "anchors", bytes(out))
+
+
 def shares_ids(docs: DataFrame, id_col: str, text_col: str) -> bool:
     """Whether some id has different texts."""
     hashes = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).groupBy("id")
@@ -141,16 +187,19 @@ def repeated_spans(
     text_col: str = "text",
     width: int = WIDTH,
     digits: tuple[int, ...] = DIGITS,
+    plain: bool | None = None,
+    most_bits: int = MOST_BITS,
 ) -> DataFrame:
     """``(id, start, last)``: runs of windows that also start in a document with a smaller id.
 
     ``id`` is the ``identity`` of the document. The last digit must be ``width``. The runs' bytes cover exactly what is to be removed.
+    ``plain`` says that no id has different texts; where it is not given, this is looked up.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(
         F.col("id").isNotNull() & (F.octet_length("text") >= width)
     )
     # Where an id has several texts, the text's hash goes with the id; only the id is compared.
-    plain = not shares_ids(docs, id_col, text_col)
+    plain = not shares_ids(docs, id_col, text_col) if plain is None else plain
     own = (lambda c: F.col(c)) if plain else (lambda c: F.col(c)["id"])
     texts = texts.withColumn("id", identity(plain, "id", "text"))
     kind = texts.schema["id"].dataType.simpleString()
@@ -161,7 +210,6 @@ def repeated_spans(
             runs = keep(texts.mapInArrow(_run_task(width, digit, True), f"{brief}, start long, last long"))
             rows = runs
         else:  # cheaper made twice than stored
-            runs = texts.mapInArrow(_run_task(width, digit, True), f"{brief}, start long, last long")
             rows = texts.mapInArrow(_run_task(width, digit, False), brief)
         groups = rows.groupBy("anchor").agg(
             F.min("id").alias("first_id"),
@@ -172,6 +220,9 @@ def repeated_spans(
         repeated = groups.filter(own("first_id") < own("last_id"))
         # Kept, so that the shuffle files of the groups are gone before those of the join come.
         shared = keep(repeated.select("anchor", "first_id", (F.col("low") == F.col("high")).alias("settled")))
+        if not level:
+            task = _run_task(width, digit, True, anchor_bits(shared, most_bits))
+            runs = texts.mapInArrow(task, f"{brief}, start long, last long")
         met = keep(
             runs.join(shared, "anchor")
             .filter(~F.col("settled") | (own("id") > own("first_id")))
@@ -245,11 +296,12 @@ def dedup(
     digits: tuple[int, ...] = DIGITS,
 ) -> DataFrame:
     """``(doc_id, text)`` plus ``outputs``: what is left of each text (``kept``, bytes; or its digest) and counts."""
-    spans = repeated_spans(docs, id_col, text_col, width, digits)
+    plain = not shares_ids(docs, id_col, text_col)
+    spans = repeated_spans(docs, id_col, text_col, width, digits, plain)
     packed = F.shiftleft("start", 32).bitwiseOR(F.col("last") + width)
     lists = keep(spans.groupBy("id").agg(F.collect_list(packed).alias("__spans")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known_by = identity(not shares_ids(docs, id_col, text_col), "doc_id", "text")
+    known_by = identity(plain, "doc_id", "text")
     joined = rows.withColumn("__by", known_by).join(lists.withColumnRenamed("id", "__by"), "__by", "left").drop("__by")
     schema = T.StructType([*rows.schema.fields, *(T.StructField(o, _KINDS[o]) for o in outputs)])
     return joined.mapInArrow(_cut_task({o: o for o in outputs}, "text", "__spans"), schema)

@@ -133,6 +133,35 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.dedup(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_suffix_bit_map(spark):
+    """The published map has every anchor, few others, and a full one lets every row through."""
+    rng = np.random.default_rng(4)
+    anchors = rng.integers(0, 1 << 63, 5000).astype("i8")
+    shared = spark.createDataFrame([(int(a),) for a in anchors], "anchor long")
+    for most in (suffix_dedup.MOST_BITS, 32768):
+        bits = suffix_dedup._set_bits(suffix_dedup.anchor_bits(shared, most))
+        assert len(bits) * 8 == (65536 if most > 65536 else 32768)
+        place = anchors & (len(bits) * 8 - 1)
+        assert (bits[place >> 3] >> (place & 7).astype("u1") & 1).all()
+        assert np.unpackbits(bits).sum() == len(np.unique(place))
+
+
+def test_suffix_alive_parts():
+    """Runs of the parts are the runs of the whole text, as far as its windows are alive."""
+    rng = np.random.default_rng(5)
+    data = rng.choice(np.frombuffer(b"ab c", "u1"), 600)
+    whole = suffix_dedup.Runs(data, np.array([0, 600]), 12, 12)
+    starts, ends = np.array([200, 3, 30, 215, 588]), np.array([215, 20, 31, 230, 589])
+    part, off, at = suffix_dedup._alive_parts(data, starts, ends, 12)
+    assert at.tolist() == [3, 30, 200, 588] and off[-1] == len(part)
+    runs = suffix_dedup.Runs(part, off, 12, 12)
+    first = runs.first + (at - off[:-1])[np.searchsorted(off, runs.first, "right") - 1]
+    want = np.flatnonzero(suffix_dedup.inside(600, starts, ends))
+    assert first.tolist() == want.tolist()
+    assert (runs.string == whole.string[np.searchsorted(whole.first, want)]).all()
+    assert len(suffix_dedup._alive_parts(data, starts[:0], ends[:0], 12)[0]) == 0
+
+
 # --- near-duplicates ----------------------------------------------------------------------------
 
 
