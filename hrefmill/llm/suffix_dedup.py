@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hrefmill.llm import common
-from hrefmill.llm.tables import keep, publish
+from hrefmill.llm.tables import drop, fresh_folder, keep, publish
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -204,10 +204,13 @@ def repeated_spans(
     texts = texts.withColumn("id", identity(plain, "id", "text"))
     kind = texts.schema["id"].dataType.simpleString()
     brief = f"id {kind}, anchor long, string long"
+    spark = docs.sparkSession
     found = []
     for level, digit in enumerate(digits):
+        # Tables of this pass that go as soon as the next one is written.
+        passing = [f"{fresh_folder(spark)}/{name}" for name in ("runs", "shared", "strings")]
         if level:
-            runs = keep(texts.mapInArrow(_run_task(width, digit, True), f"{brief}, start long, last long"))
+            runs = keep(texts.mapInArrow(_run_task(width, digit, True), f"{brief}, start long, last long"), passing[0])
             rows = runs
         else:  # cheaper made twice than stored
             rows = texts.mapInArrow(_run_task(width, digit, False), brief)
@@ -219,20 +222,25 @@ def repeated_spans(
         )
         repeated = groups.filter(own("first_id") < own("last_id"))
         # Kept, so that the shuffle files of the groups are gone before those of the join come.
-        shared = keep(repeated.select("anchor", "first_id", (F.col("low") == F.col("high")).alias("settled")))
+        shared = keep(
+            repeated.select("anchor", "first_id", (F.col("low") == F.col("high")).alias("settled")), passing[1]
+        )
         if not level:
             task = _run_task(width, digit, True, anchor_bits(shared, most_bits))
             runs = texts.mapInArrow(task, f"{brief}, start long, last long")
+        open_ = [F.when(~F.col("settled"), F.col(c)).alias(c) for c in ("anchor", "string")]  # of no use once settled
         met = keep(
             runs.join(shared, "anchor")
             .filter(~F.col("settled") | (own("id") > own("first_id")))
-            .select("id", "anchor", "string", "settled", "start", "last")
+            .select("id", *open_, "settled", "start", "last")
         )
+        drop(spark, *passing[:2])
         found.append(met.filter("settled").select("id", "start", "last"))
         left = met.filter(~F.col("settled"))
         # Kept, so that the join has plain shuffles on both sides and a hot string's rows can be split.
-        strings = keep(left.groupBy("anchor", "string").agg(F.min("id").alias("first_id")))
+        strings = keep(left.groupBy("anchor", "string").agg(F.min("id").alias("first_id")), passing[2])
         told = keep(left.join(strings, ["anchor", "string"]).select("id", "first_id", "start", "last"))
+        drop(spark, passing[2])
         found.append(told.filter(own("id") > own("first_id")).select("id", "start", "last"))
         alive = told.filter(own("id") == own("first_id"))
         packed = F.shiftleft("start", 32).bitwiseOR(F.col("last") + 1)

@@ -22,13 +22,14 @@ def fresh_folder(spark: SparkSession) -> str:
     return folder
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    Shuffle files of the write are dropped as soon as it has ended.
+    Shuffle files of the write are dropped as soon as it has ended. A caller that names the ``folder``
+    can ``drop`` the table.
     """
     spark = df.sparkSession
-    folder = f"{fresh_folder(spark)}/table"
+    folder = folder or f"{fresh_folder(spark)}/table"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -38,6 +39,13 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def drop(spark: SparkSession, *folders: str) -> None:
+    """Delete kept tables that no later step reads."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def publish(spark: SparkSession, kind: str, block: bytes) -> str:
     """Put a file of bounded size on all executors by Spark's ``addFile``; returns its name for ``SparkFiles.get``."""
     name = f"{kind}-{uuid.uuid4().hex}"
