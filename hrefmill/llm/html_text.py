@@ -6,7 +6,10 @@ passes points, for itself, its length and its commas, to its parent, half of the
 less further up. Elements start with a bonus or malus for their name and class, and a score is
 discounted by the share of an element's text that is links. The best container is kept, widened to the
 article element it lies in if there is one; otherwise with those siblings that score well themselves or read like
-headings and paragraphs of it. Lists of links inside are left out.
+headings and paragraphs of it. Lists of links are left out, but not those of an article element: they are its
+sources, unless element, role or class say otherwise. In an article a class such as ``share-price`` that only contains a
+telling word is no sign by itself: it takes links in more than half of the text as well.
+All is done in a few passes over the elements, so time does not depend on their depth.
 
 The text is the runs of the kept elements, one block per block-level run, character references decoded, white space
 within a block turned into one space, blocks in page order. Defined cases: a null or empty page, and a page
@@ -51,6 +54,13 @@ UNLIKELY = COMMENTS | frozenset(
     " popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related"
     " recommended recommendations toolbar widget widgets pagination pager alert banner copyright skip hidden".split()
 )
+#: Parts of class names that say nothing about the content, so that ``ad-box`` tells as much as ``ad``.
+FRAME = frozenset(
+    "area bar block bottom box btn button buttons card cell col column container group holder icon icons inner item items"
+    " left link links list outer panel right row section slot small large title heading top unit wrap wrapper".split()
+)
+#: Points go no further up than this; a paragraph's share is below a 190th there.
+REACH = 64
 LIKELY = frozenset("article body content entry hentry main page post text blog story".split())
 START = {"article": 25, "main": 25, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3}
 START |= {"ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5} | {h: -5 for h in HEADING}
@@ -80,10 +90,11 @@ _part = re.compile(r"[^a-zA-Z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "words", "drop", "mute", "score", "chars", "links")
+    __slots__ = ("tag", "parent", "block", "words", "sure", "drop", "mute", "score", "chars", "links")
 
-    def __init__(self, tag: str, parent: Node | None, words: frozenset, drop: bool):
-        self.tag, self.parent, self.words, self.drop = tag, parent, words, drop
+    def __init__(self, tag: str, parent: Node | None, words: frozenset, sure: bool, drop: bool):
+        self.tag, self.parent, self.words, self.sure, self.drop = tag, parent, words, sure, drop
+        self.block: Node = self if parent is None or tag in BLOCK else parent.block
         self.mute = False  # an inline element whose text is left out
         self.score, self.chars, self.links = 0.0, 0, 0
 
@@ -94,16 +105,23 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _attribute.finditer(text)}
 
 
-def _words(attrs: dict[str, str]) -> frozenset:
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return frozenset(w.lower() for part in _part.split(named) for w in _camel.split(part) if w)
+def _words(attrs: dict[str, str]) -> tuple[frozenset, bool]:
+    """Words of class and id, and whether some name among them has telling words and nothing else of meaning."""
+    words: set[str] = set()
+    sure = False
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        parts = {w.lower() for part in _part.split(name) for w in _camel.split(part) if w}
+        words |= parts
+        rest = parts - UNLIKELY
+        sure = sure or len(rest) < len(parts) and all(w in FRAME or not w.isalpha() or len(w) == 1 for w in rest)
+    return frozenset(words), sure
 
 
 class Page:
     """The elements of a page and its runs of text: (block element, text, length in links)."""
 
     def __init__(self, source: str):
-        self.root = Node("html", None, frozenset(), False)
+        self.root = Node("html", None, frozenset(), False, False)
         self.stack = [self.root]
         self.open: Counter[str] = Counter()
         self.nodes = [self.root]
@@ -148,7 +166,7 @@ class Page:
                 self.runs.append((self._block, text, self._linked))
             self._pieces = []
         self._linked = 0
-        self._block = next(x for x in reversed(self.stack) if x.tag in BLOCK)
+        self._block = self.stack[-1].block
 
     def _open(self, name: str, raw: str) -> None:
         if name == "br":
@@ -166,7 +184,7 @@ class Page:
             if name in HEADING and self.stack[-1].tag in HEADING:
                 self._cut(len(self.stack) - 1)
         attrs = _attributes(raw)
-        words = _words(attrs)
+        words, sure = _words(attrs)
         drop = (
             name in FURNITURE
             or attrs.get("role", "").lower() in ROLES
@@ -174,13 +192,16 @@ class Page:
             or attrs.get("aria-hidden", "").lower() == "true"
             or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
         )
-        node = Node(name, self.stack[-1], words, drop)
+        node = Node(name, self.stack[-1], words, sure, drop)
         if name in ("article", "main") and not words & COMMENTS:
-            for above in self.stack:  # a class alone does not condemn what holds the article
+            for above in reversed(self.stack):  # a class alone does not condemn what holds the article
                 if not above.words & COMMENTS:
                     above.words = frozenset()
+                    if above.tag in ("article", "main"):
+                        break  # what holds that one was cleared when it came
         if name not in BLOCK:
-            node.mute = self.stack[-1].mute or _is_furniture(node, False, set())
+            in_article = self.open["article"] + self.open["main"] > 0
+            node.mute = self.stack[-1].mute or _is_furniture(node, in_article, set())
         self.stack.append(node)
         self.open[name] += 1
         self.nodes.append(node)
@@ -194,6 +215,8 @@ class Page:
         del self.stack[at:]
 
     def _end(self, names: set, limits: set) -> None:
+        if not any(self.open[name] for name in names):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in names:
                 self._cut(i)
@@ -208,6 +231,8 @@ class Page:
         if name == "br":
             self._pieces.append(" ")
             return
+        if not self.open[name]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == name:
                 self._cut(i)
@@ -225,10 +250,17 @@ def _is_furniture(node: Node, in_article: bool, heads: set[int]) -> bool:
         return bool(node.words & COMMENTS)
     if node.tag == "header":
         return not (in_article and id(node) in heads)
+    if in_article and not node.sure:
+        return False
     found = node.words & UNLIKELY
     return bool(found) and (bool(found & COMMENTS) or not node.words & LIKELY)
 
 
+def _is_doubtful(node: Node) -> bool:
+    """An element of an article with a telling word in a longer name, mostly links."""
+    return bool(node.words & UNLIKELY) and not node.words & LIKELY and node.links > 0.5 * node.chars
+
+
 def main_text(source: str | None) -> str:
     """The main text of one page, blocks joined by line breaks."""
     if not source:
@@ -237,7 +269,7 @@ def main_text(source: str | None) -> str:
     heads: set[int] = set()
     for node in page.nodes:
         above = node.parent if node.tag in HEADING else None
-        while above is not None:
+        while above is not None and id(above) not in heads:
             heads.add(id(above))
             above = above.parent
     out: set[int] = set()  # furniture and all in it
@@ -251,21 +283,21 @@ def main_text(source: str | None) -> str:
     runs = [r for r in page.runs if id(r[0]) not in out]
     if not runs:
         return ""
-    touched: dict[int, Node] = {}
     for block, text, linked in runs:
-        node = block
-        while node is not None:
-            node.chars += len(text)
-            node.links += linked
-            touched[id(node)] = node
-            node = node.parent
+        block.chars += len(text)
+        block.links += linked
+    for node in reversed(page.nodes):  # children come after their parents
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.links += node.links
+    touched = {id(node): node for node in page.nodes if node.chars}
     paid: set[int] = set()
     for block, text, _ in runs:
         points = min(1.0, len(text) / 25) + text.count(",") + min(len(text) / 100, 3.0)
         node = block.parent if block.tag in PARAGRAPH and block.parent else block
         paid.add(id(node))
         level = 0
-        while node is not None:
+        while node is not None and level < REACH:
             node.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             node, level = node.parent, level + 1
     for node in touched.values():
@@ -276,21 +308,16 @@ def main_text(source: str | None) -> str:
     above = [n for n in touched.values() if (id(n) in paid or n.tag not in PARAGRAPH) and n.tag not in rows]
     best = max(above, key=lambda n: (n.score, -order[id(n)]))
     kept = {id(n) for n in _chosen(best, touched)}
-    listed = {id(n) for n in touched.values() if _is_link_list(n)} - kept
-    blocks = []
-    for block, text, _ in runs:
-        node, inside = block, False
-        while node is not None:
-            if id(node) in listed:
-                inside = False
-                break
-            inside = inside or id(node) in kept
-            if id(node) in kept:
-                break
-            node = node.parent
-        if inside:
-            blocks.append(text)
-    return "\n".join(blocks)
+    inside: set[int] = set()
+    for node in page.nodes:
+        at = id(node)
+        if at in kept:
+            inside.add(at)
+        elif node.parent is not None and id(node.parent) in inside:
+            left_out = _is_doubtful(node) if at in article else _is_link_list(node)
+            if not left_out:
+                inside.add(at)
+    return "\n".join(text for block, text, _ in runs if id(block) in inside)
 
 
 def _is_link_list(node: Node) -> bool:
@@ -328,14 +355,16 @@ def _extract_task(html_col: str, out: str) -> Callable:
         for batch in batches:
             pages = batch.column(batch.schema.get_field_index(html_col))
             texts = pa.array([main_text(p.as_py()) for p in pages], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, out])
+            rest = [n for n in batch.schema.names if n.lower() != out.lower()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), texts], [*rest, out])
 
     return run
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
-    """``pages`` plus the main text of each page."""
-    schema = T.StructType([*pages.schema.fields, T.StructField(out, T.StringType())])
+    """``pages`` plus the main text of each page, in place of a column of that name if there is one."""
+    rest = [f for f in pages.schema.fields if f.name.lower() != out.lower()]
+    schema = T.StructType([*rest, T.StructField(out, T.StringType())])
     return pages.mapInArrow(_extract_task(html_col, out), schema)
 
 

@@ -4,13 +4,14 @@ import collections
 import hashlib
 import re
 import struct
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hrefmill.llm import bpe, decontaminate, language, near_dedup, quality, sharding, suffix_dedup
+from hrefmill.llm import bpe, decontaminate, html_text, language, near_dedup, quality, sharding, suffix_dedup
 from hrefmill.llm.html_text import main_text
 
 SF = "/root/testdata/sf0.001"
@@ -452,3 +453,78 @@ def test_small_chunks_give_the_same_classes(spark, monkeypatch):
     link = near_dedup._link_classes
     monkeypatch.setattr(near_dedup, "_link_classes", lambda m, t, least: link(m, t, least, chunk=2))
     assert sorted(map(tuple, near_dedup.classes(docs).collect()), key=repr) == whole
+
+
+def test_main_text_of_deep_pages_with_texts():
+    for tag in ("div", "b", "article", "li", "blockquote"):
+        assert main_text(f"<{tag}>a " * 20_000).count("a") == 20_000
+
+
+def test_main_text_keeps_what_an_article_holds():
+    long = "Some words of the article, which goes on for a while, and then some. " * 3
+    page = (
+        f'<article><p>{long}</p><p class="share-price">Up 3 points</p><div class="related-work"><p>Work of others</p></div>'
+        '<ul><li><a href="/a">Source one</a></li><li><a href="/b">Source two</a></li></ul>'
+        '<div class="ad-box-300">Buy</div><div class="ad">Buy</div><nav><a href="/c">Menu</a></nav>'
+        '<div class="share-article-now"><a href="/d">Tell all your friends</a></div>'
+        '<p>Price <span class="share-price">7</span><span class="ad">Buy</span></p></article>'
+    )
+    kept = ["Up 3 points", "Work of others", "Source one", "Source two", "Price 7"]
+    want = [long.strip(), *kept]
+    assert [b for b in main_text(page).split("\n") if "friends" not in b] == want
+    doubtful = f'<article><p>{long}</p><div class="share-price-now"><a href="/d">Tell all your friends</a></div></article>'
+    assert main_text(doubtful) == long.strip()
+    lists = f'<div><p>{long}</p><p>{long}</p><ul><li><a href="/a">One</a></li></ul></div>'
+    assert main_text(lists) == f"{long.strip()}\n{long.strip()}"
+
+
+class Reading(HTMLParser):
+    """The blocks inside the article element of a page, by the standard library's parser."""
+
+    FURNITURE = {"nav", "aside", "footer", "form", "script", "style"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.out, self.blocks, self.text = 0, 0, [], []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        text = " ".join("".join(self.text).split())
+        self.blocks += [text] if text else []
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.out += tag in self.FURNITURE
+        if tag == "br":
+            self.text.append(" ")
+        elif tag in html_text.BLOCK:
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCK:
+            self.end()
+        self.depth -= tag == "article"
+        self.out -= tag in self.FURNITURE
+
+    def handle_data(self, data):
+        if self.depth > 0 and not self.out:
+            self.text.append(data)
+
+
+def test_main_text_of_all_pages(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = html_text.op4_html(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"]).collect()
+    assert rows
+    for row in rows:
+        assert row["text"] == "\n".join(Reading(row["html"] or "").blocks)
+        assert row["n_chars"] == len(row["text"])
+
+
+def test_extract_with_a_clashing_column(spark):
+    pages = spark.createDataFrame([(1, "old", "<p>new, in a page</p>"), (2, None, None)], "page_id long, Text string, html string")
+    got = html_text.extract(pages).orderBy("page_id")
+    assert got.columns == ["page_id", "html", "text"]
+    assert [r["text"] for r in got.collect()] == ["new, in a page", ""]
