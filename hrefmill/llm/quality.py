@@ -5,10 +5,11 @@ make it small where words would not, and it needs no word list for any language.
 rules and has at most ``MOST_SYMBOLS`` symbols a word, or as many as the median of its language where that is more:
 junk is no reference while it is less than half of a language. Spark counts the n-grams of
 every reference text (each task sums up its own first) and derives the lower orders, discounts, context weights and
-probabilities as tables. What scoring needs goes into arrays of 64-bit n-gram hashes in ascending order
-with their log-probabilities beside them, one file that the tasks map into memory and bisect. Its size is
-bounded: the rarest n-grams of the highest order are left to the lower orders from ``MOST_GRAMS`` on, as a
-count cut-off, with the context weights adjusted; all documents are scored.
+probabilities as tables, without any cut-off. What scoring needs is sorted by 64-bit n-gram hashes and written by
+tasks as files of hash ranges in the shared folder. Every executor fetches them, lays hashes and log-probabilities
+out as two arrays on its own disk, a record batch at a time, and its tasks map these into memory and bisect them:
+no model passes through the driver or lies in a task's memory. Each executor needs 16 bytes of disk, twice while
+they are laid out, for each different n-gram and context.
 
 A document's log-perplexity is compared with those of the different reference texts of its language that are about
 as long (the length in characters between the same powers of two, since short texts vary more). Where these are
@@ -24,24 +25,28 @@ judged alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
+import os
 import sys
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hrefmill.llm import common
-from hrefmill.llm.tables import fresh, keep, publish
+from hrefmill.llm.tables import fresh, keep, publish_parts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 4
-MOST_GRAMS = 4_000_000
+PER_FILE = 4_000_000  # rows of a file of the model
 BROADCAST_BANDS = 100_000
 PIECE = 1_000_000  # bytes of text that a task looks at together
 LOWER_REACH, UPPER_REACH, SLACK = 4.0, 4.0, 0.15
@@ -164,7 +169,7 @@ def _discounts(level: DataFrame) -> list[float]:
     return [min(max(d, 0.1), k + 0.9) for k, d in enumerate(raw)]
 
 
-def kneser_ney(counts: DataFrame, most: int = MOST_GRAMS) -> tuple[dict[int, DataFrame], dict[int, DataFrame], float]:
+def kneser_ney(counts: DataFrame) -> tuple[dict[int, DataFrame], dict[int, DataFrame], float]:
     """From n-gram counts: per order ``(gram, logp)`` and ``(context, weight)`` (logs), and the log-probability
     of an unknown character."""
     level = {ORDER: counts}
@@ -173,13 +178,6 @@ def kneser_ney(counts: DataFrame, most: int = MOST_GRAMS) -> tuple[dict[int, Dat
         level[k] = keep(level[k + 1].select(tail.alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
     characters = level[1].count()
     uniform = 1.0 / (characters + 1)
-    least = 1
-    per_count = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("grams"))
-    left = counts.count()
-    for n, grams in sorted(map(tuple, per_count.collect())):
-        if left <= most:
-            break
-        least, left = n + 1, left - grams
     grams_at: dict[int, DataFrame] = {}
     weights_at: dict[int, DataFrame] = {}
     unknown = math.log(uniform)
@@ -187,10 +185,9 @@ def kneser_ney(counts: DataFrame, most: int = MOST_GRAMS) -> tuple[dict[int, Dat
         d = _discounts(level[k])
         n = F.col("n")
         cut = n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-        stays = n >= (least if k == ORDER else 1)
-        rows = level[k].select("gram", "n", cut.alias("cut"), stays.alias("stays"))
+        rows = level[k].select("gram", "n", cut.alias("cut"))
         context = F.shiftrightunsigned("gram", 16)
-        sums = (F.sum("n").alias("total"), F.sum(F.when(F.col("stays"), F.col("cut")).otherwise(0.0)).alias("mass"))
+        sums = (F.sum("n").alias("total"), F.sum("cut").alias("mass"))
         if k == 1:
             total, mass = rows.agg(*sums).first()
             if not total:
@@ -206,8 +203,7 @@ def kneser_ney(counts: DataFrame, most: int = MOST_GRAMS) -> tuple[dict[int, Dat
         )
         lower = grams_at[k - 1].select(F.col("gram").alias("tail"), F.col("p").alias("lower"))
         joined = (
-            rows.filter("stays")
-            .withColumns({"context": context, "tail": F.col("gram").bitwiseAND(F.lit(masked(k - 1)))})
+            rows.withColumns({"context": context, "tail": F.col("gram").bitwiseAND(F.lit(masked(k - 1)))})
             .join(contexts, "context")
             .join(lower, "tail")
         )
@@ -219,41 +215,49 @@ def kneser_ney(counts: DataFrame, most: int = MOST_GRAMS) -> tuple[dict[int, Dat
     return logs, weights_at, unknown
 
 
-def hashed(grams: np.ndarray, order: int) -> np.ndarray:
+def hashed(grams: np.ndarray, order: int | np.ndarray) -> np.ndarray:
     """Sort key of n-grams or contexts of an order."""
-    return common.mix(grams.astype("u8") + np.uint64(order * 0x9E3779B97F4A7C15 % 2**64))
+    return common.mix(grams.astype("u8") + np.asarray(order, "u8") * np.asarray(0x9E3779B97F4A7C15, "u8"))
+
+
+class Trained(NamedTuple):
+    """A model: its files in ascending order, the rows of each of its tables, and the log of an unknown character."""
+
+    files: list[str]
+    sizes: list[int]
+    unknown: float
 
 
 class Model:
-    """Sorted hash arrays over one block of 64-bit numbers: sizes, unknown, then hashes and logs per table."""
-
-    def __init__(self, block: np.ndarray):
-        sizes = block[: 2 * ORDER]
-        self.unknown = float(block[2 * ORDER : 2 * ORDER + 1].view("f8")[0])
-        at, self.tables = 2 * ORDER + 1, []
-        for size in sizes.tolist():
-            self.tables.append((block[at : at + size].view("u8"), block[at + size : at + 2 * size].view("f8")))
-            at += 2 * size
-
-    @staticmethod
-    def block(grams: dict[int, tuple], weights: dict[int, tuple], unknown: float) -> bytes:
-        """From per-order arrays (packed, log)."""
-        none = (np.zeros(0, "i8"), np.zeros(0))
-        parts, sizes = [], []
-        for source in (grams, weights):
-            for k in range(1, ORDER + 1):
-                packed, logs = source.get(k, none)
-                keys = hashed(packed, k)
-                order = np.argsort(keys)
-                sizes.append(len(keys))
-                parts += [keys[order].tobytes(), np.asarray(logs, "f8")[order].tobytes()]
-        return b"".join([np.array(sizes, "i8").tobytes(), np.array([unknown]).tobytes(), *parts])
+    """Sorted arrays of hashes (signed) and logs, table after table: n-grams by order, then contexts by order."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray, sizes: list[int], unknown: float):
+        ends = np.cumsum([0, *sizes])
+        self.tables = [(keys[a:b], logs[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        self.unknown = unknown
+
+    @classmethod
+    def mapped(cls, trained: Trained) -> Model:
+        """The model over this executor's copies of its files, laid out once by the first task that needs it."""
+        if not trained.files:
+            return cls(np.zeros(0, "i8"), np.zeros(0), trained.sizes, trained.unknown)
+        paths = [SparkFiles.get(f) for f in trained.files]
+        made = {"key": f"{paths[0]}.keys", "log": f"{paths[0]}.logs"}
+        for column, path in made.items():
+            if not os.path.exists(path):
+                with open(f"{path}.{os.getpid()}", "wb") as out:  # tasks that meet here write the same bytes
+                    for source in paths:
+                        for batch in pq.ParquetFile(source).iter_batches(columns=[column]):
+                            out.write(batch.column(0).to_numpy().tobytes())
+                os.replace(out.name, path)
+        return cls(np.memmap(made["key"], "i8", "r"), np.memmap(made["log"], "f8", "r"), trained.sizes, trained.unknown)
 
     def _find(self, table: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The logs of the keys, and which of them the table has."""
         hashes, logs = self.tables[table]
         if not len(hashes):
             return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        keys = keys.view("i8")
         at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
         return logs[at], hashes[at] == keys
 
@@ -269,15 +273,26 @@ class Model:
         return logp
 
 
-def train(docs: DataFrame, text_col: str = "text", most: int = MOST_GRAMS) -> bytes:
-    """The model of all texts as one block of arrays; ``most`` bounds its size."""
-    grams, weights, unknown = kneser_ney(keep(gram_counts(docs, text_col)), most)
-
-    def arrays(df: DataFrame) -> tuple:
-        table = df.toArrow()
-        return table.column(0).to_numpy(), table.column(1).to_numpy()
-
-    return Model.block({k: arrays(v) for k, v in grams.items()}, {k: arrays(v) for k, v in weights.items()}, unknown)
+def _key_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        place, gram, log = (batch.column(i) for i in range(3))
+        orders = place.to_numpy() % ORDER + 1
+        keys = hashed(gram.to_numpy(), orders.astype("u8")).view("i8")
+        yield pa.RecordBatch.from_arrays([place, pa.array(keys), log], ["place", "key", "log"])
+
+
+def train(docs: DataFrame, text_col: str = "text", per_file: int = PER_FILE) -> Trained:
+    """The model of all texts as files of hash ranges, of some ``per_file`` rows each, on all executors."""
+    grams, weights, unknown = kneser_ney(keep(gram_counts(docs, text_col)))
+    tables = [df.select(F.lit(k - 1).alias("place"), "gram", F.col("logp").alias("log")) for k, df in grams.items()]
+    tables += [df.select(F.lit(ORDER + k - 1), "context", "weight") for k, df in weights.items()]
+    if not tables:
+        return Trained([], [0] * (2 * ORDER), unknown)
+    rows = keep(functools.reduce(DataFrame.union, tables).mapInArrow(_key_task, "place int, key long, log double"))
+    found = {r["place"]: r["count"] for r in rows.groupBy("place").count().collect()}
+    sizes = [found.get(i, 0) for i in range(2 * ORDER)]
+    parts = rows.repartitionByRange(-(-sum(sizes) // per_file), "place", "key").sortWithinPartitions("place", "key")
+    return Trained(publish_parts(parts.select("key", "log")), sizes, unknown)
 
 
 # --- scoring ------------------------------------------------------------------------------------
@@ -285,9 +300,9 @@ def train(docs: DataFrame, text_col: str = "text", most: int = MOST_GRAMS) -> by
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _score_task(file: str, text: str, names: dict[str, str]) -> Callable:
+def _score_task(trained: Trained, text: str, names: dict[str, str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(np.memmap(SparkFiles.get(file), "i8", "r"))
+        model = Model.mapped(trained)
         for batch in batches:
             for begin, end, data, off in common.pieces(batch.column(batch.schema.get_field_index(text)), PIECE):
                 made = {k: pa.array(v, pa.int64()) for k, v in base_counts(data, off).items()}
@@ -356,13 +371,12 @@ def scored(
     docs: DataFrame, limits: DataFrame, text_col: str = "text", lang_col: str = "lang", names: dict[str, str] | None = None
 ) -> DataFrame:
     """``docs`` plus the counts of the base rules, the length in characters and the log-perplexity."""
-    spark = docs.sparkSession
     keys = [*_COUNTS, "n_chars", "log_perplexity"]
     names = {k: (names or {}).get(k, k) for k in keys}
     kinds = [T.LongType()] * 6 + [T.DoubleType()]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(names[k], t) for k, t in zip(keys, kinds))])
-    file = publish(spark, "model", train(reference(docs, limits, text_col, lang_col)))
-    return docs.mapInArrow(common.releasing(_score_task(file, text_col, names)), schema)
+    trained = train(reference(docs, limits, text_col, lang_col))
+    return docs.mapInArrow(common.releasing(_score_task(trained, text_col, names)), schema)
 
 
 def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words"):
@@ -443,8 +457,9 @@ def clean(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
         return back.withColumnsRenamed({v: k for k, v in plain.items()})
     symbols = symbol_limits(docs, text_col, lang_col)
     found = keep(scored(docs, symbols, text_col, lang_col))
-    limits = _sent(bands(found, symbols, F.xxhash64(text_col), lang_col)).withColumnsRenamed({"lang": "__of", "length": "__about"})
-    same = found[lang_col].eqNullSafe(limits["__of"]) & (length_class() == limits["__about"])
+    of, about = fresh("of", found.columns), fresh("about", found.columns)
+    limits = _sent(bands(found, symbols, F.xxhash64(text_col), lang_col)).withColumnsRenamed({"lang": of, "length": about})
+    same = found[lang_col].eqNullSafe(limits[of]) & (length_class() == limits[about])
     passed = found.filter(~base_failed()).join(limits, same)
     return passed.filter(F.col("log_perplexity").between(F.col("lower"), F.col("upper"))).select(*docs.columns)
 

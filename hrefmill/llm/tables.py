@@ -57,6 +57,19 @@ def publish(spark: SparkSession, kind: str, block: bytes) -> str:
     return name
 
 
+def publish_parts(df: DataFrame) -> list[str]:
+    """Write a table and put its files on all executors; their names in the order of the partitions."""
+    spark = df.sparkSession
+    folder = f"{fresh_folder(spark)}/parts"
+    keep(df, folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    paths = sorted((f.getPath().getName(), f.getPath().toString()) for f in found if f.getPath().getName().startswith("part-"))
+    for _, file in paths:
+        spark.sparkContext.addFile(file)
+    return [name for name, _ in paths]
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, prefixed until no column has it in any case."""
     taken = {c.lower() for c in columns}

@@ -263,19 +263,78 @@ def test_base_rules(spark):
     assert quality.judged(docs.limit(0)).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark):
-    docs = frame(spark, [(1, "abracadabra cadabra"), (2, "bra bra"), (3, None)])
-    grams, _, unknown = quality.kneser_ney(quality.gram_counts(docs))
-    model = quality.Model(np.frombuffer(quality.train(docs), "i8"))
-    alphabet = [ord(c) for c in "abrcd "]
-    assert {r[0] for r in grams[1].collect()} == set(alphabet)
-    for context in ("abr", "bra", "zzz", "\0\0\0"):
-        head = 0
-        for c in context:
-            head = (head << 16) | ord(c)
-        keys = np.array([(head << 16) | c for c in alphabet], "u8")
-        total = np.exp(model.score(keys)).sum()
-        assert total == pytest.approx(1, abs=0.2) and total <= 1.0 + 1e-9
+def plain_kneser_ney(texts, order=4):
+    """Log-probability of a character after a context, by interpolated modified Kneser-Ney, in plain Python."""
+    level = {order: collections.Counter(("\0" * order + t)[i + 1 : i + 1 + order] for t in texts for i in range(len(t)))}
+    for k in range(order - 1, 0, -1):
+        level[k] = collections.Counter(g[1:] for g in level[k + 1])
+    discount = {}
+    for k, counts in level.items():
+        n1, n2, n3, n4 = (sum(n == i for n in counts.values()) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        discount[k] = [min(max(d, 0.1), i + 0.9) for i, d in enumerate(raw)]
+
+    def p(context, c, k=order):
+        if k == 0:
+            return 1 / (len(level[1]) + 1)
+        context = context[len(context) - (k - 1) :]
+        after = {g: n for g, n in level[k].items() if g[:-1] == context}
+        if not after:
+            return p(context, c, k - 1)
+        cut = {g: n - discount[k][min(n, 3) - 1] for g, n in after.items()}
+        total = sum(after.values())
+        return cut.get(context + c, 0) / total + (1 - sum(cut.values()) / total) * p(context, c, k - 1)
+
+    return p
+
+
+def packed(text):
+    out = 0
+    for c in text:
+        out = (out << 16) | ord(c)
+    return out
+
+
+@pytest.mark.parametrize("per_file", [7, 1_000_000])
+def test_kneser_ney_equals_plain_python(spark, per_file):
+    texts = ["abracadabra cadabra", "bra bra \u4e2d\u6587 \u4e2d", "", "ab" * 40]
+    docs = frame(spark, [*enumerate(texts), (9, None)])
+    trained = quality.train(docs, per_file=per_file)
+    assert (len(trained.files) > 5) == (per_file == 7)
+    model, p = quality.Model.mapped(trained), plain_kneser_ney(texts)
+    alphabet = sorted(set("".join(texts)))
+    for context in ("abr", "bra", "zzz", "\0\0\0", "\0\0a", "xab", "\u4e2d\u6587 "):
+        found = np.exp(model.score(np.array([packed(context + c) for c in [*alphabet, "z"]], "u8")))
+        assert found == pytest.approx([p(context, c) for c in [*alphabet, "z"]])
+        assert found.sum() == pytest.approx(1)
+
+
+def test_model_of_nothing(spark):
+    model = quality.Model.mapped(quality.train(frame(spark, [(1, None), (2, "")])))
+    assert model.score(np.array([packed("abcd")], "u8")) == pytest.approx([0.0])
+
+
+def test_log_perplexity_equals_plain_python(spark):
+    texts = [" ".join(f"w{i * j * j % 43}" for j in range(1, 40)) for i in range(1, 12)]
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    counted = [t for t in texts if not base(t)[-1]]
+    assert len(counted) > 5
+    p = plain_kneser_ney(counted)
+    for row in quality.judged(docs).collect():
+        text = "\0\0\0" + texts[row["doc_id"]]
+        plain = -sum(np.log(p(text[i : i + 3], text[i + 3])) for i in range(len(text) - 3)) / (len(text) - 3)
+        assert row["log_perplexity"] == pytest.approx(plain)
+
+
+def test_quality_keeps_clashing_columns(spark):
+    names = ["of", "about", "__of", "__about", "limit", "gram", "n_words", "upper"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    plain = {r["doc_id"] for r in quality.clean(docs).collect()}
+    wide = quality.clean(docs.select("*", *[quality.F.lit(i).alias(c) for i, c in enumerate(names)]))
+    rows = wide.collect()
+    assert wide.columns == ["doc_id", "text", "lang", *names] and {r["doc_id"] for r in rows} == plain
+    assert all(tuple(r)[3:] == tuple(range(8)) for r in rows)
 
 
 def test_quality_rejects_odd_text_only(spark):
