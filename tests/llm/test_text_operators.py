@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -427,7 +428,8 @@ def test_language_held_out_accuracy(spark):
 
 def test_language_edge_cases(spark):
     rows = [(1, "der die das und nicht " * 9, "de"), (2, None, "de"), (3, "12 %", None), (4, "", None), (5, "le la les des pour " * 9, "fr"), (5, "le la les des pour", "fr")]
-    docs = frame(spark, [(*r, "x") for r in rows], "doc_id long, text string, lang string, score string").drop("score")
+    docs = frame(spark, [(*r, "x", 7) for r in rows], "doc_id long, text string, lang string, Score string, count int")
+    assert language.identify(docs, {}).columns == ["doc_id", "text", "lang", "count", "lang_pred", "score", "rejected"]
     made = language.dictionaries(docs)
     assert set(made) == {"de", "fr"}
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, made).collect()}
@@ -436,6 +438,48 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in language.identify(docs, {}).collect()} == {"und"}
 
 
+def smallest(contents, text):
+    """Language and score by compressing with every dictionary on its own."""
+    raw = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip().encode()
+    if not raw:
+        return "und", 0.0
+    sizes = []
+    for name in sorted(contents):
+        words = zstandard.ZstdCompressionDict(contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        settings = language._settings(len(raw) < language.SHORT)
+        words.precompute_compress(compression_params=settings)
+        made = zstandard.ZstdCompressor(dict_data=words, compression_params=settings)
+        sizes.append((sum(len(made.compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096)), name))
+    first, other = sorted(sizes)[:2]
+    return first[1], 1 - first[0] / other[0]
+
+
+@pytest.mark.parametrize("together", [1, 3, 32])
+def test_language_equals_one_dictionary_after_another(spark, together):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    contents = language.dictionaries(docs, sample=20)
+    assert len(contents) == 4
+    got = language.identify(docs, contents, together=together).collect()
+    assert len(got) == docs.count()
+    assert all((r["lang_pred"], r["score"]) == smallest(contents, r["text"]) for r in got)
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{i:03}" for i in range(300)]
+    word = lambda n: n.translate(str.maketrans("0123456789", "qwertyuiop"))
+    docs = frame(spark, [(i, f"{word(n)} " * 30, n) for i, n in enumerate(names * 2)], "doc_id long, text string, lang string")
+    contents = language.dictionaries(docs, most=100)
+    assert sorted(contents) == names
+    got = language.identify(docs, contents).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) == 600
+
+
+def test_language_of_a_very_long_text(spark):
+    docs = frame(spark, [(1, "der die das und nicht " * 200_000, "de"), (2, "le la les des pour " * 9, "fr")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, language.dictionaries(docs)).collect()}
+    assert got == {1: "de", 2: "fr"}
+
+
 # --- sharding -----------------------------------------------------------------------------------
 
 
