@@ -203,20 +203,21 @@ def link(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) ->
 def as_transcript(conversations: DataFrame) -> DataFrame:
     """Plain conversations as tool transcripts: users and systems place calls, assistants answer the call before.
 
-    A user's call depends on the user's call two turns earlier.
+    The digits of a text's MD5 make a user's calls differ. By the first, one in eight gives its turn as a string;
+    by the second, one in sixteen takes the id of two turns earlier; by the third, five in sixteen need the call two
+    turns later, and three in sixteen the one two turns earlier.
     """
     call = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
     turn = F.col("turn")
-    asked = F.struct(
-        F.array(
-            F.struct(
-                call(turn).alias("id"),
-                F.lit("answer").alias("name"),
-                F.struct(turn.alias("turn"), F.col("text").alias("prompt")).alias("arguments"),
-                F.when(turn >= 2, F.array(call(turn - 2))).alias("depends_on"),
-            )
-        ).alias("tool_calls")
-    )
+    digit = lambda i: F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), i, 1)
+    own = F.when((turn >= 2) & (digit(2) == "0"), call(turn - 2)).otherwise(call(turn))
+    needs = F.when(digit(3) < "5", F.array(call(turn + 2))).when((turn >= 2) & (digit(3) < "8"), F.array(call(turn - 2)))
+
+    def placed(turn_given: Column) -> Column:
+        arguments = F.struct(turn_given.alias("turn"), F.col("text").alias("prompt"))
+        one = F.struct(own.alias("id"), F.lit("answer").alias("name"), arguments.alias("arguments"), needs.alias("depends_on"))
+        return F.to_json(F.struct(F.array(one).alias("tool_calls")))
+
     told = F.struct(
         F.array(
             F.struct(
@@ -227,8 +228,10 @@ def as_transcript(conversations: DataFrame) -> DataFrame:
         ).alias("tool_calls")
     )
     answered = F.struct(call(turn - 1).alias("tool_call_id"), F.col("text").alias("content"))
+    is_user = F.col("role") == "user"
     text = (
-        F.when(F.col("role") == "user", F.to_json(asked))
+        F.when(is_user & (digit(1) < "2"), placed(turn.cast("string")))
+        .when(is_user, placed(turn))
         .when(F.col("role") == "system", F.to_json(told))
         .when(F.col("role") == "assistant", F.to_json(answered))
         .otherwise(F.col("text"))
@@ -245,21 +248,40 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH m AS (SELECT conv_id, turn, role, text, 'call_' || conv_id || '_' AS p, to_json(text)::VARCHAR AS t
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, 'call_' || conv_id || '_' AS p, to_json(text)::VARCHAR AS t, md5(text) AS d
     FROM conversations WHERE role IN ('user', 'system', 'assistant')),
-calls AS (SELECT *, p || turn AS id, p || (turn - 2) AS dep FROM m WHERE role <> 'assistant'),
+calls AS (SELECT *, p || (turn - CASE WHEN role = 'user' AND turn >= 2 AND d[2] = '0' THEN 2 ELSE 0 END) AS id,
+    CASE WHEN role <> 'user' THEN NULL WHEN d[3] < '5' THEN p || (turn + 2)
+        WHEN turn >= 2 AND d[3] < '8' THEN p || (turn - 2) END AS dep,
+    CASE WHEN d[1] < '2' THEN '"' || turn || '"' ELSE turn::VARCHAR END AS given,
+    role = 'user' AND d[1] < '2' AS odd FROM m WHERE role <> 'assistant'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY turn) = 1 AS is_first FROM calls),
+firsts AS (SELECT * FROM ranked WHERE is_first),
 results AS (SELECT *, p || (turn - 1) AS id FROM m WHERE role = 'assistant'),
-ids AS (SELECT DISTINCT conv_id, id FROM calls), rids AS (SELECT DISTINCT conv_id, id FROM results)
+rids AS (SELECT DISTINCT conv_id, id FROM results),
+edges AS (SELECT f.conv_id, f.id, f.dep, k.turn >= f.turn AS forward
+    FROM firsts f JOIN firsts k ON k.conv_id = f.conv_id AND k.id = f.dep),
+late AS (SELECT DISTINCT conv_id FROM edges WHERE forward),
+placed AS (
+    SELECT f.conv_id, f.id, 0 AS level FROM firsts f
+    WHERE f.conv_id IN (FROM late) AND NOT EXISTS (FROM edges e WHERE e.conv_id = f.conv_id AND e.id = f.id)
+    UNION ALL
+    SELECT e.conv_id, e.id, placed.level + 1 FROM placed JOIN edges e ON e.conv_id = placed.conv_id AND e.dep = placed.id),
+ids AS (SELECT f.conv_id, f.id, CASE WHEN l.conv_id IS NULL THEN 0 ELSE p.level END AS level
+    FROM firsts f LEFT JOIN late l ON l.conv_id = f.conv_id LEFT JOIN placed p ON p.conv_id = f.conv_id AND p.id = f.id)
 SELECT c.conv_id, c.turn, 'call' AS kind, c.id AS call_id,
-    CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS tool, 0 AS level, r.id IS NOT NULL AS linked,
-    CASE WHEN role = 'user' AND turn >= 2 AND d.id IS NULL THEN 'unknown call ' || dep ELSE '' END AS errors,
-    CASE role WHEN 'user' THEN '{"arguments":{"prompt":' || t || ',"turn":' || turn || '},"depends_on":['
-        || CASE WHEN turn >= 2 THEN '"' || dep || '"' ELSE '' END || '],"id":"' || c.id || '","name":"answer"}'
+    CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS tool, i.level, c.is_first AND r.id IS NOT NULL AS linked,
+    concat_ws('; ', CASE WHEN odd THEN 'type of turn' END,
+        CASE WHEN c.is_first AND dep IS NOT NULL AND n.known IS NULL THEN 'unknown call ' || dep END,
+        CASE WHEN NOT c.is_first THEN 'repeated id' END, CASE WHEN i.level IS NULL THEN 'cyclic' END) AS errors,
+    CASE role WHEN 'user' THEN '{"arguments":{"prompt":' || t || ',"turn":' || given || '},"depends_on":['
+        || CASE WHEN dep IS NOT NULL THEN '"' || dep || '"' ELSE '' END || '],"id":"' || c.id || '","name":"answer"}'
     ELSE '{"arguments":{"instruction":' || t || '},"depends_on":[],"id":"' || c.id || '","name":"configure"}' END AS json
-FROM calls c LEFT JOIN rids r ON r.conv_id = c.conv_id AND r.id = c.id
-LEFT JOIN ids d ON d.conv_id = c.conv_id AND d.id = c.dep
+FROM ranked c JOIN ids i ON i.conv_id = c.conv_id AND i.id = c.id
+LEFT JOIN rids r ON r.conv_id = c.conv_id AND r.id = c.id
+LEFT JOIN (SELECT conv_id, id AS known FROM firsts) n ON n.conv_id = c.conv_id AND n.known = c.dep
 UNION ALL
-SELECT r.conv_id, r.turn, 'result', r.id, NULL, 0, c.id IS NOT NULL, CASE WHEN c.id IS NULL THEN 'no call' ELSE '' END,
-    '{"content":' || t || ',"tool_call_id":"' || r.id || '"}'
-FROM results r LEFT JOIN ids c ON c.conv_id = r.conv_id AND c.id = r.id
+SELECT r.conv_id, r.turn, 'result', r.id, NULL, CASE WHEN i.id IS NULL THEN 0 ELSE i.level END, i.id IS NOT NULL,
+    CASE WHEN i.id IS NULL THEN 'no call' ELSE '' END, '{"content":' || t || ',"tool_call_id":"' || r.id || '"}'
+FROM results r LEFT JOIN ids i ON i.conv_id = r.conv_id AND i.id = r.id
 """

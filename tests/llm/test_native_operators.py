@@ -63,6 +63,14 @@ def test_tool_calls_edge_cases(spark):
     assert tool_calls.link(spark.createDataFrame([], MESSAGES), TOOLS).count() == 0
 
 
+def test_query_has_all_kinds_of_calls(spark):
+    found = tool_calls.op2_tool_calls(spark, "/root/testdata/sf0.01").collect()
+    assert max(r["level"] or 0 for r in found) >= 2
+    errors = " ".join(r["errors"] for r in found)
+    assert all(kind in errors for kind in ("type of turn", "unknown call", "repeated id", "cyclic", "no call"))
+    assert any(r["linked"] for r in found) and not all(r["linked"] for r in found)
+
+
 def luhn(number):
     digits = [int(d) for d in reversed(re.sub(r"\D", "", number))]
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10
