@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hrefmill.functions.urls import path_prefix_key, with_url_parts
 from hrefmill.operators.listing import scan_active_links
-from hrefmill.plans.leaders import CHUNK, greedy_run_leaders
+from hrefmill.plans.leaders import RUN_CHUNK, greedy_run_leaders, words_of
 from hrefmill.plans.ordering import with_global_position
 from hrefmill.plans.skew import attach_by_key
 from hrefmill.storage import cut_lineage
@@ -166,13 +166,10 @@ def url_runs(nodes: DataFrame) -> DataFrame:
     return placed.withColumns({"a": F.coalesce("__a", "pos"), "a_end": F.coalesce("__z", "pos")}).select(*nodes.columns, "a", "a_end")
 
 
-def similar_runs(runs: DataFrame, threshold: float = 0.8, window: int = WINDOW) -> DataFrame:
-    """Edges ``(a, a_end, b, b_end)`` between similar runs of a domain less than ``window`` apart, and of long runs to themselves.
-
-    As many as there are different URLs side by side: equal ones add none.
-    """
-    heads = runs.filter(F.col("pos") == F.col("a")).select("domain", "normalized_url", "a", "a_end")
-    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _close_runs(heads: DataFrame, threshold: float, window: int) -> DataFrame:
+    """Pairs ``(domain, __b, a, a_end, b, b_end)`` of similar runs of a domain less than ``window`` apart, dealt by domain and ``__b``."""
+    # A little data makes a lot of comparisons here, so the tasks must not be merged by data size.
+    tasks = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = heads.withColumn("__b", F.floor(F.col("a_end") / window))
     here = F.floor(F.col("a") / window)
     right = heads.select(
@@ -180,25 +177,59 @@ def similar_runs(runs: DataFrame, threshold: float = 0.8, window: int = WINDOW)
         F.explode(F.array(here, here - 1)).alias("__b"),
     )
     gap = F.col("b") - F.col("a_end")
-    pairs = (
+    return (
         left.repartition(tasks, "domain", "__b")
         .join(right.repartition(tasks, "domain", "__b"), ["domain", "__b"])
         .filter((gap > 0) & (gap < window) & similar_enough(F.col("normalized_url"), F.col("__url"), threshold))
-        .select("a", "a_end", "b", "b_end")
+        .select("domain", "__b", "a", "a_end", "b", "b_end")
     )
+
+
+def _heads(runs: DataFrame) -> DataFrame:
+    return runs.filter(F.col("pos") == F.col("a")).select("domain", "normalized_url", "a", "a_end")
+
+
+def similar_runs(runs: DataFrame, threshold: float = 0.8, window: int = WINDOW) -> DataFrame:
+    """Edges ``(a, a_end, b, b_end)`` between similar runs of a domain less than ``window`` apart, and of long runs to themselves.
+
+    As many as there are different URLs side by side: equal ones add none.
+    """
+    heads = _heads(runs)
     own = heads.filter("a_end > a").select("a", "a_end", F.col("a").alias("b"), F.col("a_end").alias("b_end"))
-    return pairs.unionByName(own)
+    return _close_runs(heads, threshold, window).select("a", "a_end", "b", "b_end").unionByName(own)
+
+
+def run_bands(runs: DataFrame, threshold: float = 0.8, window: int = WINDOW) -> DataFrame:
+    """The edges of ``similar_runs`` as bits, one row for each run with a later neighbour and each long run.
+
+    Bit ``d`` of the words ``first0..`` tells that a similar run begins ``d`` positions after ``a_end``, that of ``covered0..``
+    that one lies there. Pairs of a run are made in one task, which adds them up: no more than a row a run leaves it.
+    """
+    heads = _heads(runs)
+    bit = lambda of, at: F.call_function("shiftleft", of, at.cast("int"))
+    begin, end = F.col("b") - F.col("a_end"), F.least(F.col("b_end") - F.col("a_end"), F.lit(window - 1))
+    first, covered = {}, {}
+    for w in range(words_of(window)):
+        low, high = F.greatest(begin, F.lit(64 * w)), F.least(end, F.lit(64 * w + 63))
+        ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), (63 - (high - low)).cast("int"))
+        first[f"first{w}"] = F.when(F.floor(begin / 64) == w, bit(F.lit(1).cast("bigint"), begin - 64 * w))
+        covered[f"covered{w}"] = F.when(low <= high, bit(ones, low - 64 * w))
+    words = first | covered
+    none = F.lit(0).cast("bigint")
+    pairs = _close_runs(heads, threshold, window).groupBy("domain", "__b", "a", "a_end")
+    bands = pairs.agg(*[F.coalesce(F.bit_or(v), none).alias(k) for k, v in words.items()]).drop("domain", "__b")
+    return bands.unionByName(heads.filter("a_end > a").select("a", "a_end", *[none.alias(k) for k in words]))
 
 
 def edit_distance_clusters(
-    links: DataFrame, threshold: float = 0.8, order: str = "locale", window: int = WINDOW, chunk: int = CHUNK
+    links: DataFrame, threshold: float = 0.8, order: str = "locale", window: int = WINDOW, chunk: int = RUN_CHUNK
 ) -> DataFrame:
     """Greedy leader clusters inside each domain; the group key names the leader.
 
     Equal URLs are one node with a first and last position, so a domain of one URL costs one row, not a band of pairs.
     """
     nodes = cut_lineage(url_runs(positioned(links, order)))
-    claims = cut_lineage(greedy_run_leaders(similar_runs(nodes, threshold, window), window, chunk))
+    claims = cut_lineage(greedy_run_leaders(run_bands(nodes, threshold, window), window, chunk))
     leads = claims.groupBy("leader").agg((F.sum(F.col("upto") - F.col("first") + 1) + 1).alias("group_size"))
     keepers = leads.join(
         nodes.select(F.col("pos").alias("leader"), F.col("id").alias("keep_id"), F.col("seq").alias("keep_seq")), "leader"

@@ -11,6 +11,7 @@ bounds the rounds; runs of unrelated URLs cut the chains, so few rounds do in pr
 from __future__ import annotations
 
 import sys
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -85,52 +86,73 @@ def greedy_leaders(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
 # --- runs of equal rows -------------------------------------------------------------------------------
 
 _CLAIMS = "chunk long, node long, leader long, upto long"
+#: A run takes two bits a neighbour and not a row, so its chunks are larger and chains of them shorter.
+RUN_CHUNK = 131_072
 
 
-def claim_runs(edges: pd.DataFrame, reached: dict[int, int], reach: int) -> list[tuple[int, int, int]]:
-    """Claims ``(node, leader, upto)`` of the runs of a chunk, in order.
+def words_of(reach: int) -> int:
+    """64-bit words that hold one bit for each distance below ``reach``."""
+    return (reach + 63) // 64
+
+
+def _spans(first: np.ndarray, covered: np.ndarray) -> list[tuple[int, int]]:
+    """First and last distance of each neighbour, from the bits of a run."""
+    begins = np.unpackbits(first.view("u1"), bitorder="little")
+    over = np.unpackbits(covered.view("u1"), bitorder="little")
+    at = np.flatnonzero(begins)
+    stops = np.append(np.flatnonzero((over == 0) | (begins == 1)), len(over))
+    return list(zip(at.tolist(), (stops[np.searchsorted(stops, at, "right")] - 1).tolist()))
+
+
+def claim_runs(bands: pd.DataFrame, reached: dict[int, int], reach: int) -> np.ndarray:
+    """Claims ``(node, leader, upto)`` of the runs of a chunk, in order, one row each.
 
     A run is named by its first position. What has been claimed of a run is always its front, since every
     claimer lies before it; ``reached`` holds how far, claims from other chunks included. The first row that nobody
     has claimed leads: it claims the rows of its own run and of similar runs that are less than ``reach`` ahead.
     """
-    out = []
-    order = np.lexsort((edges["b"].to_numpy(), edges["a"].to_numpy()))
-    a, a_end, b, b_end = (edges[c].to_numpy()[order] for c in ("a", "a_end", "b", "b_end"))
-    starts = np.flatnonzero(np.diff(a, prepend=a[:1] - 1))
-    for p, q in zip(starts, np.append(starts[1:], len(a))):
-        node, end = int(a[p]), int(a_end[p])
-        near = [(int(x), int(y)) for x, y in zip(b[p:q], b_end[p:q]) if x != node]
+    out = array("q")
+    order = np.argsort(bands["a"].to_numpy(), kind="stable")
+    a, a_end = bands["a"].to_numpy()[order], bands["a_end"].to_numpy()[order]
+    heads = np.flatnonzero(np.diff(a, prepend=a[:1] - 1))
+    n = words_of(reach)
+    bits = [bands[[f"{kind}{w}" for w in range(n)]].to_numpy(dtype="<i8")[order] for kind in ("first", "covered")]
+    first, covered = (np.bitwise_or.reduceat(x, heads, axis=0) if len(heads) else x for x in bits)
+    for k, (node, end) in enumerate(zip(a[heads].tolist(), a_end[heads].tolist())):
         leader = reached.get(node, node - 1) + 1
+        near = _spans(first[k], covered[k]) if leader <= end else []
         while leader <= end:
             last = leader + reach - 1
             own = min(end, last)
             if own > leader:
-                out.append((node, leader, own))
-            for other, other_end in near:
+                out.extend((node, leader, own))
+            for begin, stop in near:
+                other = end + begin
                 if other > last:
                     break
-                upto = min(other_end, last)
+                upto = min(end + stop, last)
                 if reached.get(other, other - 1) < upto:
-                    out.append((other, leader, upto))
+                    out.extend((other, leader, upto))
                     reached[other] = upto
             leader = own + 1
-    return out
+    return np.array(out, "i8").reshape(-1, 3)
 
 
-def greedy_run_leaders(edges: DataFrame, reach: int, chunk: int = CHUNK) -> DataFrame:
+def greedy_run_leaders(bands: DataFrame, reach: int, chunk: int = RUN_CHUNK) -> DataFrame:
     """Claims ``(node, first, upto, leader)`` over runs of equal rows; ``first`` to ``upto`` are positions.
 
-    ``edges (a, a_end, b, b_end)`` link runs to later similar ones less than ``reach`` ahead, and each
-    run of several rows to itself. Chunks of positions run as if nothing came in, then again where what comes in
+    ``bands (a, a_end, first0.., covered0..)`` hold the runs and, as bits by distance from ``a_end``, where similar later
+    runs less than ``reach`` ahead begin and which positions they cover; rows of one run add up. Runs of several rows
+    are there even if they have no neighbour. Chunks of positions run as if nothing came in, then again where what comes in
     from earlier chunks differs. A round writes the claims of the chunks it runs, not those of all.
     """
-    keyed = cut_lineage(edges.withColumn("chunk", F.floor(F.col("a") / chunk)))
+    keyed = cut_lineage(bands.withColumn("chunk", F.floor(F.col("a") / chunk)))
 
     def run_chunk(key: tuple, rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
         reached = dict(zip(carry["node"].tolist(), carry["upto"].tolist()))
-        claims = claim_runs(rows, reached, reach)
-        return pd.DataFrame([(key[0], *c) for c in claims], columns=["chunk", "node", "leader", "upto"]).astype("int64")
+        claims = pd.DataFrame(claim_runs(rows, reached, reach), columns=["node", "leader", "upto"])
+        claims.insert(0, "chunk", np.int64(key[0]))
+        return claims
 
     def run(work: DataFrame, carry: DataFrame) -> DataFrame:
         return work.groupBy("chunk").cogroup(carry.groupBy("chunk")).applyInPandas(run_chunk, _CLAIMS)

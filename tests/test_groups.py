@@ -202,6 +202,24 @@ def test_equal_urls_make_no_band_of_pairs(spark):
     assert len(sizes) == 500 and {(r["group_size"], r["count"]) for r in sizes} == {(200, 200)}
 
 
+def test_leaders_see_one_row_a_run(spark, monkeypatch):
+    """All URLs of a window are similar here: 199 pairs a link, of which no row may go to the tasks that choose leaders."""
+    links = spark.range(1000).selectExpr(
+        "id AS seq", "concat('L', id) AS id", "'a.com' AS domain", "concat('https://a.com/article/', 10000 + id) AS normalized_url", "'x' AS original_url"
+    )
+    seen = []
+
+    def spy(bands, *rest):
+        seen.append(bands.count())
+        return leaders.greedy_run_leaders(bands, *rest)
+
+    monkeypatch.setattr(similarity, "greedy_run_leaders", spy)
+    for chunk in (64, leaders.CHUNK):
+        found = similarity.edit_distance_clusters(links, order="binary", chunk=chunk).collect()
+        assert {r["keep_id"] for r in found} == {f"L{200 * k}" for k in range(5)} and len(found) == 1000
+    assert max(seen) <= 1000
+
+
 def test_leaders_over_many_small_chunks(spark):
     """Random banded graphs, long chains included, against one pass over all edges."""
     rng = random.Random(1)
