@@ -55,17 +55,20 @@ def layers_from_flags(
     return chosen or DEFAULT_LAYERS
 
 
-def similar_enough(a: Column, b: Column, threshold: float) -> Column:
+def similar_enough(a: Column, b: Column, threshold: float, lengths: tuple[Column, Column] | None = None) -> Column:
     """Equal, or edit distance within ``floor((1 - t) * longer)`` and ratio at least ``t``.
 
-    The length test comes first and the distance stops counting at the bound.
+    The length test comes first (``lengths`` where they are known). Texts that differ in their last ``allowed`` characters only
+    are that close at most, so that they need no distance; for all others it stops counting at the bound.
     """
-    longer = F.greatest(F.length(a), F.length(b))
+    m, n = lengths or (F.length(a), F.length(b))
+    longer = F.greatest(m, n)
     allowed = F.floor(F.lit(1 - threshold) * longer).cast("int")
     distance = F.call_function("levenshtein", a, b, allowed)
+    close_front = (F.left(a, longer - allowed) == F.left(b, longer - allowed)) & (1 - allowed / longer >= F.lit(threshold))
     close = F.when(
-        F.abs(F.length(a) - F.length(b)) <= allowed,
-        (distance >= 0) & (1 - distance / longer >= F.lit(threshold)),
+        F.abs(m - n) <= allowed,
+        F.when(close_front, True).otherwise((distance >= 0) & (1 - distance / longer >= F.lit(threshold))),
     ).otherwise(False)
     return F.when(a == b, True).otherwise(close)
 
@@ -170,17 +173,17 @@ def _close_runs(heads: DataFrame, threshold: float, window: int) -> DataFrame:
     """Pairs ``(domain, __b, a, a_end, b, b_end)`` of similar runs of a domain less than ``window`` apart, dealt by domain and ``__b``."""
     # A little data makes a lot of comparisons here, so the tasks must not be merged by data size.
     tasks = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = heads.withColumn("__b", F.floor(F.col("a_end") / window))
+    left = heads.withColumns({"__b": F.floor(F.col("a_end") / window), "__m": F.length("normalized_url")})
     here = F.floor(F.col("a") / window)
     right = heads.select(
-        "domain", F.col("normalized_url").alias("__url"), F.col("a").alias("b"), F.col("a_end").alias("b_end"),
+        "domain", F.col("normalized_url").alias("__url"), F.length("normalized_url").alias("__n"), F.col("a").alias("b"), F.col("a_end").alias("b_end"),
         F.explode(F.array(here, here - 1)).alias("__b"),
     )
     gap = F.col("b") - F.col("a_end")
     return (
         left.repartition(tasks, "domain", "__b")
         .join(right.repartition(tasks, "domain", "__b"), ["domain", "__b"])
-        .filter((gap > 0) & (gap < window) & similar_enough(F.col("normalized_url"), F.col("__url"), threshold))
+        .filter((gap > 0) & (gap < window) & similar_enough(F.col("normalized_url"), F.col("__url"), threshold, (F.col("__m"), F.col("__n"))))
         .select("domain", "__b", "a", "a_end", "b", "b_end")
     )
 

@@ -220,6 +220,18 @@ def test_leaders_see_one_row_a_run(spark, monkeypatch):
     assert max(seen) <= 1000
 
 
+def test_early_answers_agree_with_the_distance(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(9)))
+    rows = [(k, f"{p}{word()}", f"{p}{word()}") for k in range(300) for p in [word() + word()]]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    for t in (0.0, 0.5, 0.7, 0.8, 0.9, 1.0):
+        got = {r["k"]: r["s"] for r in df.select("k", similarity.similar_enough(F.col("a"), F.col("b"), t).alias("s")).collect()}
+        for k, a, b in rows:
+            longer, d = max(len(a), len(b)), distance(a, b)
+            assert got[k] == (a == b or (d <= int((1 - t) * longer) and 1 - d / longer >= t)), (t, a, b)
+
+
 def test_leaders_over_many_small_chunks(spark):
     """Random banded graphs, long chains included, against one pass over all edges."""
     rng = random.Random(1)
