@@ -20,6 +20,7 @@ import heapq
 import json
 import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEXICON = 100_000
 PIECE = 1_000_000  # bytes of text that a task looks at together
+SEEN = 50_000  # merged words that a task remembers, as packed ids; it changes no result
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 OUTPUTS = {
@@ -263,16 +265,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - lengths), lengths)
 
 
-def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [_words(data, off)[0].value_counts() for _, _, data, off in common.pieces(batch.column(0), PIECE)]
-        if parts:
-            words = pa.concat_arrays([p.field("values") for p in parts])
-            counts = pa.concat_arrays([p.field("counts") for p in parts])
-            summed = pa.table({"word": words, "n": counts}).group_by("word").aggregate([("n", "sum")])
-            yield from summed.rename_columns(["word", "n"]).to_batches()
-
-
 def _encode_task(tokenizer, file: str, text: str, names: dict[str, str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tokenizer.of(tokenizer.value)
@@ -288,16 +280,16 @@ def _encode_task(tokenizer, file: str, text: str, names: dict[str, str]) -> Call
                 known = coded.dictionary
                 place = lexicon.places(*common.bytes_of(known.cast(pa.large_binary()).view(pa.large_string())))
                 rest = known.take(pa.array(np.flatnonzero(place < 0))).to_pylist()
-                if len(seen) > 150_000:
-                    seen.clear()  # a memory of merged words; it changes no result
+                if len(seen) > SEEN:
+                    seen.clear()
                 merged = []
                 for w in rest:
                     if (ids := seen.get(w)) is None:
-                        ids = seen[w] = encode(w.decode())
+                        ids = seen[w] = array("i", encode(w.decode())).tobytes()
                     merged.append(ids)
                 # One table of ids for the distinct words: those of the lexicon, then the merged ones.
-                extra = np.fromiter((i for ids in merged for i in ids), "i8")
-                extra_len = np.fromiter(map(len, merged), "i8", len(merged))
+                extra = np.frombuffer(b"".join(merged), "i4").astype("i8")
+                extra_len = np.fromiter(map(len, merged), "i8", len(merged)) // 4
                 pool = np.concatenate([lexicon.ids, extra])
                 start, length = np.empty(len(known), "i8"), np.empty(len(known), "i8")
                 inside = place >= 0
@@ -314,6 +306,7 @@ def _encode_task(tokenizer, file: str, text: str, names: dict[str, str]) -> Call
                 for name, column in _outputs(ids, cut, token_bytes, token_off, set(names)).items():
                     columns[names[name]] = column
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            common.release()
 
     return run
 
@@ -347,13 +340,11 @@ def _outputs(
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(word, n)`` over all texts, words as bytes."""
-    return (
-        docs.select(text_col)
-        .mapInArrow(common.releasing(_count_task), "word binary, n long")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-    )
+    """``(word, n)`` over all texts, words as bytes. No Python runs for it."""
+    words = docs.select(F.explode(F.split(F.col(text_col), r"[\x09-\x0D\x20]+")).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # A text that begins or ends with white space has an empty part there.
+    return counts.filter("word != ''").select(F.col("word").cast("binary").alias("word"), "n")
 
 
 def frequent_words(docs: DataFrame, most: int, text_col: str = "text") -> list[bytes]:

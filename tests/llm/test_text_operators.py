@@ -631,3 +631,16 @@ def test_extract_with_a_clashing_column(spark):
     got = html_text.extract(pages).orderBy("page_id")
     assert got.columns == ["page_id", "html", "text"]
     assert [r["text"] for r in got.collect()] == ["new, in a page", ""]
+
+
+def test_bpe_counts_words_without_python(spark):
+    """Workers that count take memory beside the JVM; words of white space of all kinds, empty and null texts."""
+    texts = [" a b\tc\n", "a\x0bb\x0c\x0d\na", " x  x", "", " \t ", None, "ß \x1c\x00 ß"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = bpe.word_counts(docs)
+    want = {}
+    for t in texts:
+        for w in re.findall(r"[^\x20\x09-\x0D]+", t or ""):
+            want[w.encode()] = want.get(w.encode(), 0) + 1
+    assert {bytes(r["word"]): r["n"] for r in counts.collect()} == want
+    assert "InArrow" not in counts._jdf.queryExecution().executedPlan().toString()
